@@ -76,7 +76,8 @@ def _daily(t: StandIns) -> DataFrame:
 
 
 def _slice(t: StandIns) -> DataFrame:
-    return _train_rows(t).transform(sp.with_day_split)
+    """The slice reads its rows more than once, so they are written after the window."""
+    return written(_train_rows(t), "train-rows").transform(sp.with_day_split)
 
 
 # Sources
@@ -246,7 +247,7 @@ def q_train_rows(t: StandIns) -> DataFrame:
 
 @query
 def q_day_index(t: StandIns) -> DataFrame:
-    kept = _train_rows(t).transform(sp.with_day_split, keep=LAST_DAYS)
+    kept = written(_train_rows(t), "train-rows").transform(sp.with_day_split, keep=LAST_DAYS)
     return kept.select("id", mmdd(F.col("date")).alias("mmdd"), "day_idx")
 
 

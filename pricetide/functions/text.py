@@ -42,4 +42,4 @@ def parse_utc(text: Column) -> Column:
 def utc_wall_clock(instant: Column) -> Column:
     """Zone-free UTC timestamp of an instant, whatever the session zone is."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(secs=F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)

@@ -111,41 +111,47 @@ def _slice_by_time(prices: DataFrame, station_rows: int, slice_rows: int) -> Dat
     )
 
 
-def with_next_price(
+def with_next(
     prices: DataFrame,
-    price: str = "diesel",
-    name: str = "diesel_shift",
+    names: dict[str, str],
     station_rows: int = STATION_ROWS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Price of the station's next record, by date and then id.
+    """Values of the station's next record, by date and then id; `names` maps columns to new columns.
 
     An ordinary station is one window partition. A busy station is cut into time slices: the next
-    price is found inside the slice, and the last record of a slice takes the first record of the
+    record is found inside the slice, and the last record of a slice takes the first record of the
     station's next slice. Slice heads are pre-aggregated, and their join reuses the partitioning and
     the sort of the window.
     """
     sliced = _slice_by_time(prices, station_rows, slice_rows)
     order = [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()]
-    within = F.lead(F.struct(price)).over(Window.partitionBy("uuid", "_slice").orderBy(*order))
+    record = F.struct(*names)
+    within = F.lead(record).over(Window.partitionBy("uuid", "_slice").orderBy(*order))
     heads = (
         sliced.where("_busy")
         .groupBy("uuid", "_slice")
-        .agg(F.min_by(F.struct(price), F.struct("date", "id")).alias("_head"))
+        .agg(F.min_by(record, F.struct("date", "id")).alias("_head"))
         .select(
             "uuid",
             "_slice",
             F.lead("_head").over(Window.partitionBy("uuid").orderBy("_slice")).alias("_next_head"),
         )
     )
-    following = F.coalesce(F.col("_within"), F.col("_next_head"))[price]
+    following = F.coalesce(F.col("_within"), F.col("_next_head"))
+    known = F.col("uuid").isNotNull()
     return (
         sliced.withColumn("_within", within)
         .join(heads, ["uuid", "_slice"], "left")
-        .select(*prices.columns, F.when(F.col("uuid").isNotNull(), following).alias(name))
+        .select(*prices.columns, *[F.when(known, following[column]).alias(name) for column, name in names.items()])
     )
 
 
+def with_next_price(prices: DataFrame, price: str = "diesel", name: str = "diesel_shift", **limits: int) -> DataFrame:
+    """Price of the station's next record; NULL for its last record and for records without a station."""
+    return with_next(prices, {price: name}, **limits)
+
+
 def with_change_label(
     prices: DataFrame, price: str = "diesel", following: str = "diesel_shift", name: str = "price_will_change"
 ) -> DataFrame:

@@ -71,11 +71,12 @@ def stratified_folds(rows: DataFrame, k: int, order: list[str], label: str, name
     make two window partitions, so the row number comes from a range-partitioned index instead.
     """
     indexed = with_global_index(rows, [label, *order], "_pos")
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = indexed.groupBy(label).agg(F.count("*").alias("_n"), F.min("_pos").alias("_start"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before, after = F.col("_before"), F.col("_before") + F.col("_n")
-    classes = (  # one row per class
-        indexed.groupBy(label)
-        .agg(F.count("*").alias("_n"), F.min("_pos").alias("_start"), F.min(F.struct(*order)).alias("_first"))
+    classes = (  # the first row of every class
+        indexed.join(F.broadcast(starts), label)
+        .where(F.col("_pos") == F.col("_start"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .select(
             label,
