@@ -82,6 +82,16 @@ PARTS: dict[str, str] = {
     "oil": """
         SELECT date, close AS oil_price,
           avg(close) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS oil_7d_avg FROM oil_daily""",
+    "hours": """
+        SELECT uuid, date_trunc('hour', date) AS hour_start, arg_max(e5, (date, id)) AS e5
+        FROM prices WHERE e5 IS NOT NULL GROUP BY uuid, date_trunc('hour', date)""",
+    "hour_range": "SELECT uuid, unnest(generate_series(min(hour_start), max(hour_start), INTERVAL 1 HOUR)) AS hour_start FROM hours GROUP BY uuid",
+    "grid": """
+        SELECT r.uuid, r.hour_start,
+          last_value(h.e5 IGNORE NULLS) OVER (PARTITION BY r.uuid ORDER BY r.hour_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e5
+        FROM hour_range r LEFT JOIN hours h ON r.uuid = h.uuid AND r.hour_start = h.hour_start""",
+    "next_known": """
+        SELECT *, lead(id) OVER (PARTITION BY uuid ORDER BY date NULLS LAST, id NULLS LAST) AS next_id FROM labelled""",
     "enriched": "SELECT p.*, s.brand, s.post_code FROM prices_raw p LEFT JOIN stations s ON p.uuid = s.id",
     "markers": """
         SELECT s.section, s.line_no AS start_no, min(e.line_no) AS end_no
@@ -223,6 +233,17 @@ _MAIN: dict[str, str] = {
         SELECT n, {_rs('pearson', 'mse', 'mae')}, round(pearson * sqrt((n - 2) / (1 - pearson * pearson)), 4) AS t
         FROM (SELECT count(*) AS n, corr(e5_1d_mean, e5_7d_avg) AS pearson, avg((e5_1d_mean - e5_7d_avg) ** 2) AS mse,
                 avg(abs(e5_1d_mean - e5_7d_avg)) AS mae FROM lagged)""",
+    "q_hourly_grid": f"SELECT uuid, {MOMENT.format('hour_start')} AS hour_start, {_r('e5', 'e5')} FROM grid",
+    "q_cheapest_hour": f"""
+        SELECT uuid, {DAY.format("hour_start")} AS day, hour(hour_start)::int AS hour, {_r("e5", "e5")}
+        FROM (SELECT *, row_number() OVER (PARTITION BY uuid, cast(hour_start AS date) ORDER BY e5, hour_start) AS n FROM grid)
+        WHERE n = 1""",
+    "q_price_patterns": f"""
+        SELECT b.brand, (isodow(l.date) - 1)::int AS weekday, hour(l.date)::int AS hour, count(*) AS records,
+          {_r("avg(l.diesel)", "mean_price")}, {_r("avg(l.price_will_change)", "change_rate")}
+        FROM labelled l LEFT JOIN brands b ON l.uuid = b.id GROUP BY ALL""",
+    "q_stream_changes": f"""
+        SELECT id, uuid, {_rs('diesel', 'diesel_shift')}, price_will_change FROM next_known WHERE next_id IS NOT NULL""",
 }
 
 ORACLES: dict[str, str] = {name: _sql(main) for name, main in _MAIN.items()}

@@ -16,12 +16,14 @@ from pricetide.operators import encode as en
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
 from pricetide.operators import model as md
+from pricetide.operators import patterns as pt
 from pricetide.operators import prices as pr
 from pricetide.operators import split as sp
 from pricetide.operators.frames import drop_incomplete, with_global_index, written
 from pricetide.schemas import FUELS, PRICE_SECTION, STATION_FILE_COLUMNS, STATION_SECTION
 from pricetide.session import scratch_path
 from pricetide.sources import dump, rows, tables, writers
+from pricetide.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,6 +65,10 @@ def _prices(t: StandIns) -> DataFrame:
     return t.prices_raw.transform(pr.normalise_prices)
 
 
+def _prices_of(t: StandIns, events: DataFrame) -> DataFrame:
+    return t.prices_from(events).transform(pr.normalise_prices)
+
+
 def _labelled(t: StandIns) -> DataFrame:
     return _prices(t).transform(pr.with_next_price).transform(pr.with_change_label).transform(mn.with_day_key)
 
@@ -106,9 +112,9 @@ def q_load_stations(t: StandIns) -> DataFrame:
 
 @query
 def q_copy_section(t: StandIns) -> DataFrame:
-    lines = t.dump_lines
-    prices = dump.copy_section(lines, PRICE_SECTION).withColumn("section", F.lit("prices"))
-    stations = dump.copy_section(lines, STATION_SECTION).withColumn("section", F.lit("stations"))
+    sections = dump.copy_sections(t.dump_lines, [PRICE_SECTION, STATION_SECTION])
+    prices = sections[PRICE_SECTION].withColumn("section", F.lit("prices"))
+    stations = sections[STATION_SECTION].withColumn("section", F.lit("stations"))
     return prices.unionByName(stations)
 
 
@@ -321,6 +327,39 @@ def q_regression_metrics(t: StandIns) -> DataFrame:
     return measured.select("n", *_rounded("pearson", "mse", "mae"), F.round("t", 4).alias("t"))
 
 
+# Hourly prices, patterns, live labels
+
+
+def _grid(t: StandIns) -> DataFrame:
+    return pt.hourly_grid(_prices(t), "e5")
+
+
+@query
+def q_hourly_grid(t: StandIns) -> DataFrame:
+    return _grid(t).select("uuid", _moment("hour_start").alias("hour_start"), rounded("e5").alias("e5"))
+
+
+@query
+def q_cheapest_hour(t: StandIns) -> DataFrame:
+    return pt.cheapest_hour(_grid(t)).select("uuid", _day().alias("day"), "hour", rounded("e5").alias("e5"))
+
+
+@query
+def q_price_patterns(t: StandIns) -> DataFrame:
+    records = pr.enrich(_labelled(t), t.stations).transform(pr.with_time_features)
+    patterns = pt.price_patterns(records.withColumn("brand", clean_category(F.col("brand"))))
+    return patterns.select("brand", "weekday", "hour", "records", *_rounded("mean_price", "change_rate"))
+
+
+@query
+def q_stream_changes(t: StandIns) -> DataFrame:
+    root = scratch_path(t.spark, "live")
+    live = changes.start(_prices_of(t, t.stream("events")), f"{root}/tables", f"{root}/progress")
+    live.awaitTermination()
+    labels = changes.read_labels(t.spark, f"{root}/tables")
+    return labels.select("id", "uuid", *_rounded("diesel", "diesel_shift"), "price_will_change")
+
+
 # Models
 
 

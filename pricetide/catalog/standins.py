@@ -65,12 +65,20 @@ class StandIns:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The table's file as a stream."""
+        source = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        return source.parquet(self.sf_dir)
+
     def _view(self, text: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(text, **tables)
 
+    def prices_from(self, events: DataFrame) -> DataFrame:
+        return self._view(PRICES_RAW, events=events)
+
     @property
     def prices_raw(self) -> DataFrame:
-        return self._view(PRICES_RAW, events=self.table("events"))
+        return self.prices_from(self.table("events"))
 
     @property
     def stations(self) -> DataFrame:

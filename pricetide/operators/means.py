@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ def daily_means(prices: DataFrame, fuels: list[str] = FUELS, day: str = "day_key
     One aggregate for all fuels. It combines on the map side, so a busy station is reduced to one row
     per day and task before the shuffle.
     """
-    observed = F.greatest(*[F.col(fuel) for fuel in fuels]) > PLAUSIBLE
+    observed = reduce(or_, [F.col(fuel) > PLAUSIBLE for fuel in fuels])
     return (
         prices.where(observed & F.col("uuid").isNotNull())
         .groupBy("uuid", day)

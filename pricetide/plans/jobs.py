@@ -32,8 +32,9 @@ SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SEED, SEARCH_ROUNDS = 50, 4, 42, 100
 def extract(ws: Workspace, dump_path: str, as_of: datetime | Column | None = None) -> None:
     """Text dump to the price table (last 60 days, stored by day), the station table and the rejects."""
     lines = dump.land_dump(ws.spark, dump_path, ws.path("dump_lines"))
-    prices = dump.parse_price_lines(dump.copy_section(lines, PRICE_SECTION))
-    stations = dump.parse_station_lines(dump.copy_section(lines, STATION_SECTION))
+    sections = dump.copy_sections(lines, [PRICE_SECTION, STATION_SECTION])
+    prices = dump.parse_price_lines(sections[PRICE_SECTION])
+    stations = dump.parse_station_lines(sections[STATION_SECTION])
     recent = rows.accepted(prices).transform(pr.recent, as_of=as_of).transform(mn.with_day_key)
     writers.write_table(recent, ws.path("prices"), ["day_key"])
     writers.write_table(rows.accepted(stations).transform(pr.latest_stations), ws.path("stations"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,21 +44,33 @@ def _starts(table: str) -> Column:
     return line.startswith(f"{marker} ") | line.startswith(f"{marker}(")
 
 
-def copy_section(lines: DataFrame, table: str) -> DataFrame:
-    """The lines between a table's COPY marker and the end marker after it.
+def copy_sections(lines: DataFrame, tables: list[str]) -> dict[str, DataFrame]:
+    """For every table the lines between its COPY marker and the end marker after it.
 
-    Two positions (one aggregated row each) come to the driver; the cut itself is a range filter with
-    literals that reaches the scan.
+    One scan finds all markers. What comes to the driver is one position per table and the end markers,
+    one per table of the dump: a data line cannot be an end marker, COPY text escapes the backslash. The
+    cuts are range filters with literals that reach the scan.
     """
-    start = lines.where(_starts(table)).agg(F.min("line_no").alias("at")).first()["at"]
-    if start is None:
-        raise ValueError(f"no COPY marker for table {table}")
-    position = F.col("line_no")
-    ends = lines.where((F.trim("line") == END_OF_SECTION) & _beyond(position, start, lines))
-    end = ends.agg(F.min("line_no").alias("at")).first()["at"]
-    if end is None:
-        raise ValueError(f"no end marker after table {table}")
-    return lines.where(_beyond(position, start, lines) & _before(position, end, lines))
+    is_end = F.trim("line") == END_OF_SECTION
+    starts = {table: F.min(F.when(_starts(table), F.col("line_no"))).alias(table) for table in tables}
+    ends = F.collect_list(F.when(is_end, F.col("line_no"))).alias("_ends")
+    found = lines.where(reduce(or_, map(_starts, tables), is_end)).agg(*starts.values(), ends).first()
+    sections = {}
+    for table in tables:
+        if found[table] is None:
+            raise ValueError(f"no COPY marker for table {table}")
+        end = min((position for position in found["_ends"] if position > found[table]), default=None)
+        if end is None:
+            raise ValueError(f"no end marker after table {table}")
+        position = F.col("line_no")
+        sections[table] = lines.where(
+            (position > _literal(found[table], lines)) & (position < _literal(end, lines))
+        )
+    return sections
+
+
+def copy_section(lines: DataFrame, table: str) -> DataFrame:
+    return copy_sections(lines, [table])[table]
 
 
 def _literal(value, lines: DataFrame) -> Column:
@@ -65,14 +80,6 @@ def _literal(value, lines: DataFrame) -> Column:
     return F.lit(value).cast(lines.schema["line_no"].dataType)
 
 
-def _beyond(position: Column, value, lines: DataFrame) -> Column:
-    return position > _literal(value, lines)
-
-
-def _before(position: Column, value, lines: DataFrame) -> Column:
-    return position < _literal(value, lines)
-
-
 def parse_price_lines(lines: DataFrame) -> DataFrame:
     """Price rows with typed columns and the UTC `date`; unusable rows carry a `reject` reason.
 

@@ -1,0 +1,149 @@
+"""The jobs from a landed dump to reports, and the leak they must show."""
+
+from __future__ import annotations
+
+import json
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricetide.operators import model as md
+from pricetide.plans import jobs
+from pricetide.plans.workspace import Workspace
+from pricetide.schemas import FUELS, STATION_FILE_COLUMNS
+
+PARAMS = md.BoostParams(rounds=4, depth=4, min_rows=5)
+END = datetime(2025, 4, 30)
+
+
+def dump_text() -> str:
+    rng = random.Random(9)
+    lines = ["COPY public.gas_station (id) FROM stdin;"]
+    for i in range(12):
+        fields = {"id": f"s{i}", "version_time": "2025", "brand": rng.choice(["aral ", "ESSO", "\\N"]), "lat": "50.0"}
+        lines.append("\t".join(fields.get(c, "\\N") for c in STATION_FILE_COLUMNS))
+    lines += ["\\.", "COPY public.gas_station_information_history (id) FROM stdin;"]
+    for i in range(3000):
+        moment = END - timedelta(days=80 * rng.random())
+        prices = [rng.choice([1590, 1600, 1650, -1]) for _ in FUELS]
+        lines.append("\t".join(map(str, [i, f"s{rng.randrange(12)}", *prices, f"{moment:%Y-%m-%d %H:%M:%S}+00", 1])))
+    return "\n".join([*lines, "7\tbroken", "\\.", ""])
+
+
+@pytest.fixture(scope="module")
+def ws(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("jobs")
+    (root / "dump.txt").write_text(dump_text())
+    ws = Workspace(spark, str(root / "ws"))
+    jobs.extract(ws, str(root / "dump.txt"), as_of=END)
+    oil = "\n".join(["date,close", *[f"{END - timedelta(days=d):%Y-%m-%d},{60 + d}" for d in range(70)]])
+    (root / "oil.csv").write_text(oil)
+    jobs.load_oil(ws, str(root / "oil.csv"))
+    jobs.build_features(ws)
+    jobs.build_means(ws)
+    jobs.build_slice(ws)
+    return ws
+
+
+def test_extract(ws):
+    prices = ws.read("prices")
+    oldest = prices.agg(F.min("date")).first()[0]
+    assert END - timedelta(days=60) <= oldest < END - timedelta(days=58)
+    assert [r.reject for r in ws.read("rejects").collect()] == ["too few fields"]
+    assert ws.read("stations").count() == 12
+    assert ws.read("oil").count() == 69  # the first day is skipped
+
+
+def test_feature_tables(ws):
+    assert ws.read("features").count() == ws.read("prices").count() == ws.read("final").count()
+    ends = ws.read("features").where("diesel_shift IS NULL AND diesel IS NOT NULL")
+    assert ends.count() >= 1
+    assert {"id", "date"}.isdisjoint(ws.read("final").columns)
+    assert "diesel_7d_mean" in ws.read("features_with_means").columns
+    assert ws.read("features_with_means").count() == ws.read("features").count()
+
+
+def test_slice(ws):
+    rows = ws.read("slice")
+    days = rows.groupBy("split").agg(F.countDistinct("day_idx").alias("d"), F.min("day_idx").alias("lo"), F.max("day_idx").alias("hi"))
+    found = {r.split: (r.d, r.lo, r.hi) for r in days.collect()}
+    assert found["train"][0] == 21 and found["test"][0] == 9
+    assert found["train"][2] < found["test"][1]
+    assert dict(rows.dtypes)["brand"] == dict(rows.dtypes)["uuid"] == "int"
+
+
+def test_slice_without_year_and_codes_from_all(ws):
+    other = Workspace(ws.spark, ws.path("mmdd"))
+    ws.read("features").write.partitionBy("day_key").parquet(other.path("features"))
+    jobs.build_slice(other, day_mode="mmdd", codes_from="all")
+    assert other.read("slice").count() == ws.read("slice").count()
+    assert dict(other.read("slice").dtypes)["day_key"] == "int"
+
+
+def test_train_and_evaluate(ws):
+    jobs.train(ws, PARAMS)
+    losses = ws.read("round_losses")
+    assert losses.groupBy("split").count().collect()[0]["count"] == PARAMS.rounds
+    importance = {r.feature: r.importance for r in ws.read("importance").collect()}
+    assert set(importance) == set(md.FEATURES) and sum(importance.values()) == pytest.approx(1)
+    report = {r.label: r for r in jobs.evaluate(ws, threshold=0.5).collect()}
+    scores = ws.read("scores")
+    assert scores.where("y_prob < 0 OR y_prob > 1").count() == 0
+    assert report["accuracy"].support == scores.count() == ws.read("slice").where("split = 'test'").count()
+    run = ws.read("runs_eval").first()
+    assert (run.threshold, run.leaky, len(run.report), len(run.confusion)) == (0.5, False, 5, 4)
+    assert run.roc_auc < 0.7  # prices are drawn at random: there is nothing to learn
+    last = losses.where(f"split = 'test' AND round = {PARAMS.rounds}").first().log_loss
+    assert run.log_loss == pytest.approx(last, rel=1e-6)
+
+
+def test_the_published_features_leak(ws):
+    assert "diesel_shift" not in md.FEATURES
+    jobs.train(ws, PARAMS, md.LEAKY_FEATURES)
+    jobs.evaluate(ws)
+    run = ws.read("runs_eval").where("leaky").first()
+    assert run.leaky and ws.read("runs_eval").where("NOT leaky").count() == 1
+
+
+def test_tune(ws):
+    small = {"stepSize": [0.05, 0.1], "maxDepth": [2], "minInstancesPerNode": [5]}
+    for folds_by in ("hash", "rows"):
+        result = jobs.tune(ws, train_days=15, n_iter=2, cv_folds=2, rounds=2, folds_by=folds_by, space=small)
+        assert len(result.losses) == 2 and result.losses[result.best] == min(result.losses)
+    runs = ws.read("runs_tune")
+    assert runs.count() == 4 and runs.where("best").count() == 2
+    assert set(runs.first().params) == set(small)
+    with pytest.raises(ValueError):
+        jobs.tune(ws, folds_by="days")
+
+
+def test_search_points():
+    drawn = md.search_points(25, 1991)
+    assert len(drawn) == 25 == len({json.dumps(p, sort_keys=True) for p in drawn})
+    assert drawn == md.search_points(25, 1991) != md.search_points(25, 1992)
+    assert len(md.search_points(50, 42)) == 48  # the whole grid
+
+
+def test_forecast(ws):
+    jobs.train_forecast(ws, PARAMS)
+    metrics = jobs.forecast(ws).first()
+    predictions = ws.read("predictions")
+    assert metrics.n == predictions.count() > 0
+    assert 1.5 < predictions.agg(F.avg("predicted")).first()[0] < 1.7
+
+
+def test_load_files(ws, spark, tmp_path):
+    from pricetide.sources import writers
+
+    prices = ws.read("prices").select(
+        "id", "uuid", *FUELS, F.concat(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")).alias("date"), "change"
+    )
+    writers.write_tsv(prices, str(tmp_path / "p"))
+    writers.write_tsv(ws.read("stations").select(*STATION_FILE_COLUMNS), str(tmp_path / "s"))
+    other = Workspace(spark, str(tmp_path / "ws"))
+    jobs.load_files(other, str(tmp_path / "p"), str(tmp_path / "s"))
+    for table in ("prices", "stations"):
+        mine, theirs = other.read(table), ws.read(table)
+        assert mine.select(*theirs.columns).exceptAll(theirs).count() == 0 and mine.count() == theirs.count()
