@@ -13,7 +13,7 @@ from pricetide.operators.frames import drop_strict
 from pricetide.schemas import FUELS, UNUSED_STATION_COLUMNS
 
 # A window partition holds at most about this many records of a station; a station with more is cut
-# into time slices of about SLICE_ROWS records.
+# into parts of about SLICE_ROWS records.
 STATION_ROWS = 4_000_000
 SLICE_ROWS = 1_000_000
 
@@ -21,14 +21,18 @@ SLICE_ROWS = 1_000_000
 HISTORY_DAYS = 60
 
 
-def recent(prices: DataFrame, days: int = HISTORY_DAYS, as_of: datetime | Column | None = None) -> DataFrame:
-    """Records of the last `days` days up to `as_of` (default now), the cutoff itself included.
+def is_recent(prices: DataFrame, days: int = HISTORY_DAYS, as_of: datetime | Column | None = None) -> Column:
+    """Whether a record is of the last `days` days up to `as_of` (default now), the cutoff itself included.
 
     Only the literal side is cast, so the comparison reaches the Parquet scan.
     """
     moment = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
     cutoff = moment.cast(prices.schema["date"].dataType) - F.make_dt_interval(days=F.lit(days))
-    return prices.where(F.col("date") >= cutoff)
+    return F.col("date") >= cutoff
+
+
+def recent(prices: DataFrame, days: int = HISTORY_DAYS, as_of: datetime | Column | None = None) -> DataFrame:
+    return prices.where(is_recent(prices, days, as_of))
 
 
 def normalise_prices(prices: DataFrame) -> DataFrame:
@@ -72,42 +76,68 @@ def with_time_features(prices: DataFrame, zone: str | None = None) -> DataFrame:
     return prices.withColumns(fx.time_features(date))
 
 
-def _busy_stations(prices: DataFrame, station_rows: int, slice_rows: int) -> DataFrame:
-    """Stations with too many records for one task, with first record and slice width in microseconds.
+LAST_SLICE = (1 << 63) - 1
 
-    Counting combines on the map side. There are at most (all records / station_rows) such stations,
-    which is the bound of the broadcast below.
+
+def _busy_groups(rows: DataFrame, keys: list[str], station_rows: int, slice_rows: int) -> DataFrame:
+    """Groups with too many records for one task, with where they begin and the width of a slice.
+
+    Widths are microseconds, or record ids where all records have the same moment. Counting combines
+    on the map side. There are at most (all records / station_rows) such groups, which bounds the
+    broadcast of this table.
     """
-    span = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("_last")).cast("double")
+    moments = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("_last"))
+    by_id = F.coalesce(F.col("_first") == F.col("_last"), F.lit(True))
+    span = F.when(by_id, F.col("_last_id") - F.col("_first_id")).otherwise(moments).cast("double")
     return (
-        prices.where(F.col("uuid").isNotNull())
-        .groupBy("uuid")
-        .agg(F.count("*").alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"))
+        rows.groupBy(*keys)
+        .agg(
+            F.count("*").alias("_n"),
+            F.min("date").alias("_first"),
+            F.max("date").alias("_last"),
+            F.min("id").alias("_first_id"),
+            F.max("id").alias("_last_id"),
+        )
         .where(F.col("_n") > station_rows)
         .select(
-            "uuid",
+            *keys,
             "_first",
-            F.greatest(F.lit(1), F.ceil(span * slice_rows / F.col("_n"))).cast("long").alias("_width"),
+            "_first_id",
+            by_id.alias("_by_id"),
+            F.greatest(F.lit(1.0), F.ceil(span * slice_rows / F.col("_n"))).alias("_width"),
         )
     )
 
 
+def _sliced(rows: DataFrame, busy: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add the slice of every record in its group: 0 where the group is not busy."""
+    moment = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("date"))
+    offset = F.when(F.col("_by_id"), F.col("id") - F.col("_first_id")).otherwise(moment)
+    undated = F.col("date").isNull() & F.col("_first").isNotNull()
+    number = F.when(F.col("_width").isNull(), F.lit(0)).when(undated, F.lit(LAST_SLICE))
+    number = number.otherwise(F.coalesce(F.floor(offset / F.col("_width")), F.lit(LAST_SLICE)))
+    return rows.join(F.broadcast(busy), keys, "left").select(
+        *rows.columns, F.col("_width").isNotNull().alias("_busy"), number.cast("long").alias(name)
+    )
+
+
 def _slice_by_time(prices: DataFrame, station_rows: int, slice_rows: int) -> DataFrame:
-    """Add `_slice`: 0 for ordinary stations, the time slice for busy ones.
+    """Add `_busy`, `_slice` and `_part`, which order the parts of a busy station.
 
-    Records without a station have no next price, so they are spread by hash.
+    A busy station is cut evenly in time; a slice that is still too large, because the station had a
+    burst of records, is cut again within its own bounds. Records without a station have no next
+    record, so they are spread by hash.
     """
-    busy = _busy_stations(prices, station_rows, slice_rows)
-    offset = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("date"))
-    return prices.join(F.broadcast(busy), "uuid", "left").select(
-        *prices.columns,
-        F.col("_width").isNotNull().alias("_busy"),
-        F.when(F.col("uuid").isNull(), F.xxhash64("id", "date"))
-        .when(F.col("_width").isNull(), F.lit(0))
-        .when(F.col("date").isNull(), F.lit((1 << 63) - 1))  # undated records come last
-        .otherwise(F.floor(offset / F.col("_width")))
-        .cast("long")
-        .alias("_slice"),
+    limits = (station_rows, slice_rows)
+    known = prices.where(F.col("uuid").isNotNull())
+    sliced = _sliced(prices, _busy_groups(known, ["uuid"], *limits), ["uuid"], "_slice")
+    bursts = _busy_groups(sliced.where("_busy"), ["uuid", "_slice"], *limits)
+    spread = F.when(F.col("uuid").isNull(), F.xxhash64("id", "date")).otherwise(F.col("_slice"))
+    return (
+        _sliced(sliced.withColumnRenamed("_busy", "_station_busy"), bursts, ["uuid", "_slice"], "_part")
+        .withColumn("_slice", spread)
+        .withColumn("_busy", F.col("_station_busy"))
+        .drop("_station_busy")
     )
 
 
@@ -119,30 +149,28 @@ def with_next(
 ) -> DataFrame:
     """Values of the station's next record, by date and then id; `names` maps columns to new columns.
 
-    An ordinary station is one window partition. A busy station is cut into time slices: the next
-    record is found inside the slice, and the last record of a slice takes the first record of the
-    station's next slice. Slice heads are pre-aggregated, and their join reuses the partitioning and
+    An ordinary station is one window partition. A busy station is cut into parts in time order: the
+    next record is found inside the part, and the last record of a part takes the first record of the
+    station's next part. Heads of parts are pre-aggregated, and their join reuses the partitioning and
     the sort of the window.
     """
     sliced = _slice_by_time(prices, station_rows, slice_rows)
     order = [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()]
     record = F.struct(*names)
-    within = F.lead(record).over(Window.partitionBy("uuid", "_slice").orderBy(*order))
+    keys = ["uuid", "_slice", "_part"]
+    within = F.lead(record).over(Window.partitionBy(*keys).orderBy(*order))
     heads = (
         sliced.where("_busy")
-        .groupBy("uuid", "_slice")
+        .groupBy(*keys)
         .agg(F.min_by(record, F.struct("date", "id")).alias("_head"))
-        .select(
-            "uuid",
-            "_slice",
-            F.lead("_head").over(Window.partitionBy("uuid").orderBy("_slice")).alias("_next_head"),
-        )
+        .withColumn("_next_head", F.lead("_head").over(Window.partitionBy("uuid").orderBy("_slice", "_part")))
+        .drop("_head")
     )
     following = F.coalesce(F.col("_within"), F.col("_next_head"))
     known = F.col("uuid").isNotNull()
     return (
         sliced.withColumn("_within", within)
-        .join(heads, ["uuid", "_slice"], "left")
+        .join(heads, keys, "left")
         .select(*prices.columns, *[F.when(known, following[column]).alias(name) for column, name in names.items()])
     )
 

@@ -29,26 +29,35 @@ ROW_ORDER = ["day_key", "uuid", "date", "id"]
 SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SEED, SEARCH_ROUNDS = 50, 4, 42, 100
 
 
+def _write_prices(ws: Workspace, parsed: DataFrame) -> None:
+    """Price rows stored by usability and day: one pass gives the records and the rejects."""
+    usable = F.col("reject").isNull()
+    stored = mn.with_day_key(parsed).withColumns(
+        {"usable": usable.cast("int"), "line": F.when(~usable, F.col("line"))}
+    )
+    writers.write_table(stored, ws.path("price_rows"), ["usable", "day_key"])
+
+
+def _write_stations(ws: Workspace, parsed: DataFrame) -> None:
+    writers.write_table(rows.accepted(parsed).transform(pr.latest_stations), ws.path("stations"))
+    writers.write_table(rows.rejected(parsed), ws.path("station_rejects"))
+
+
 def extract(ws: Workspace, dump_path: str, as_of: datetime | Column | None = None) -> None:
-    """Text dump to the price table (last 60 days, stored by day), the station table and the rejects."""
+    """Text dump to price rows of the last 60 days and stations, with the rejects of both."""
     lines = dump.land_dump(ws.spark, dump_path, ws.path("dump_lines"))
     sections = dump.copy_sections(lines, [PRICE_SECTION, STATION_SECTION])
-    prices = dump.parse_price_lines(sections[PRICE_SECTION])
-    stations = dump.parse_station_lines(sections[STATION_SECTION])
-    recent = rows.accepted(prices).transform(pr.recent, as_of=as_of).transform(mn.with_day_key)
-    writers.write_table(recent, ws.path("prices"), ["day_key"])
-    writers.write_table(rows.accepted(stations).transform(pr.latest_stations), ws.path("stations"))
-    writers.write_table(rows.rejected(prices).unionByName(rows.rejected(stations)), ws.path("rejects"))
+    parsed = dump.parse_price_lines(sections[PRICE_SECTION])
+    _write_prices(ws, parsed.where(F.col("reject").isNotNull() | pr.is_recent(parsed, as_of=as_of)))
+    _write_stations(ws, dump.parse_station_lines(sections[STATION_SECTION]))
 
 
 def load_files(ws: Workspace, prices_tsv: str, stations_tsv: str) -> None:
     """Price and station files (TSV) to the same tables as `extract`."""
-    prices = tables.read_prices(ws.spark, prices_tsv)
-    stations = tables.read_stations(ws.spark, stations_tsv)
-    dated = rows.accepted(prices).transform(pr.parse_dates).transform(mn.with_day_key)
-    writers.write_table(dated, ws.path("prices"), ["day_key"])
-    writers.write_table(rows.accepted(stations).transform(pr.latest_stations), ws.path("stations"))
-    writers.write_table(rows.rejected(prices).unionByName(rows.rejected(stations)), ws.path("rejects"))
+    parsed = tables.read_prices(ws.spark, prices_tsv).transform(pr.parse_dates)
+    undated = F.when(F.col("date").isNull(), "date not readable")
+    _write_prices(ws, parsed.withColumn("reject", F.coalesce("reject", undated)))
+    _write_stations(ws, tables.read_stations(ws.spark, stations_tsv))
 
 
 def load_oil(ws: Workspace, oil_csv: str, skip_first: bool = True) -> None:
@@ -59,7 +68,7 @@ def load_oil(ws: Workspace, oil_csv: str, skip_first: bool = True) -> None:
 
 def build_features(ws: Workspace) -> None:
     """Enriched price table (stored by day, with record id) and the final table."""
-    features = pr.price_features(ws.read("prices").drop("day_key"), ws.read("stations"))
+    features = pr.price_features(ws.prices.drop("day_key"), ws.read("stations"))
     writers.write_table(features.transform(mn.with_day_key), ws.path("features"), ["day_key"])
     final = pr.final_table(ws.read("features").drop("day_key"))
     writers.write_table(final, ws.path("final"), ["month", "day"])

@@ -19,3 +19,12 @@ class Workspace:
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
+
+    @property
+    def prices(self) -> DataFrame:
+        """Usable price records; partition pruning leaves the rejected rows out."""
+        return self.read("price_rows").where("usable = 1").drop("usable", "reject", "line")
+
+    @property
+    def price_rejects(self) -> DataFrame:
+        return self.read("price_rows").where("usable = 0").select("line", "reject")

@@ -48,16 +48,17 @@ def ws(spark, tmp_path_factory):
 
 
 def test_extract(ws):
-    prices = ws.read("prices")
+    prices = ws.prices
     oldest = prices.agg(F.min("date")).first()[0]
     assert END - timedelta(days=60) <= oldest < END - timedelta(days=58)
-    assert [r.reject for r in ws.read("rejects").collect()] == ["too few fields"]
+    assert [r.reject for r in ws.price_rejects.collect()] == ["too few fields"]
+    assert ws.read("station_rejects").count() == 0
     assert ws.read("stations").count() == 12
     assert ws.read("oil").count() == 69  # the first day is skipped
 
 
 def test_feature_tables(ws):
-    assert ws.read("features").count() == ws.read("prices").count() == ws.read("final").count()
+    assert ws.read("features").count() == ws.prices.count() == ws.read("final").count()
     ends = ws.read("features").where("diesel_shift IS NULL AND diesel IS NOT NULL")
     assert ends.count() >= 1
     assert {"id", "date"}.isdisjoint(ws.read("final").columns)
@@ -137,13 +138,12 @@ def test_forecast(ws):
 def test_load_files(ws, spark, tmp_path):
     from pricetide.sources import writers
 
-    prices = ws.read("prices").select(
+    prices = ws.prices.select(
         "id", "uuid", *FUELS, F.concat(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")).alias("date"), "change"
     )
     writers.write_tsv(prices, str(tmp_path / "p"))
     writers.write_tsv(ws.read("stations").select(*STATION_FILE_COLUMNS), str(tmp_path / "s"))
     other = Workspace(spark, str(tmp_path / "ws"))
     jobs.load_files(other, str(tmp_path / "p"), str(tmp_path / "s"))
-    for table in ("prices", "stations"):
-        mine, theirs = other.read(table), ws.read(table)
+    for mine, theirs in ((other.prices, ws.prices), (other.read("stations"), ws.read("stations"))):
         assert mine.select(*theirs.columns).exceptAll(theirs).count() == 0 and mine.count() == theirs.count()

@@ -59,9 +59,9 @@ def by_hand(rows):
     return expected
 
 
-@pytest.mark.parametrize("limits", [{}, {"station_rows": 20, "slice_rows": 7}, {"station_rows": 0, "slice_rows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"station_rows": 20, "slice_rows": 7}, {"station_rows": 0, "slice_rows": 1}, {"station_rows": 3, "slice_rows": 2}])
 def test_busy_stations_against_brute_force(make, limits):
-    """One station holds a third of the rows, many at the same moment, with missing prices."""
+    """One station holds a third of the rows, in bursts and at the same moments, with missing prices."""
     rng = random.Random(5)
     start, rows = datetime(2025, 4, 1), []
     for key in range(600):
@@ -74,15 +74,21 @@ def test_busy_stations_against_brute_force(make, limits):
     assert following(make(rows, SCHEMA), **limits) == expected
 
 
+def sizes(sliced):
+    return [r["count"] for r in sliced.groupBy("uuid", "_slice", "_part").count().collect()]
+
+
 def test_busy_station_is_spread(make):
-    """No slice of a busy station holds much more than asked for when its records are even in time."""
+    """Even records, bursts and records of one moment all end up in parts of about the size asked for."""
     start = datetime(2025, 4, 1)
-    rows = [(i, "hot", (start + timedelta(minutes=i)).isoformat(sep=" "), 1.0) for i in range(1000)]
-    sliced = pr._slice_by_time(make(rows, SCHEMA), station_rows=100, slice_rows=50)
-    sizes = [r["count"] for r in sliced.groupBy("uuid", "_slice").count().collect()]
-    assert len(sizes) >= 20 and max(sizes) <= 52
-    even = pr._slice_by_time(make([(i, None, None, 1.0) for i in range(200)], SCHEMA), 100, 50)
-    assert even.select("_slice").distinct().count() == 200
+    even = [start + timedelta(minutes=i) for i in range(1000)]
+    burst = [start + timedelta(days=30 * (i == 0), milliseconds=i) for i in range(1000)]
+    for moments in (even, burst, [start] * 1000, [None] * 1000):
+        rows = [(i, "hot", m and m.isoformat(sep=" "), 1.0) for i, m in enumerate(moments)]
+        found = sizes(pr._slice_by_time(make(rows, SCHEMA), station_rows=100, slice_rows=50))
+        assert len(found) >= 10 and max(found) <= 100, found
+    nobody = sizes(pr._slice_by_time(make([(i, None, None, 1.0) for i in range(200)], SCHEMA), 100, 50))
+    assert nobody == [1] * 200
 
 
 def test_enrich_keeps_every_record(make, spark):
