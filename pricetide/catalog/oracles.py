@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from pricetide.catalog import standins
-from pricetide.catalog.queries import AS_OF, FOLDS, LAST_DAYS, RECENT_DAYS, VALID_TRAIN_DAYS
+from pricetide.catalog.queries import AS_OF, FOLDS, LAST_DAYS, LIVE_AT, RECENT_DAYS, VALID_TRAIN_DAYS
 
 FUELS = ["e5", "e10", "diesel"]
 
@@ -79,6 +79,13 @@ PARTS: dict[str, str] = {
         FROM e5_daily
         WINDOW w AS (PARTITION BY uuid ORDER BY day),
           f AS (PARTITION BY uuid ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    "live": """
+        SELECT id, cast('1.' || right(post_code, 2) AS double) AS e5 FROM stations WHERE post_code NOT LIKE '%N'""",
+    "newest": "SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY day DESC) AS back FROM e5_daily",
+    "history": """
+        SELECT uuid, any_value(e5_1d_mean) FILTER (back = 1) AS lag_1, any_value(e5_1d_mean) FILTER (back = 3) AS lag_3,
+          any_value(e5_1d_mean) FILTER (back = 7) AS lag_7, avg(e5_1d_mean) AS mean_7, stddev_samp(e5_1d_mean) AS sd_7
+        FROM newest WHERE back <= 7 GROUP BY uuid""",
     "oil": """
         SELECT date, close AS oil_price,
           avg(close) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS oil_7d_avg FROM oil_daily""",
@@ -198,6 +205,13 @@ _MAIN: dict[str, str] = {
         FROM prices_raw p LEFT JOIN oil_daily o ON cast(p.date AS date) = o.date""",
     "q_lag_features": f"""
         SELECT uuid, {DAY.format("day")} AS day, {_rs(*LAGGED)} FROM lagged LEFT JOIN oil ON lagged.day = oil.date""",
+    "q_live_features": f"""
+        SELECT l.id, {LIVE_AT.hour} AS hour, {_r("l.e5", "e5")},
+          {_r(f"sin(2 * pi() * {LIVE_AT.hour} / 24)", "hour_sin")}, {_r(f"cos(2 * pi() * {LIVE_AT.hour} / 24)", "hour_cos")},
+          {_r("coalesce(h.lag_1, l.e5)", "e5_lag_1")}, {_r("coalesce(h.lag_3, l.e5)", "e5_lag_3")},
+          {_r("coalesce(h.lag_7, l.e5)", "e5_lag_7")}, {_r("coalesce(h.mean_7, l.e5)", "e5_7d_avg")},
+          {_r("coalesce(h.sd_7, 0)", "e5_volatility")}, 70.0::double AS oil_price, 70.0::double AS oil_7d_avg
+        FROM live l LEFT JOIN history h ON l.id = h.uuid""",
     "q_train_rows": f"SELECT id, uuid, {_rs('diesel', 'diesel_shift')}, price_will_change FROM train_rows",
     "q_day_index": """
         SELECT id, (month(day) * 100 + day(day))::int AS mmdd, day_idx::int AS day_idx FROM short_slice""",

@@ -13,6 +13,7 @@ from pricetide.catalog.standins import StandIns
 from pricetide.functions.features import mmdd
 from pricetide.functions.text import clean_category
 from pricetide.operators import encode as en
+from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
 from pricetide.operators import model as md
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Fixed values of the queries; the checking SQL uses the same.
 AS_OF = datetime(2024, 1, 31)
+LIVE_AT = datetime(2024, 1, 31, 17)
 RECENT_DAYS = 10
 LAST_DAYS = 25
 VALID_TRAIN_DAYS = 24
@@ -243,6 +245,18 @@ def q_lag_features(t: StandIns) -> DataFrame:
     return lagged.select("uuid", _day().alias("day"), *_rounded(*doubles))
 
 
+@query
+def q_live_features(t: StandIns) -> DataFrame:
+    """A live list with every station of the master; many of them have little or no history."""
+    document = F.format_string('{"stations":[{"id":"%s","e5":1.%s}]}', "id", F.right("post_code", F.lit(2)))
+    station = T.StructType([T.StructField("id", T.StringType()), T.StructField("e5", T.DoubleType())])
+    known = t.stations.where(F.right("post_code", F.lit(1)) != "N").select(document.alias("text"))
+    live = tables.flatten_stations(known, "text", station)
+    featured = lv.live_features(live, lv.history_features(_daily(t)), LIVE_AT)
+    doubles = ["e5", *[name for name in md.FORECAST_FEATURES if name != "station_id_encoded"]]
+    return featured.select("id", "hour", *_rounded(*doubles))
+
+
 # Splits
 
 

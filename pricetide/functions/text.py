@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character that counts as white space in Unicode; the last one is the ideographic space.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
-    """Remove any Unicode whitespace at both ends (`trim` removes only spaces)."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Remove any Unicode white space at both ends (`trim` alone removes only spaces)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_category(text: Column) -> Column:

@@ -19,10 +19,11 @@ def spelled(column: str) -> Column:
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
     """Dictionary (value, code) of a column's distinct values in sorted order.
 
-    The dictionary is a written table, so it may outgrow the driver, and its size is known when it is
-    joined.
+    Raw values are made distinct before they are spelled, so spelling does not run per row. The
+    dictionary is a written table: it may outgrow the driver, and its size is known when it is joined.
     """
-    values = rows.select(spelled(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    raw = rows.select(column).distinct()
+    values = raw.select(spelled(column).alias("value")).where(F.col("value").isNotNull()).distinct()
     return with_global_index(values, ["value"], "code")
 
 

@@ -72,12 +72,14 @@ def report_from_cells(cells: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Exact area under the ROC curve, ties counted half.
 
-    `numBins=0` keeps every distinct score; equal scores are combined before the sort, and the sort is
-    range-partitioned. One number comes back.
+    Rows are counted per score and class first, which combines on the map side; the evaluator then sorts
+    the distinct scores by range. `numBins=0` keeps every distinct score. One number comes back.
     """
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="y_prob", labelCol="y_true", numBins=0)
-    area = evaluator.evaluate(scored.select(F.col("y_prob").cast("double"), F.col("y_true").cast("double")))
-    return scored.sparkSession.createDataFrame([(area,)], "roc_auc double")
+    counts = scored.groupBy(F.col("y_prob").cast("double").alias("y_prob"), F.col("y_true").cast("double").alias("y_true")).agg(
+        F.count("*").cast("double").alias("n")
+    )
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="y_prob", labelCol="y_true", weightCol="n", numBins=0)
+    return scored.sparkSession.createDataFrame([(evaluator.evaluate(counts),)], "roc_auc double")
 
 
 def log_loss(scored: DataFrame) -> DataFrame:

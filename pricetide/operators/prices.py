@@ -14,8 +14,8 @@ from pricetide.schemas import FUELS, UNUSED_STATION_COLUMNS
 
 # A window partition holds at most about this many records of a station; a station with more is cut
 # into parts of about SLICE_ROWS records.
-STATION_ROWS = 4_000_000
-SLICE_ROWS = 1_000_000
+STATION_ROWS = 2_000_000
+SLICE_ROWS = 250_000
 
 # Fixed value: days of price history that are kept.
 HISTORY_DAYS = 60

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.features import day_key
 from pricetide.operators import encode as en
+from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
 from pricetide.operators import model as md
 from pricetide.operators import prices as pr
 from pricetide.operators import split as sp
+from pricetide.operators.frames import drop_incomplete
 from pricetide.plans.workspace import Workspace
-from pricetide.schemas import PRICE_SECTION, STATION_SECTION
+from pricetide.schemas import LIVE_SCHEMA, PRICE_SECTION, STATION_SECTION
 from pricetide.sources import dump, rows, tables, writers
 
 ENCODED = ["brand", "uuid"]
@@ -215,3 +217,19 @@ def forecast(ws: Workspace) -> DataFrame:
     metrics = mt.regression_metrics(ws.read("predictions"))
     writers.append_run(metrics, ws.path("runs_forecast"))
     return metrics
+
+
+def forecast_live(ws: Workspace, live_json: str, moment: datetime) -> DataFrame:
+    """Predict e5 for every complete station of landed live lists, at `moment`.
+
+    Lags and averages come from the station's history, the oil price from the last known day.
+    """
+    documents = ws.spark.read.text(live_json, wholetext=True)
+    live = drop_incomplete(tables.flatten_stations(documents, "value", LIVE_SCHEMA))
+    history = lv.history_features(mn.daily_means(ws.read("features"), ["e5"]))
+    last_oil = mn.oil_features(ws.read("oil")).orderBy(F.desc("date")).first()  # one row
+    featured = lv.live_features(live, history, moment, "e5", last_oil["oil_price"], last_oil["oil_7d_avg"])
+    known = featured.withColumn("uuid", F.col("id"))
+    encoded = en.encode(known, ws.read("codes_forecast"), "uuid", "station_id_encoded")
+    predicted = md.forecast(tables.load_model(ws.path("forecast_model")), encoded)
+    return mt.comparison(predicted, "id", "e5", "predicted_e5")

@@ -34,3 +34,5 @@ def _fields(names, types, default):
 PRICE_SCHEMA = T.StructType(_fields(PRICE_FILE_COLUMNS, _PRICE_TYPES, T.IntegerType()))
 STATION_SCHEMA = T.StructType(_fields(STATION_FILE_COLUMNS, _STATION_TYPES, T.StringType()))
 OIL_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("close", T.DoubleType())])
+# Fields used of a station in a live list.
+LIVE_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("e5", T.DoubleType())])

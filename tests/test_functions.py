@@ -36,6 +36,11 @@ def test_category_cleaning(spark):
     assert column(spark, [" a ", "\tq", "ß ", " x y\n", None], tx.clean_category) == ["A", "Q", "SS", "X Y", None]
 
 
+def test_strip_removes_what_python_strips(spark):
+    texts = [f"{c}a{c}b{c}{c}" for c in tx.WHITE_SPACE] + ["", " \t ", "\u200ba", "é\u3000", "\u2003"]
+    assert column(spark, texts, tx.strip) == [t.strip() for t in texts]
+
+
 def test_post_codes(spark):
     assert column(spark, ["01067", "\\N", "x", "12.0"], lambda v: tx.to_int(tx.null_marker(v))) == [1067, None, None, 12]
 

@@ -135,6 +135,23 @@ def test_forecast(ws):
     assert 1.5 < predictions.agg(F.avg("predicted")).first()[0] < 1.7
 
 
+def test_live_forecast(ws, tmp_path):
+    stations = [{"id": "s1", "e5": 1.6, "name": "x"}, {"id": "new", "e5": 1.55}, {"id": "s2", "e5": False}, {"e5": 1.5}]
+    (tmp_path / "list.json").write_text(json.dumps({"ok": True, "stations": stations}))
+    predicted = {r.id: r for r in jobs.forecast_live(ws, str(tmp_path / "list.json"), END).collect()}
+    assert set(predicted) == {"s1", "new"}  # incomplete stations are left out
+    assert all(1.4 < r.predicted < 1.8 for r in predicted.values())
+
+
+def test_command_line(ws, capsys):
+    from pricetide.__main__ import parser, run
+
+    run(ws, parser().parse_args(["--root", ws.root, "eval", "--threshold", "0.7"]))
+    assert "weighted avg" in capsys.readouterr().out
+    assert ws.read("runs_eval").where("threshold = 0.7").count() == 1
+    assert parser().parse_args(["--root", "r", "tune", "--n-iter", "25", "--cv-folds", "2"]).n_iter == 25
+
+
 def test_load_files(ws, spark, tmp_path):
     from pricetide.sources import writers
 
