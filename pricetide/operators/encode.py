@@ -24,7 +24,7 @@ def category_codes(rows: DataFrame, column: str) -> DataFrame:
     """
     raw = rows.select(column).distinct()
     values = raw.select(spelled(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return with_global_index(values, ["value"], "code")
+    return with_global_index(values, ["value"], "code", unique=True)
 
 
 def encode(rows: DataFrame, codes: DataFrame, column: str, name: str | None = None) -> DataFrame:

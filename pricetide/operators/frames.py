@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.session import scratch_path
@@ -31,27 +32,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def with_global_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
-    """Number all rows 0..n-1 in the order of `order`, without a single-partition window.
+# Rows of a range partition: fewer partitions than the session's for small tables, more for large ones.
+FEWEST_ROWS = 50_000
+MOST_ROWS = 4_000_000
+
+
+def _range_partitions(table: DataFrame, fewest: int, most: int) -> int:
+    rows = table.count()  # from the footers of a written table
+    session = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(session, rows // fewest), ceil(rows / most))
 
-    Rows are range-partitioned and sorted, so the position in the whole is the position in the
-    partition plus the sizes of the partitions before it. The placed rows are written once to the
-    shared folder: sizes and rows then come from the same placement, also when a lost executor makes
-    Spark compute a part again. Sizes are one row per partition, which bounds the broadcast.
+
+def placed(
+    df: DataFrame,
+    order: list[str | Column],
+    unique: bool = False,
+    fewest: int = FEWEST_ROWS,
+    most: int = MOST_ROWS,
+) -> DataFrame:
+    """Rows in global order, as a written table with `_part` (range partition) and `_pos` (place in it).
+
+    Ranges are even whatever the keys are, because a random last key tells equal rows apart. That key is
+    written with the rows before it is used, and so is the placement: when a lost executor makes Spark
+    compute a part again, it finds the same keys, and every reader sees the same places. `unique` rows
+    differ in `order` and need no such key.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = [F.col(key) if isinstance(key, str) else key for key in order]
+    if unique:
+        ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    else:
+        salted = written(df.withColumn("_salt", F.rand()), "salted")
+        parts, keys = _range_partitions(salted, fewest, most), [*keys, F.col("_salt")]
+        ordered = salted.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_salt")
     # The id is the partition number, shifted left by 33 bits, plus the position in the partition.
-    placed = written(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
-    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    table = written(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    return table.select(
+        *df.columns,
+        F.shiftright("_place", 33).alias("_part"),
+        F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
+    )
+
+
+def with_global_index(
+    df: DataFrame, order: list[str | Column], name: str = "row_idx", unique: bool = False
+) -> DataFrame:
+    """Number all rows 0..n-1 in the order of `order`, without a single-partition window.
+
+    The number is the place in the partition plus the sizes of the partitions before it. Sizes are one
+    row per partition, which bounds the broadcast.
+    """
+    rows = placed(df, order, unique)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_part")
+        rows.groupBy("_part")
         .agg(F.count("*").alias("_size"))
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    position = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + position)
-        .drop("_part", "_place", "_offset")
-    )
+    number = (F.col("_offset") + F.col("_pos")).alias(name)
+    return rows.join(F.broadcast(offsets), "_part").select(*df.columns, number)

@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import features as fx
 from pricetide.functions.text import null_marker, parse_utc, to_int
-from pricetide.operators.frames import drop_strict
+from pricetide.operators.frames import drop_strict, placed, written
 from pricetide.schemas import FUELS, UNUSED_STATION_COLUMNS
 
-# A window partition holds at most about this many records of a station; a station with more is cut
-# into parts of about SLICE_ROWS records.
+# A station with more records than this is not one window partition.
 STATION_ROWS = 2_000_000
-SLICE_ROWS = 250_000
 
 # Fixed value: days of price history that are kept.
 HISTORY_DAYS = 60
@@ -76,108 +74,62 @@ def with_time_features(prices: DataFrame, zone: str | None = None) -> DataFrame:
     return prices.withColumns(fx.time_features(date))
 
 
-LAST_SLICE = (1 << 63) - 1
+def _in_order() -> list[Column]:
+    return [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()]
 
 
-def _busy_groups(rows: DataFrame, keys: list[str], station_rows: int, slice_rows: int) -> DataFrame:
-    """Groups with too many records for one task, with where they begin and the width of a slice.
-
-    Widths are microseconds, or record ids where all records have the same moment. Counting combines
-    on the map side. There are at most (all records / station_rows) such groups, which bounds the
-    broadcast of this table.
-    """
-    moments = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("_last"))
-    by_id = F.coalesce(F.col("_first") == F.col("_last"), F.lit(True))
-    span = F.when(by_id, F.col("_last_id") - F.col("_first_id")).otherwise(moments).cast("double")
-    return (
-        rows.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min("date").alias("_first"),
-            F.max("date").alias("_last"),
-            F.min("id").alias("_first_id"),
-            F.max("id").alias("_last_id"),
-        )
-        .where(F.col("_n") > station_rows)
-        .select(
-            *keys,
-            "_first",
-            "_first_id",
-            by_id.alias("_by_id"),
-            F.greatest(F.lit(1.0), F.ceil(span * slice_rows / F.col("_n"))).alias("_width"),
-        )
-    )
+def _next_of_ordinary(records: DataFrame, record: Column) -> DataFrame:
+    """A station is one window partition."""
+    return records.withColumn("_next", F.lead(record).over(Window.partitionBy("uuid").orderBy(*_in_order())))
 
 
-def _sliced(rows: DataFrame, busy: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add the slice of every record in its group: 0 where the group is not busy."""
-    moment = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("date"))
-    offset = F.when(F.col("_by_id"), F.col("id") - F.col("_first_id")).otherwise(moment)
-    undated = F.col("date").isNull() & F.col("_first").isNotNull()
-    number = F.when(F.col("_width").isNull(), F.lit(0)).when(undated, F.lit(LAST_SLICE))
-    number = number.otherwise(F.coalesce(F.floor(offset / F.col("_width")), F.lit(LAST_SLICE)))
-    return rows.join(F.broadcast(busy), keys, "left").select(
-        *rows.columns, F.col("_width").isNotNull().alias("_busy"), number.cast("long").alias(name)
-    )
-
+def _next_of_busy(records: DataFrame, record: Column) -> DataFrame:
+    """Records are put in global order and cut into even parts, wherever a station begins or ends.
 
-def _slice_by_time(prices: DataFrame, station_rows: int, slice_rows: int) -> DataFrame:
-    """Add `_busy`, `_slice` and `_part`, which order the parts of a busy station.
-
-    A busy station is cut evenly in time; a slice that is still too large, because the station had a
-    burst of records, is cut again within its own bounds. Records without a station have no next
-    record, so they are spread by hash.
+    The next record is found inside the part; the last record of a part takes the first record of the
+    next part. Those are one row per part, which bounds the broadcast.
     """
-    limits = (station_rows, slice_rows)
-    known = prices.where(F.col("uuid").isNotNull())
-    sliced = _sliced(prices, _busy_groups(known, ["uuid"], *limits), ["uuid"], "_slice")
-    bursts = _busy_groups(sliced.where("_busy"), ["uuid", "_slice"], *limits)
-    spread = F.when(F.col("uuid").isNull(), F.xxhash64("id", "date")).otherwise(F.col("_slice"))
+    rows = placed(records, ["uuid", *_in_order()])
+    follower = F.struct("uuid", record.alias("record"))
+    heads = rows.where(F.col("_pos") == 0).select("_part", follower.alias("_head"))
+    next_heads = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_next_head"))
+    within = F.lead(follower).over(Window.partitionBy("_part").orderBy("_pos"))
+    following = F.coalesce("_follower", "_next_head")
     return (
-        _sliced(sliced.withColumnRenamed("_busy", "_station_busy"), bursts, ["uuid", "_slice"], "_part")
-        .withColumn("_slice", spread)
-        .withColumn("_busy", F.col("_station_busy"))
-        .drop("_station_busy")
+        rows.withColumn("_follower", within)
+        .join(F.broadcast(next_heads), "_part")
+        .select(*records.columns, F.when(following["uuid"] == F.col("uuid"), following["record"]).alias("_next"))
     )
 
 
-def with_next(
-    prices: DataFrame,
-    names: dict[str, str],
-    station_rows: int = STATION_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
+def with_next(prices: DataFrame, names: dict[str, str], station_rows: int = STATION_ROWS) -> DataFrame:
     """Values of the station's next record, by date and then id; `names` maps columns to new columns.
 
-    An ordinary station is one window partition. A busy station is cut into parts in time order: the
-    next record is found inside the part, and the last record of a part takes the first record of the
-    station's next part. Heads of parts are pre-aggregated, and their join reuses the partitioning and
-    the sort of the window.
+    Any one station may hold a large share of all records. Records are counted per station first: one
+    scan of one column, combined on the map side. Stations with more than `station_rows` records, of
+    which there are at most (all records / station_rows), take a path without a partition per station.
+    Records without a station have no next record and are not shuffled.
     """
-    sliced = _slice_by_time(prices, station_rows, slice_rows)
-    order = [F.col("date").asc_nulls_last(), F.col("id").asc_nulls_last()]
     record = F.struct(*names)
-    keys = ["uuid", "_slice", "_part"]
-    within = F.lead(record).over(Window.partitionBy(*keys).orderBy(*order))
-    heads = (
-        sliced.where("_busy")
-        .groupBy(*keys)
-        .agg(F.min_by(record, F.struct("date", "id")).alias("_head"))
-        .withColumn("_next_head", F.lead("_head").over(Window.partitionBy("uuid").orderBy("_slice", "_part")))
-        .drop("_head")
-    )
-    following = F.coalesce(F.col("_within"), F.col("_next_head"))
-    known = F.col("uuid").isNotNull()
-    return (
-        sliced.withColumn("_within", within)
-        .join(heads, keys, "left")
-        .select(*prices.columns, *[F.when(known, following[column]).alias(name) for column, name in names.items()])
-    )
-
-
-def with_next_price(prices: DataFrame, price: str = "diesel", name: str = "diesel_shift", **limits: int) -> DataFrame:
+    known = prices.where(F.col("uuid").isNotNull())
+    counts = known.groupBy("uuid").agg(F.count("*").alias("_n"))
+    busy = written(counts.where(F.col("_n") > station_rows).select("uuid"), "busy-stations")
+    if busy.isEmpty():
+        followed = _next_of_ordinary(known, record)
+    else:
+        ordinary = known.join(F.broadcast(busy), "uuid", "left_anti")
+        crowded = known.join(F.broadcast(busy), "uuid", "left_semi")
+        followed = _next_of_ordinary(ordinary, record).unionByName(_next_of_busy(crowded, record))
+    alone = prices.where(F.col("uuid").isNull()).withColumn("_next", F.lit(None).cast(followed.schema["_next"].dataType))
+    new = [F.col("_next")[column].alias(name) for column, name in names.items()]
+    return followed.unionByName(alone).select(*prices.columns, *new)
+
+
+def with_next_price(
+    prices: DataFrame, price: str = "diesel", name: str = "diesel_shift", station_rows: int = STATION_ROWS
+) -> DataFrame:
     """Price of the station's next record; NULL for its last record and for records without a station."""
-    return with_next(prices, {price: name}, **limits)
+    return with_next(prices, {price: name}, station_rows)
 
 
 def with_change_label(

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from pricetide.operators import prices as pr
+from pricetide.operators.frames import placed
 
 SCHEMA = "id long, uuid string, date timestamp_ntz, diesel double"
 
@@ -32,7 +33,7 @@ def test_next_price_and_label(make):
 
 def test_records_without_station_have_no_next(make):
     rows = [(1, None, "2025-04-01 10:00", 2.0), (2, None, "2025-04-01 11:00", 3.0)]
-    for limits in ({}, {"station_rows": 0, "slice_rows": 1}):
+    for limits in ({}, {"station_rows": 0}):
         assert following(make(rows, SCHEMA), **limits) == {1: None, 2: None}
 
 
@@ -43,7 +44,7 @@ def test_equal_dates_go_by_id_and_undated_come_last(make):
         (4, "a", None, 4.0),
         (3, "a", None, 3.0),
     ]
-    for limits in ({}, {"station_rows": 0, "slice_rows": 1}):
+    for limits in ({}, {"station_rows": 0}):
         assert following(make(rows, SCHEMA), **limits) == {1: 2.0, 2: 3.0, 3: 4.0, 4: None}
 
 
@@ -59,9 +60,10 @@ def by_hand(rows):
     return expected
 
 
-@pytest.mark.parametrize("limits", [{}, {"station_rows": 20, "slice_rows": 7}, {"station_rows": 0, "slice_rows": 1}, {"station_rows": 3, "slice_rows": 2}])
-def test_busy_stations_against_brute_force(make, limits):
+@pytest.mark.parametrize("limits", [{}, {"station_rows": 40}, {"station_rows": 0}])
+def test_busy_stations_against_brute_force(make, limits, monkeypatch):
     """One station holds a third of the rows, in bursts and at the same moments, with missing prices."""
+    monkeypatch.setattr(pr, "placed", lambda df, order: placed(df, order, most=50))  # a dozen parts
     rng = random.Random(5)
     start, rows = datetime(2025, 4, 1), []
     for key in range(600):
@@ -74,21 +76,27 @@ def test_busy_stations_against_brute_force(make, limits):
     assert following(make(rows, SCHEMA), **limits) == expected
 
 
-def sizes(sliced):
-    return [r["count"] for r in sliced.groupBy("uuid", "_slice", "_part").count().collect()]
+def test_copies_of_a_record(make):
+    """Copies follow each other; the last of them takes the next record. All of them stay."""
+    rows = [(1, "a", "2025-04-01 08:00", 1.0)] * 300 + [(2, "a", "2025-04-01 09:00", 2.0)]
+    for limits in ({}, {"station_rows": 10}):
+        found = pr.with_next_price(make(rows, SCHEMA), **limits).groupBy("id", "diesel_shift").count().collect()
+        assert {(r.id, r.diesel_shift): r["count"] for r in found} == {(1, 1.0): 299, (1, 2.0): 1, (2, None): 1}
 
 
-def test_busy_station_is_spread(make):
-    """Even records, bursts and records of one moment all end up in parts of about the size asked for."""
+def test_one_key_is_spread_over_parts(make):
+    """Even, bursting and undated records of one station, and copies of one record."""
     start = datetime(2025, 4, 1)
-    even = [start + timedelta(minutes=i) for i in range(1000)]
-    burst = [start + timedelta(days=30 * (i == 0), milliseconds=i) for i in range(1000)]
-    for moments in (even, burst, [start] * 1000, [None] * 1000):
-        rows = [(i, "hot", m and m.isoformat(sep=" "), 1.0) for i, m in enumerate(moments)]
-        found = sizes(pr._slice_by_time(make(rows, SCHEMA), station_rows=100, slice_rows=50))
-        assert len(found) >= 10 and max(found) <= 100, found
-    nobody = sizes(pr._slice_by_time(make([(i, None, None, 1.0) for i in range(200)], SCHEMA), 100, 50))
-    assert nobody == [1] * 200
+    even = [(i, start + timedelta(minutes=i)) for i in range(2000)]
+    burst = [(i, start + timedelta(days=30 * (i == 0), milliseconds=i)) for i in range(2000)]
+    undated = [(i, None) for i in range(2000)]
+    copies = [(1, start)] * 2000
+    for records in (even, burst, undated, copies):
+        rows = [(i, "hot", m and m.isoformat(sep=" "), 1.0) for i, m in records]
+        table = placed(make(rows, SCHEMA), ["uuid", *pr._in_order()], most=500)
+        parts = table.groupBy("_part").count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 1000
+        assert table.count() == 2000
 
 
 def test_enrich_keeps_every_record(make, spark):

@@ -10,10 +10,12 @@ import pytest
 
 from pricetide.operators import encode as en
 from pricetide.operators import split as sp
-from pricetide.operators.frames import with_global_index
+from pricetide.operators import frames
+from pricetide.operators.frames import placed, with_global_index
 
 
-def test_global_index(spark):
+def test_global_index(spark, monkeypatch):
+    monkeypatch.setattr(frames, "placed", lambda df, order, unique: placed(df, order, unique, most=60))  # nine parts
     values = list(range(500))
     random.Random(1).shuffle(values)
     frame = spark.createDataFrame([(v // 100, f"{v:03d}") for v in values], "a int, b string")
