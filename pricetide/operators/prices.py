@@ -113,10 +113,11 @@ def with_next(prices: DataFrame, names: dict[str, str], station_rows: int = STAT
     record = F.struct(*names)
     known = prices.where(F.col("uuid").isNotNull())
     counts = known.groupBy("uuid").agg(F.count("*").alias("_n"))
-    busy = written(counts.where(F.col("_n") > station_rows).select("uuid"), "busy-stations")
+    busy = counts.where(F.col("_n") > station_rows).select("uuid")
     if busy.isEmpty():
         followed = _next_of_ordinary(known, record)
     else:
+        busy = written(busy, "busy-stations")
         ordinary = known.join(F.broadcast(busy), "uuid", "left_anti")
         crowded = known.join(F.broadcast(busy), "uuid", "left_semi")
         followed = _next_of_ordinary(ordinary, record).unionByName(_next_of_busy(crowded, record))
