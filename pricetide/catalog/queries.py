@@ -234,7 +234,7 @@ def q_attach_means(t: StandIns) -> DataFrame:
 
 @query
 def q_join_oil(t: StandIns) -> DataFrame:
-    joined = mn.attach_oil(t.prices_raw, mn.one_close_per_day(t.oil_daily))
+    joined = mn.attach_oil(t.prices_raw, t.oil_daily)
     return joined.select("id", _moment("date").alias("date"), rounded("close").alias("close"))
 
 

@@ -110,10 +110,10 @@ def oil_features(oil: DataFrame) -> DataFrame:
 def attach_oil(prices: DataFrame, oil: DataFrame, day: Column | None = None) -> DataFrame:
     """Left join of oil values on the calendar date; days without trade stay NULL.
 
-    The oil side must have one row per calendar date (`oil_features`, `one_close_per_day`), which
-    bounds the broadcast by the length of the calendar.
+    The series is held to one row per date first, so the broadcast is bounded by the calendar.
     """
-    series = oil.withColumnRenamed("date", "_oil_date")
+    values = [F.max(name).alias(name) for name in oil.columns if name != "date"]
+    series = oil.groupBy(F.col("date").alias("_oil_date")).agg(*values)
     day = F.to_date("date") if day is None else day
     return prices.join(F.broadcast(series), day == F.col("_oil_date"), "left").drop("_oil_date")
 

@@ -100,7 +100,7 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 def with_class_weight(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weight column for training on a 0/1 label (two rows are broadcast)."""
     weights = class_weights(rows.where(F.col(label).isin(0, 1)), label).select(label, F.col("weight").alias(name))
-    return rows.join(F.broadcast(weights), label)
+    return rows.join(F.broadcast(weights), label, "left")
 
 
 def comparison(rows: DataFrame, key: str, actual: str, predicted: str) -> DataFrame:
