@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.frames import written
 
-__all__ = ["WORD", "Hashes", "components", "lower_ascii", "read", "tokens", "word_array", "written"]
+__all__ = ["WORD", "Hashes", "components", "lower_ascii", "range_of", "read", "tokens", "word_array", "written"]
 
 #: A word of the contracts: anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +51,17 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """Number of bounds below the key, found in two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = isqrt(len(bounds)) + 1
+    coarse = bounds[step - 1 :: step]
+    first = F.size(F.filter(F.lit(coarse), lambda b: b < key)) * step if coarse else F.lit(0)
+    fine = F.slice(F.lit(bounds), first + 1, F.lit(step))
+    return first + F.size(F.filter(fine, lambda b: b < key))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the edges (a, b): one row (id, component) for each node of an edge.
 

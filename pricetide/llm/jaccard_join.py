@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ COST_STEP = 256
 #: Members from which a class is first looked at as a whole.
 LARGE_CLASS = 8
 #: Bits of the filter that keeps rows without a candidate out of shuffles.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 
 SET_SCHEMA = "id long, n long, d1 long, d2 long, low array<long>"
 
@@ -111,14 +112,14 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
     columns = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch["at"].to_numpy()
-            yield batch.loc[(flags[at >> 3] >> (at & 7) & 1) == 1, columns]
+            at = batch.column("at").to_numpy()
+            yield batch.filter(pa.array((flags[at >> 3] >> (at & 7) & 1) == 1)).select(columns)
 
     hashed = rows.where("id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
-    return hashed.mapInPandas(run, rows.schema)
+    return hashed.mapInArrow(run, rows.schema)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,15 +156,29 @@ def _survivors(sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(low: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each set with the least edited set (fewest tokens of its own) that shares a token."""
+    """Pairs (a, b, pivot) of each set with the least edited set (fewest tokens of its own) that shares a token."""
     rows = low.select("id", "n", F.explode("low").alias("token"), F.expr("1000 * n_alone DIV n").alias("own"))
     pivots = rows.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("own", "id", "n")).alias("p"))
     pairs = rows.join(pivots.where("df > 1").selectExpr("token", "p.id AS pivot", "p.n AS np"), "token")
     near = pairs.where(f"id <> pivot AND 100 * least(n, np) >= {percent} * greatest(n, np)")
-    return near.selectExpr("least(id, pivot) AS a", "greatest(id, pivot) AS b").distinct()
+    both = near.selectExpr("least(id, pivot) AS a", "greatest(id, pivot) AS b", "pivot")
+    return both.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
+
+
+def _pivot_classes(star_links: DataFrame, stars: DataFrame) -> DataFrame:
+    """Rows (id, component): the pivot that a set is linked with, or that pivot's pivot.
+
+    Sets of one class are linked with each other by way of pivots. Classes may be smaller than components;
+    then pairs within a component are looked at that need not be.
+    """
+    links = star_links.join(stars, ["a", "b"])
+    to = links.selectExpr("if(pivot = a, b, a) AS id", "pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
+    to = written(to, "pivots")
+    over = to.select(F.col("id").alias("pivot"), F.col("pivot").alias("next"))
+    return to.join(over, "pivot", "left").select("id", F.coalesce("next", "pivot").alias("component"))
 
 
-def _cross_pairs(whole: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _cross_pairs(whole: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """Pairs (a, b) of sets (id, n, class, tokens) of different classes that may be similar.
 
     A token that occurs in one class only matches nothing. A set needs at least percent * n others. Those
@@ -255,8 +270,8 @@ def jaccard_join(
     low = written(low.dropDuplicates(["id"]).join(survivors, "id"), "low")
 
     stars = written(_stars(low, percent), "stars")
-    star_links = written(_verified(docs, stars, width, percent), "star-links")
-    classes = components(star_links, "stars")
+    star_links = written(_verified(docs, stars.select("a", "b"), width, percent), "star-links")
+    classes = _pivot_classes(star_links, stars)
 
     in_class = low.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
     rows = in_class.select("id", "class", F.explode("low").alias("token"))
