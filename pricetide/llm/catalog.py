@@ -1,11 +1,15 @@
-"""Registered queries of this subpackage, each over its whole table."""
+"""Registered queries of this subpackage, each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricetide.llm.common import read
+from pricetide.llm import brown_lm, chat, decontaminate, fingerprints, licenses, quality, toxicity
+from pricetide.llm.common import read, written
 from pricetide.llm.jaccard_join import jaccard_join
+from pricetide.llm.mixing import fair_mix
+from pricetide.llm.sharding import shard
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +17,84 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licenses among the texts and lines of documents."""
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    return shard(read(spark, sf_dir, "documents"), 8)
+
+
+def op5_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class n-gram scores of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return brown_lm.score(docs, *brown_lm.fit(docs))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the edit distance."""
+    return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the formatted conversations; conversation -1 consists of control strings."""
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.sql(
+        "SELECT -1L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
+        args={"text": text},
+    )
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    texts = written(chat.formatted(chat.canonical_turns(rows, "conv_id")), "chats")
+    back = chat.read_back(texts).join(texts.select("conv_id", F.length("formatted").alias("chars")), "conv_id")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.col("chars").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by weak labels and a hashed linear scorer."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit(docs))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from each document."""
+    mix = fair_mix(read(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by their nearest labelled examples."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.toxicity(docs, index)
+
+
 QUERIES = {
-    "op1_jaccard_join": op1_jaccard_join,
+    query.__name__: query
+    for query in (
+        op1_jaccard_join,
+        op2_fingerprints,
+        op3_licenses,
+        op4_sharding,
+        op5_brown_scores,
+        op6_decontamination,
+        op7_chat,
+        op8_quality,
+        op9_mixing,
+        op10_toxicity,
+    )
 }
