@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from datetime import datetime, timezone
 
 from pricetide.operators import model as md
 from pricetide.operators import metrics as mt
@@ -21,10 +22,16 @@ def parser() -> argparse.ArgumentParser:
     extract.add_argument("dump")
     extract.add_argument("--oil", help="landed oil series (CSV)")
 
+    files = commands.add_parser("load-files", help="price and station files to the same tables")
+    files.add_argument("prices")
+    files.add_argument("stations")
+    files.add_argument("--oil", help="landed oil series (CSV)")
+
     commands.add_parser("features", help="feature tables and daily means")
 
     train = commands.add_parser("train", help="encoded slice and change model")
     train.add_argument("--rounds", type=int, default=md.BoostParams.rounds)
+    train.add_argument("--keep-slice", action="store_true", help="train on the slice that is there")
     train.add_argument("--leaky", action="store_true", help="train with the next price, as published")
 
     evaluate = commands.add_parser("eval", help="score the test days with the saved model")
@@ -34,12 +41,16 @@ def parser() -> argparse.ArgumentParser:
     tune.add_argument("--train-days", type=int, default=sp.TRAIN_DAYS)
     tune.add_argument("--n-iter", type=int, default=jobs.SEARCH_DRAWS)
     tune.add_argument("--cv-folds", type=int, default=jobs.SEARCH_FOLDS)
-    tune.add_argument("--n-jobs", type=int, default=4, help="fits submitted at the same time")
+    tune.add_argument("--n-jobs", type=int, default=4, help="fits submitted at the same time; below 1: a fixed number")
     tune.add_argument("--random-state", type=int, default=jobs.SEARCH_SEED)
     tune.add_argument("--rounds", type=int, default=jobs.SEARCH_ROUNDS)
 
     forecast = commands.add_parser("forecast", help="train and apply the price forecast")
     forecast.add_argument("--rounds", type=int, default=md.BoostParams.rounds)
+
+    live = commands.add_parser("forecast-live", help="apply the price forecast to landed live lists")
+    live.add_argument("lists", help="JSON files of live stations")
+    live.add_argument("--at", type=datetime.fromisoformat, help="moment (UTC unless it has an offset); default now")
     return top
 
 
@@ -48,11 +59,16 @@ def run(ws: Workspace, args: argparse.Namespace) -> None:
         jobs.extract(ws, args.dump)
         if args.oil:
             jobs.load_oil(ws, args.oil)
+    elif args.command == "load-files":
+        jobs.load_files(ws, args.prices, args.stations)
+        if args.oil:
+            jobs.load_oil(ws, args.oil)
     elif args.command == "features":
         jobs.build_features(ws)
         jobs.build_means(ws)
     elif args.command == "train":
-        jobs.build_slice(ws)
+        if not args.keep_slice:
+            jobs.build_slice(ws)
         features = md.LEAKY_FEATURES if args.leaky else md.FEATURES
         jobs.train(ws, md.BoostParams(rounds=args.rounds), features)
     elif args.command == "eval":
@@ -67,6 +83,8 @@ def run(ws: Workspace, args: argparse.Namespace) -> None:
     elif args.command == "forecast":
         jobs.train_forecast(ws, md.BoostParams(rounds=args.rounds))
         jobs.forecast(ws).show()
+    elif args.command == "forecast-live":
+        jobs.forecast_live(ws, args.lists, args.at or datetime.now(timezone.utc)).show()
 
 
 if __name__ == "__main__":

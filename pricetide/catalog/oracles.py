@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from pricetide.catalog import standins
-from pricetide.catalog.queries import AS_OF, FOLDS, LAST_DAYS, LIVE_AT, RECENT_DAYS, VALID_TRAIN_DAYS
+from pricetide.catalog.queries import AS_OF, BOOST, FOLDS, LAST_DAYS, LIVE_AT, RECENT_DAYS, VALID_TRAIN_DAYS
 
 FUELS = ["e5", "e10", "diesel"]
 
@@ -80,7 +80,7 @@ PARTS: dict[str, str] = {
         WINDOW w AS (PARTITION BY uuid ORDER BY day),
           f AS (PARTITION BY uuid ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "live": """
-        SELECT id, cast('1.' || right(post_code, 2) AS double) AS e5 FROM stations WHERE post_code NOT LIKE '%N'""",
+        SELECT id, cast('1.' || right(id, 2) AS double) AS e5 FROM stations""",
     "newest": "SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY day DESC) AS back FROM e5_daily",
     "history": """
         SELECT uuid, any_value(e5_1d_mean) FILTER (back = 1) AS lag_1, any_value(e5_1d_mean) FILTER (back = 3) AS lag_3,
@@ -114,6 +114,26 @@ PARTS: dict[str, str] = {
         UNION ALL
         SELECT '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), tp + fn FROM cells""",
     "with_f1": "SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM by_class",
+    # Forecast: what was known before a day.
+    "numbered_days": "SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY day) AS n FROM e5_daily",
+    "priced_days": "SELECT DISTINCT uuid, day FROM prices WHERE e5 IS NOT NULL",
+    "days_before": """
+        SELECT k.uuid, k.day, count(d.n) AS nb FROM priced_days k LEFT JOIN numbered_days d ON d.uuid = k.uuid AND d.day < k.day
+        GROUP BY k.uuid, k.day""",
+    "past_means": """
+        SELECT b.uuid, b.day, max(d.e5_1d_mean) FILTER (d.n = b.nb) AS lag_1, max(d.e5_1d_mean) FILTER (d.n = b.nb - 2) AS lag_3,
+          max(d.e5_1d_mean) FILTER (d.n = b.nb - 6) AS lag_7, avg(d.e5_1d_mean) AS mean_7, stddev_samp(d.e5_1d_mean) AS sd_7
+        FROM days_before b JOIN numbered_days d ON d.uuid = b.uuid AND d.n BETWEEN b.nb - 6 AND b.nb GROUP BY b.uuid, b.day""",
+    "market": "SELECT day, avg(e5_1d_mean) AS market FROM e5_daily GROUP BY day",
+    "forecast_days": """
+        SELECT k.day, row_number() OVER (ORDER BY k.day) AS n, count(*) OVER () AS days,
+          (SELECT arg_max(m.market, m.day) FROM market m WHERE m.day < k.day) AS market,
+          (SELECT arg_max(o.oil_price, o.date) FROM oil o WHERE o.date < k.day) AS oil_price,
+          (SELECT arg_max(o.oil_7d_avg, o.date) FROM oil o WHERE o.date < k.day) AS oil_7d_avg
+        FROM (SELECT DISTINCT day FROM priced_days) k""",
+    "forecast_codes": """
+        SELECT p.uuid, row_number() OVER (ORDER BY p.uuid) - 1 AS code
+        FROM (SELECT DISTINCT p.uuid FROM priced_days p JOIN forecast_days d ON p.day = d.day WHERE d.n <= ceil(d.days * 0.7)) p""",
     # Folds: classes in order of first appearance, rows of a class in row order, positions dealt in turn.
     "train_slice": "SELECT * FROM slice WHERE split = 'train'",
     "row_numbers": "SELECT *, row_number() OVER (ORDER BY day, uuid, date, id) AS row_no FROM train_slice",
@@ -158,11 +178,13 @@ _MAIN: dict[str, str] = {
     "q_load_prices": "SELECT id, uuid, e5, e10, diesel, "
     "strftime(date, '%Y-%m-%d %H:%M:%S') || '.000000' AS date, change FROM prices_raw",
     "q_load_stations": """
-        SELECT id, name, trim(replace(brand, chr(9), ' ')) AS brand,
+        SELECT id, name, brand,
           nullif(post_code, chr(92) || 'N') AS post_code, try_cast(nullif(post_code, chr(92) || 'N') AS double) AS post_code_int
         FROM stations""",
     "q_copy_section": """
         SELECT m.section, d.line_no, d.line FROM dump_lines d JOIN markers m ON d.line_no > m.start_no AND d.line_no < m.end_no""",
+    "q_land_dump": """
+        SELECT m.section, d.line FROM dump_lines d JOIN markers m ON d.line_no > m.start_no AND d.line_no < m.end_no""",
     "q_parse_copy": f"""
         SELECT id, uuid, e5, e10, diesel, change,
           CASE WHEN id % 50 <> 0 THEN {MOMENT.format("date_trunc('second', date) - to_hours(cast(id % 2 AS int))")} END AS date,
@@ -183,6 +205,10 @@ _MAIN: dict[str, str] = {
           {_r("sin(2 * pi() * (isodow(date) - 1) / 7)", "weekday_sin")}
         FROM prices_raw""",
     "q_change_label": f"SELECT id, uuid, {_rs('diesel', 'diesel_shift')}, price_will_change FROM labelled",
+    "q_change_label_busy": f"SELECT id, uuid, {_rs('diesel', 'diesel_shift')}, price_will_change FROM labelled",
+    "q_final_files": """
+        SELECT month(date)::int AS month, day(date)::int AS day, count(*) AS records, 0::bigint AS falls
+        FROM prices GROUP BY ALL""",
     "q_final_table": f"""
         SELECT l.uuid, {_rs(*FUELS, 'diesel_shift', table='l.')}, l.price_will_change, s.brand,
           hour(date)::int AS hour, minute(date)::int AS minute, month(date)::int AS month, day(date)::int AS day,
@@ -260,4 +286,34 @@ _MAIN: dict[str, str] = {
         SELECT id, uuid, {_rs('diesel', 'diesel_shift')}, price_will_change FROM next_known WHERE next_id IS NOT NULL""",
 }
 
+# Facts about models that hold for any right training, beside what comes from the tables.
+_MAIN |= {
+    "q_scored_rows": "SELECT id, price_will_change, true AS class_follows FROM slice WHERE split = 'test'",
+    "q_model_roundtrip": "SELECT id, price_will_change, true AS same FROM slice WHERE split = 'test'",
+    "q_round_losses": f"""
+        SELECT split, round::int AS round, CASE WHEN split = 'train' THEN true END AS no_higher,
+          CASE WHEN split = 'test' AND round = {BOOST.rounds} THEN true END AS as_scored
+        FROM (SELECT DISTINCT split FROM slice), (SELECT unnest(generate_series(1, {BOOST.rounds})) AS round)""",
+    "q_feature_importance": """
+        SELECT feature, true AS not_negative, 1.0::double AS total
+        FROM (VALUES ('uuid'), ('diesel'), ('day'), ('hour'), ('brand')) f(feature)""",
+    "q_search_runs": "SELECT 2::int AS points, 2::int AS distinct_points, true AS best_is_least, true AS refit",
+    "q_sinks": f"""
+        SELECT 'slice ' || split AS sink, count(*) AS records, {_r("sum(id)::double", "value")} FROM slice GROUP BY split
+        UNION ALL SELECT 'oil ' || {DAY.format("date")}, 1::bigint, {_r("close", "value")} FROM oil_daily
+        UNION ALL SELECT 'runs', 2::bigint, {_r("avg(-ln(CASE WHEN y_true = 1 THEN c ELSE 1 - c END))", "value")}
+        FROM (SELECT y_true, greatest(least(y_prob, 1 - 1e-15), 1e-15) AS c FROM scores)""",
+    "q_forecast_rows": f"""
+        SELECT p.id, CASE WHEN d.n <= ceil(d.days * 0.7) THEN 'train' ELSE 'test' END AS split, {_r("p.e5", "e5")},
+          coalesce(c.code, (SELECT count(*) FROM forecast_codes))::int AS station_id_encoded,
+          {_r("sin(2 * pi() * hour(p.date) / 24)", "hour_sin")}, {_r("cos(2 * pi() * hour(p.date) / 24)", "hour_cos")},
+          {_r("coalesce(h.lag_1, d.market, 0)", "e5_lag_1")}, {_r("coalesce(h.lag_3, h.lag_1, d.market, 0)", "e5_lag_3")},
+          {_r("coalesce(h.lag_7, h.lag_1, d.market, 0)", "e5_lag_7")}, {_r("coalesce(h.mean_7, d.market, 0)", "e5_7d_avg")},
+          {_r("coalesce(h.sd_7, 0)", "e5_volatility")},
+          {_r("coalesce(d.oil_price, 70)", "oil_price")}, {_r("coalesce(d.oil_7d_avg, 70)", "oil_7d_avg")}
+        FROM prices p JOIN forecast_days d ON p.day = d.day
+        LEFT JOIN past_means h ON p.uuid = h.uuid AND p.day = h.day LEFT JOIN forecast_codes c ON p.uuid = c.uuid
+        WHERE p.e5 IS NOT NULL""",
+}
+
 ORACLES: dict[str, str] = {name: _sql(main) for name, main in _MAIN.items()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from pricetide.catalog.standins import StandIns
 from pricetide.functions.features import mmdd
 from pricetide.functions.text import clean_category
 from pricetide.operators import encode as en
+from pricetide.operators import forecast as fc
 from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
@@ -36,8 +38,9 @@ LAST_DAYS = 25
 VALID_TRAIN_DAYS = 24
 FOLDS = 4
 ROW_ORDER = ["day_key", "uuid", "date", "id"]
+# Published are 500 rounds and 200 rows; the test tables are small.
 BOOST = md.BoostParams(rounds=20, min_rows=20)
-SHORT_BOOST = md.BoostParams(rounds=5, min_rows=20)
+SEARCH = {"stepSize": [0.05, 0.1], "maxDepth": [3], "minInstancesPerNode": [20]}
 
 
 def query(build: Callable[[StandIns], DataFrame]) -> Callable[[StandIns], DataFrame]:
@@ -103,11 +106,10 @@ def q_load_prices(t: StandIns) -> DataFrame:
 @query
 def q_load_stations(t: StandIns) -> DataFrame:
     path = scratch_path(t.spark, "stations-tsv")
-    known = t.stations.withColumn("brand", F.trim(F.replace("brand", F.lit("\t"), F.lit(" "))))
-    empty = F.lit(None).cast("string")
-    writers.write_tsv(
-        known.select(*[F.col(c) if c in known.columns else empty.alias(c) for c in STATION_FILE_COLUMNS]), path
-    )
+    known, empty = t.stations, F.lit(None).cast("string")
+    marked = F.coalesce(F.nullif("post_code", F.lit("\\N")), empty).alias("post_code")  # written as NULL, which is \N
+    columns = {**{c: empty.alias(c) for c in STATION_FILE_COLUMNS}, **{c: F.col(c) for c in known.columns}}
+    writers.write_tsv(known.select(*[marked if c == "post_code" else columns[c] for c in STATION_FILE_COLUMNS]), path)
     loaded = rows.accepted(tables.read_stations(t.spark, path)).transform(pr.tidy_stations)
     return loaded.select("id", "name", "brand", "post_code", F.col("post_code_int").cast("double").alias("post_code_int"))
 
@@ -120,6 +122,17 @@ def q_copy_section(t: StandIns) -> DataFrame:
     return prices.unionByName(stations)
 
 
+@query
+def q_land_dump(t: StandIns) -> DataFrame:
+    """The dump written as text files, landed, and cut into its sections."""
+    path = scratch_path(t.spark, "dump-text")
+    t.dump_lines.orderBy("line_no").select("line").write.text(path)
+    landed = dump.land_dump(t.spark, path, scratch_path(t.spark, "dump-lines"))
+    sections = dump.copy_sections(landed, [PRICE_SECTION, STATION_SECTION])
+    prices = sections[PRICE_SECTION].select(F.lit("prices").alias("section"), "line")
+    return prices.unionByName(sections[STATION_SECTION].select(F.lit("stations").alias("section"), "line"))
+
+
 @query
 def q_parse_copy(t: StandIns) -> DataFrame:
     return dump.parse_price_lines(t.copy_lines).withColumn("date", _moment("date")).drop("line")
@@ -184,9 +197,35 @@ def q_change_label(t: StandIns) -> DataFrame:
     return _labelled(t).select("id", "uuid", *_rounded("diesel", "diesel_shift"), "price_will_change")
 
 
+@query
+def q_change_label_busy(t: StandIns) -> DataFrame:
+    """The same with every station on the path for busy ones."""
+    followed = _prices(t).transform(pr.with_next_price, station_rows=0).transform(pr.with_change_label)
+    return followed.select("id", "uuid", *_rounded("diesel", "diesel_shift"), "price_will_change")
+
+
+def _final(t: StandIns) -> DataFrame:
+    return pr.final_table(pr.price_features(t.prices_raw, t.stations).drop("name"))
+
+
+@query
+def q_final_files(t: StandIns) -> DataFrame:
+    """Rows of the written final table per day, and how often a row's station is below that of the row before."""
+    path = scratch_path(t.spark, "final")
+    writers.write_table(_final(t), path, ["month", "day"], order=pr.FINAL_ORDER)
+    stored = t.spark.read.parquet(path).select(
+        "month", "day", "uuid", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+    )
+    before = F.lag("uuid").over(Window.partitionBy("file").orderBy("place"))
+    falls = F.coalesce(F.col("uuid") < before, F.lit(False)).cast("long")
+    return stored.withColumn("falls", falls).groupBy("month", "day").agg(
+        F.count("*").alias("records"), F.sum("falls").alias("falls")
+    )
+
+
 @query
 def q_final_table(t: StandIns) -> DataFrame:
-    final = pr.final_table(pr.price_features(t.prices_raw, t.stations).drop("name"))
+    final = _final(t)
     doubles = [*FUELS, "diesel_shift", "hour_sin", "weekday_sin"]
     return final.withColumns({name: rounded(name) for name in doubles})
 
@@ -201,8 +240,10 @@ def q_clean_category(t: StandIns) -> DataFrame:
 
 @query
 def q_label_encode(t: StandIns) -> DataFrame:
-    enriched = pr.enrich(t.prices_raw, t.stations).select("id", "uuid", "brand")
-    brands, stations = en.category_codes(enriched, "brand"), en.category_codes(enriched, "uuid")
+    records, known = t.prices_raw.select("id", "uuid"), t.stations.select("id", "brand")
+    brands = en.category_codes(pr.enrich(records.select("uuid").distinct(), known), "brand")
+    stations = en.category_codes(records, "uuid")
+    enriched = pr.enrich(records, known)
     encoded = enriched.transform(en.encode, brands, "brand").transform(en.encode, stations, "uuid")
     return encoded.select("id", "uuid", "brand")
 
@@ -248,9 +289,9 @@ def q_lag_features(t: StandIns) -> DataFrame:
 @query
 def q_live_features(t: StandIns) -> DataFrame:
     """A live list with every station of the master; many of them have little or no history."""
-    document = F.format_string('{"stations":[{"id":"%s","e5":1.%s}]}', "id", F.right("post_code", F.lit(2)))
+    document = F.format_string('{"stations":[{"id":"%s","e5":1.%s}]}', "id", F.right("id", F.lit(2)))
     station = T.StructType([T.StructField("id", T.StringType()), T.StructField("e5", T.DoubleType())])
-    known = t.stations.where(F.right("post_code", F.lit(1)) != "N").select(document.alias("text"))
+    known = t.stations.select(document.alias("text"))
     live = tables.flatten_stations(known, "text", station)
     featured = lv.live_features(live, lv.history_features(_daily(t)), LIVE_AT)
     doubles = ["e5", *[name for name in md.FORECAST_FEATURES if name != "station_id_encoded"]]
@@ -284,7 +325,7 @@ def q_train_valid_split(t: StandIns) -> DataFrame:
 @query
 def q_eval_join(t: StandIns) -> DataFrame:
     """Test features and test labels as two tables, tied by the row number in the training slice."""
-    test = with_global_index(_slice(t), ROW_ORDER, "orig_idx").where("split = 'test'")
+    test = with_global_index(_slice(t), ROW_ORDER, "orig_idx", unique=True).where("split = 'test'")
     features = test.select("orig_idx", "id", "uuid", "diesel", "diesel_shift")
     labels = test.select("orig_idx", F.col("price_will_change").alias("y_true"))
     joined = features.join(labels, "orig_idx")
@@ -383,38 +424,132 @@ def _model_rows(t: StandIns) -> DataFrame:
     train = rows_.where("split = 'train'")
     for column in ("brand", "uuid"):
         rows_ = en.encode(rows_, en.category_codes(train, column), column)
-    return rows_.select("id", "split", "day_idx", *md.LEAKY_FEATURES, md.LABEL)
+    return written(rows_.select("id", "split", "day_idx", *md.LEAKY_FEATURES, md.LABEL), "encoded")
+
+
+_TRAINED: dict[tuple[str, str], tuple[DataFrame, PipelineModel, str]] = {}
+
+
+def _trained(t: StandIns) -> tuple[DataFrame, PipelineModel, str]:
+    """Encoded rows, the model trained on their training days, and where it is saved.
+
+    Scores, losses and importances are all those of one model, so a session trains it once per data folder.
+    """
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _TRAINED:
+        rows_, path = _model_rows(t), scratch_path(t.spark, "model")
+        model = md.train_classifier(rows_.where("split = 'train'"), params=BOOST)
+        writers.save_model(model, path)
+        _TRAINED[key] = (rows_, model, path)
+    return _TRAINED[key]
+
+
+def _test_scores(t: StandIns) -> DataFrame:
+    rows_, model, _ = _trained(t)
+    return md.score(model, rows_.where("split = 'test'")).select("id", md.LABEL, "y_prob")
 
 
 @query
 def q_gbt_scores(t: StandIns) -> DataFrame:
-    model_rows = _model_rows(t)
-    model = md.train_classifier(model_rows.where("split = 'train'"), params=BOOST)
-    return md.score(model, model_rows.where("split = 'test'")).select("id", md.LABEL, "y_prob")
+    return _test_scores(t)
+
+
+@query
+def q_scored_rows(t: StandIns) -> DataFrame:
+    """The test days' records with label, and whether their class follows from their score."""
+    classed = mt.with_class(_test_scores(t))
+    right = (F.col("y_pred") == (F.col("y_prob") > mt.THRESHOLD).cast("int")) & F.col("y_prob").between(0, 1)
+    return classed.select("id", md.LABEL, right.alias("class_follows"))
+
+
+@query
+def q_model_roundtrip(t: StandIns) -> DataFrame:
+    """Scores of the saved and loaded model beside those of the model in memory."""
+    rows_, _, path = _trained(t)
+    again = md.score(tables.load_model(path), rows_.where("split = 'test'"), "y_again").select("id", "y_again")
+    same = F.abs(F.col("y_prob") - F.col("y_again")) < 1e-12
+    return _test_scores(t).join(again, "id").select("id", md.LABEL, same.alias("same"))
 
 
 @query
 def q_round_losses(t: StandIns) -> DataFrame:
-    parts = _model_rows(t)
-    splits = {name: parts.where(F.col("split") == name) for name in ("train", "test")}
-    return md.round_losses(md.train_classifier(splits["train"], params=SHORT_BOOST), splits)
+    """Rounds of both splits: whether training loss is no higher than at first, and the last loss that of the scores."""
+    rows_, model, _ = _trained(t)
+    losses = md.round_losses(model, {name: rows_.where(F.col("split") == name) for name in ("train", "test")})
+    scored = mt.log_loss(_test_scores(t).withColumnRenamed(md.LABEL, "y_true")).select(F.col("log_loss").alias("of_scores"))
+    first = F.first("log_loss").over(Window.partitionBy("split").orderBy("round"))
+    is_last = (F.col("split") == "test") & (F.col("round") == BOOST.rounds)
+    return losses.crossJoin(F.broadcast(scored)).select(
+        "split",
+        "round",
+        F.when(F.col("split") == "train", F.col("log_loss") <= first).alias("no_higher"),
+        F.when(is_last, F.abs(F.col("log_loss") - F.col("of_scores")) < 1e-9).alias("as_scored"),
+    )
 
 
 @query
 def q_feature_importance(t: StandIns) -> DataFrame:
-    return md.feature_importance(md.train_classifier(_model_rows(t).where("split = 'train'"), params=SHORT_BOOST))
+    found = md.feature_importance(_trained(t)[1])
+    total = F.sum("importance").over(Window.partitionBy(F.lit(0)))
+    return found.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.round(total, 9).alias("total"))
+
+
+@query
+def q_search_runs(t: StandIns) -> DataFrame:
+    """Random search with balanced weights: points drawn, distinct ones, the best loss, and one refit."""
+    train = mt.with_class_weight(_trained(t)[0].where("split = 'train'"), md.LABEL)
+    folded = written(sp.hash_folds(train, 2), "search-rows")
+    result = md.random_search(folded, n_iter=2, folds=2, seed=1, parallelism=2, rounds=3, space=SEARCH)
+    points = [tuple(sorted(point.items())) for point in result.points]
+    refit = result.model.bestModel
+    row = (
+        len(points),
+        len(set(points)),
+        result.losses[result.best] == min(result.losses),
+        refit.getNumTrees == 3 and refit.getOrDefault("stepSize") == result.points[result.best]["stepSize"],
+    )
+    return t.spark.createDataFrame([row], "points int, distinct_points int, best_is_least boolean, refit boolean")
+
+
+@query
+def q_sinks(t: StandIns) -> DataFrame:
+    """What is read back from a slice stored by split, an oil series as CSV, and two appended runs."""
+    path = scratch_path(t.spark, "sinks")
+    writers.write_table(_slice(t), f"{path}/slice", ["split"])
+    writers.write_csv(t.oil_daily, f"{path}/oil")
+    for _ in range(2):
+        writers.append_run(mt.log_loss(t.scores), f"{path}/runs")
+    slice_, runs = t.spark.read.parquet(f"{path}/slice"), t.spark.read.parquet(f"{path}/runs")
+    oil = tables.read_oil(t.spark, f"{path}/oil", skip_first=False)
+    rows_ = slice_.groupBy(F.concat(F.lit("slice "), "split").alias("sink")).agg(
+        F.count("*").alias("records"), F.sum("id").cast("double").alias("value")
+    )
+    days = oil.select(F.concat(F.lit("oil "), _day("date")).alias("sink"), F.lit(1).cast("long").alias("records"), F.col("close").alias("value"))
+    losses = runs.where("run_at IS NOT NULL").groupBy(F.lit("runs").alias("sink")).agg(
+        F.count("*").alias("records"), F.avg("log_loss").alias("value")
+    )
+    return rows_.unionByName(days).unionByName(losses).select("sink", "records", rounded("value").alias("value"))
 
 
 def _forecast_rows(t: StandIns) -> DataFrame:
-    lagged = mn.attach_oil(mn.lag_features(_daily(t)), mn.oil_features(t.oil_daily), F.col("day_key"))
+    """Every priced record with what was known before its day, split by time; the dictionary knows the training days."""
     records = _prices(t).transform(mn.with_day_key).transform(pr.with_time_features)
-    joined = records.join(lagged, ["uuid", "day_key"])
-    encoded = en.encode(joined, en.category_codes(records, "uuid"), "uuid", "station_id_encoded")
-    return encoded.select("id", "e5", *md.FORECAST_FEATURES).dropna()
+    rows_ = fc.with_time_split(fc.forecast_rows(records, _daily(t), t.oil_daily))
+    rows_ = written(rows_, "forecast-rows")
+    codes = en.category_codes(rows_.where("split = 'train'"), "uuid")
+    encoded = en.encode(rows_, codes, "uuid", "station_id_encoded")
+    return encoded.select("id", "uuid", "day_key", "split", "e5", *md.FORECAST_FEATURES)
+
+
+@query
+def q_forecast_rows(t: StandIns) -> DataFrame:
+    doubles = [name for name in md.FORECAST_FEATURES if name != "station_id_encoded"]
+    return _forecast_rows(t).select("id", "split", rounded("e5").alias("e5"), "station_id_encoded", *_rounded(*doubles))
 
 
 @query
 def q_price_forecast(t: StandIns) -> DataFrame:
-    records = _forecast_rows(t)
-    model = md.train_regressor(records, params=BOOST)
-    return mt.comparison(md.forecast(model, records), "id", "e5", "predicted_e5")
+    """Predictions for the test days of a model that saw the training days."""
+    records = written(_forecast_rows(t), "forecast-encoded")
+    model = md.train_regressor(records.where("split = 'train'"), params=BOOST)
+    return mt.comparison(md.forecast(model, records.where("split = 'test'")), "id", "e5", "predicted_e5")

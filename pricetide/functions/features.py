@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,13 @@ HOURS = 24
 WEEKDAYS = 7
 
 
+def moment(value: datetime) -> Column:
+    """A moment as UTC clock time, whatever the zones of machine and session are; aware values are converted."""
+    if value.tzinfo is not None:
+        value = value.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def euros(raw: Column) -> Column:
     """Raw integer price in euros; a negative price is the marker for "missing"."""
     return F.when(raw >= 0, raw / PRICE_SCALE)

@@ -59,7 +59,9 @@ def placed(
     """
     keys = [F.col(key) if isinstance(key, str) else key for key in order]
     if unique:
-        ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(session, ceil(df.count() / most))
+        ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     else:
         salted = written(df.withColumn("_salt", F.rand()), "salted")
         parts, keys = _range_partitions(salted, fewest, most), [*keys, F.col("_salt")]

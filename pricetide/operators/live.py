@@ -37,19 +37,22 @@ def live_features(
     fuel: str = "e5",
     oil_price: float = DEFAULT_OIL_PRICE,
     oil_average: float | None = None,
+    last_known: bool = False,
 ) -> DataFrame:
     """Forecast features of a live list (`id` and the fuel's price) at `moment`.
 
-    A station without enough history takes its current price for lags and average, and volatility 0.
+    A station without enough history takes its current price for lags and average, and volatility 0. With
+    `last_known` it takes the mean of its last known day where there is one, as forecast rows do.
     """
     price = F.col(fuel)
     past = history.withColumnRenamed("uuid", "_station")
     filled = [*[f"{fuel}_lag_{lag}" for lag in LAGS], f"{fuel}_7d_avg"]
-    clock = fx.time_features(F.lit(moment).cast("timestamp_ntz"))
+    last = [F.col(filled[0])] if last_known else []
+    clock = fx.time_features(fx.moment(moment))
     return (
         live.join(past, F.col("id") == F.col("_station"), "left")
         .drop("_station")
-        .withColumns({name: F.coalesce(name, price) for name in filled})
+        .withColumns({name: F.coalesce(name, *last, price) for name in filled})
         .withColumn(f"{fuel}_volatility", F.coalesce(f"{fuel}_volatility", F.lit(0.0)))
         .withColumns({name: clock[name] for name in ("hour", "hour_sin", "hour_cos")})
         .withColumn("oil_price", F.lit(float(oil_price)))

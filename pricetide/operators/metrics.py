@@ -83,10 +83,11 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 
 def log_loss(scored: DataFrame) -> DataFrame:
-    """Mean negative log of the probability given to the true class."""
+    """Mean negative log of the probability given to the true class, over rows with a label and a score."""
     clipped = F.greatest(F.least(F.col("y_prob"), F.lit(1 - SMALLEST)), F.lit(SMALLEST))
     given = F.when(F.col("y_true") == 1, clipped).otherwise(1 - clipped)
-    return scored.agg(F.avg(-F.log(given)).alias("log_loss"))
+    known = scored.where("y_true IS NOT NULL AND y_prob IS NOT NULL")
+    return known.agg(F.avg(-F.log(given)).alias("log_loss"))
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -128,6 +129,9 @@ def pearson_p_value(rows: DataFrame, actual: str = "actual", predicted: str = "p
     needs one pass over the rows.
     """
     both = rows.dropna(subset=[actual, predicted])
+    spread = both.agg(F.count("*").alias("n"), F.stddev_pop(actual).alias("a"), F.stddev_pop(predicted).alias("p")).first()
+    if spread.n < 3 or not spread.a or not spread.p:  # r is not defined
+        return rows.sparkSession.createDataFrame([(None, None)], "p_value double, t double")
     vectors = VectorAssembler(inputCols=[predicted], outputCol="_x").transform(both)
     fit = LinearRegression(featuresCol="_x", labelCol=actual, solver="normal").fit(vectors)
     slope = [(fit.summary.pValues[0], fit.summary.tValues[0])]

@@ -20,11 +20,11 @@ HISTORY_DAYS = 60
 
 
 def is_recent(prices: DataFrame, days: int = HISTORY_DAYS, as_of: datetime | Column | None = None) -> Column:
-    """Whether a record is of the last `days` days up to `as_of` (default now), the cutoff itself included.
+    """Whether a record is at most `days` days older than `as_of` (default now). Later records pass as well.
 
     Only the literal side is cast, so the comparison reaches the Parquet scan.
     """
-    moment = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
+    moment = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else fx.moment(as_of)
     cutoff = moment.cast(prices.schema["date"].dataType) - F.make_dt_interval(days=F.lit(days))
     return F.col("date") >= cutoff
 
@@ -44,11 +44,17 @@ def parse_dates(prices: DataFrame) -> DataFrame:
 
 
 def latest_stations(stations: DataFrame) -> DataFrame:
-    """One row per station id: the one with the newest `version_time`.
+    """One row per station id: the one with the newest `version_time`, and of these the highest version.
 
-    `max_by` combines on the map side, so copies of one station never meet in one task.
+    Versions are compared as numbers where they are numbers. `max_by` combines on the map side, so copies of
+    one station never meet in one task.
     """
-    newest = F.max_by(F.struct(*stations.columns), F.struct("version_time", "version"))
+    when = F.col("version_time").cast("string")
+    age = F.struct(
+        F.try_to_timestamp(when), when,
+        F.col("version").try_cast("long"), "version",
+    )
+    newest = F.max_by(F.struct(*stations.columns), age)
     return stations.groupBy("id").agg(newest.alias("_row")).select("_row.*")
 
 
@@ -90,6 +96,9 @@ def _next_of_busy(records: DataFrame, record: Column) -> DataFrame:
     next part. Those are one row per part, which bounds the broadcast.
     """
     rows = placed(records, ["uuid", *_in_order()])
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.agg(F.max("_part")).first()[0] + 1
+    rows = rows.repartition(max(session, parts), "_part")
     follower = F.struct("uuid", record.alias("record"))
     heads = rows.where(F.col("_pos") == 0).select("_part", follower.alias("_head"))
     next_heads = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_next_head"))
@@ -113,11 +122,10 @@ def with_next(prices: DataFrame, names: dict[str, str], station_rows: int = STAT
     record = F.struct(*names)
     known = prices.where(F.col("uuid").isNotNull())
     counts = known.groupBy("uuid").agg(F.count("*").alias("_n"))
-    busy = counts.where(F.col("_n") > station_rows).select("uuid")
+    busy = written(counts.where(F.col("_n") > station_rows).select("uuid"), "busy-stations")
     if busy.isEmpty():
         followed = _next_of_ordinary(known, record)
     else:
-        busy = written(busy, "busy-stations")
         ordinary = known.join(F.broadcast(busy), "uuid", "left_anti")
         crowded = known.join(F.broadcast(busy), "uuid", "left_semi")
         followed = _next_of_ordinary(ordinary, record).unionByName(_next_of_busy(crowded, record))
@@ -160,5 +168,9 @@ def price_features(prices: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def final_table(features: DataFrame) -> DataFrame:
-    """Feature table without record id and date, sorted for the writer, not across the whole table."""
-    return drop_strict(features, *DROPPED_AT_END).sortWithinPartitions("uuid", "month", "day")
+    """Feature table without record id and date."""
+    return drop_strict(features, *DROPPED_AT_END)
+
+
+# Order inside the files of the final table; the first two columns are those that it is stored by.
+FINAL_ORDER = ["month", "day", "uuid"]

@@ -70,7 +70,7 @@ def stratified_folds(rows: DataFrame, k: int, order: list[str], label: str, name
     of a class a fold gets; a class then fills its folds block by block in row order. Two labels would
     make two window partitions, so the row number comes from a range-partitioned index instead.
     """
-    indexed = with_global_index(rows, [label, *order], "_pos")
+    indexed = with_global_index(rows, [label, *order], "_pos", unique=True)
     starts = indexed.groupBy(label).agg(F.count("*").alias("_n"), F.min("_pos").alias("_start"))
     earlier = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before, after = F.col("_before"), F.col("_before") + F.col("_n")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.features import day_key
 from pricetide.operators import encode as en
+from pricetide.operators import forecast as fc
 from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
@@ -73,7 +74,7 @@ def build_features(ws: Workspace) -> None:
     features = pr.price_features(ws.prices.drop("day_key"), ws.read("stations"))
     writers.write_table(features.transform(mn.with_day_key), ws.path("features"), ["day_key"])
     final = pr.final_table(ws.read("features").drop("day_key"))
-    writers.write_table(final, ws.path("final"), ["month", "day"])
+    writers.write_table(final, ws.path("final"), ["month", "day"], order=pr.FINAL_ORDER)
 
 
 def build_means(ws: Workspace, frame: str = "observed") -> None:
@@ -190,31 +191,42 @@ def tune(
 
 
 def _forecast_rows(ws: Workspace) -> DataFrame:
-    """Price records with the forecast's features; lags and averages come from the station's history."""
+    """All priced records with features from days before their own, and their split by time."""
     features = ws.read("features")
-    lagged = mn.lag_features(mn.daily_means(features, ["e5"]))
-    priced = mn.attach_oil(lagged, mn.oil_features(ws.read("oil")), F.col("day_key"))
     records = features.select("id", "uuid", "date", "e5", "day_key").transform(pr.with_time_features)
-    return records.join(priced, ["uuid", "day_key"])
+    return fc.with_time_split(fc.forecast_rows(records, mn.daily_means(features, ["e5"]), ws.read("oil")))
 
 
 def train_forecast(ws: Workspace, params: md.BoostParams = md.BoostParams()) -> None:
-    """Fit and save the e5 forecast with its station dictionary."""
-    records = _forecast_rows(ws)
-    writers.write_table(en.category_codes(ws.read("features"), "uuid"), ws.path("codes_forecast"))
+    """Fit and save the e5 forecast with its station dictionary; both know the training days only."""
+    writers.write_table(_forecast_rows(ws), ws.path("forecast_records"), ["split"])
+    records = ws.read("forecast_records")
+    writers.write_table(en.category_codes(records.where("split = 'train'"), "uuid"), ws.path("codes_forecast"))
     encoded = en.encode(records, ws.read("codes_forecast"), "uuid", "station_id_encoded")
-    writers.write_table(
-        encoded.select("id", "uuid", "e5", *md.FORECAST_FEATURES).dropna(), ws.path("forecast_rows")
-    )
-    writers.save_model(md.train_regressor(ws.read("forecast_rows"), params=params), ws.path("forecast_model"))
+    kept = encoded.select("id", "uuid", "day_key", "split", "e5", *md.FORECAST_FEATURES)
+    writers.write_table(kept, ws.path("forecast_rows"), ["split"])
+    train_rows = ws.read("forecast_rows").where("split = 'train'")
+    writers.save_model(md.train_regressor(train_rows, params=params), ws.path("forecast_model"))
 
 
 def forecast(ws: Workspace) -> DataFrame:
-    """Predict e5 for the forecast rows; writes predictions and returns the metrics."""
+    """Predict e5 for the test days; writes predictions and returns the metrics.
+
+    The run records the border of the split, the share of predictions within a cent, and the p-value of r
+    (NULL where r has none).
+    """
     model = tables.load_model(ws.path("forecast_model"))
-    predicted = md.forecast(model, ws.read("forecast_rows"))
+    rows_ = ws.read("forecast_rows")
+    predicted = md.forecast(model, rows_.where("split = 'test'"))
     writers.write_table(mt.comparison(predicted, "id", "e5", "predicted_e5"), ws.path("predictions"))
-    metrics = mt.regression_metrics(ws.read("predictions"))
+    predictions = ws.read("predictions")
+    first_test = rows_.where("split = 'test'").agg(F.min("day_key").alias("test_from"))
+    metrics = (
+        mt.regression_metrics(predictions)
+        .crossJoin(F.broadcast(predictions.agg(fc.hit_share().alias("within_goal"))))
+        .crossJoin(F.broadcast(mt.pearson_p_value(predictions).select("p_value")))
+        .crossJoin(F.broadcast(first_test))
+    )
     writers.append_run(metrics, ws.path("runs_forecast"))
     return metrics
 
@@ -228,7 +240,7 @@ def forecast_live(ws: Workspace, live_json: str, moment: datetime) -> DataFrame:
     live = drop_incomplete(tables.flatten_stations(documents, "value", LIVE_SCHEMA))
     history = lv.history_features(mn.daily_means(ws.read("features"), ["e5"]))
     last_oil = mn.oil_features(ws.read("oil")).orderBy(F.desc("date")).first()  # one row
-    featured = lv.live_features(live, history, moment, "e5", last_oil["oil_price"], last_oil["oil_7d_avg"])
+    featured = lv.live_features(live, history, moment, "e5", last_oil["oil_price"], last_oil["oil_7d_avg"], last_known=True)
     known = featured.withColumn("uuid", F.col("id"))
     encoded = en.encode(known, ws.read("codes_forecast"), "uuid", "station_id_encoded")
     predicted = md.forecast(tables.load_model(ws.path("forecast_model")), encoded)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.functions.text import parse_utc, strip
+from pricetide.operators.frames import written
 from pricetide.schemas import PRICE_SCHEMA, STATION_SCHEMA
 from pricetide.sources.rows import typed_rows
 
@@ -47,28 +48,46 @@ def _starts(table: str) -> Column:
 def copy_sections(lines: DataFrame, tables: list[str]) -> dict[str, DataFrame]:
     """For every table the lines between its COPY marker and the end marker after it.
 
-    One scan finds all markers. What comes to the driver is one position per table and the end markers,
-    one per table of the dump: a data line cannot be an end marker, COPY text escapes the backslash. The
-    cuts are range filters with literals that reach the scan.
+    One scan finds all markers and writes them down: two and a few per table of the dump, a data line cannot
+    be an end marker, as COPY text escapes the backslash. Two aggregates over them give one start and one end
+    per table, which is all that comes to the driver. Where positions are landed ones, the cuts are bounds on
+    file, block and row as well, which reach the scan.
     """
     is_end = F.trim("line") == END_OF_SECTION
+    markers = written(lines.where(reduce(or_, map(_starts, tables), is_end)), "markers")
     starts = {table: F.min(F.when(_starts(table), F.col("line_no"))).alias(table) for table in tables}
-    ends = F.collect_list(F.when(is_end, F.col("line_no"))).alias("_ends")
-    found = lines.where(reduce(or_, map(_starts, tables), is_end)).agg(*starts.values(), ends).first()
-    sections = {}
+    found = markers.agg(*starts.values()).first()
     for table in tables:
         if found[table] is None:
             raise ValueError(f"no COPY marker for table {table}")
-        end = min((position for position in found["_ends"] if position > found[table]), default=None)
-        if end is None:
+    position = F.col("line_no")
+    ends = {
+        table: F.min(F.when(is_end & (position > _literal(found[table], lines)), position)).alias(table)
+        for table in tables
+    }
+    until = markers.agg(*ends.values()).first()
+    sections = {}
+    for table in tables:
+        if until[table] is None:
             raise ValueError(f"no end marker after table {table}")
-        position = F.col("line_no")
-        sections[table] = lines.where(
-            (position > _literal(found[table], lines)) & (position < _literal(end, lines))
-        )
+        inside = (position > _literal(found[table], lines)) & (position < _literal(until[table], lines))
+        sections[table] = lines.where(reduce(and_, _leaf_bounds(found[table], until[table]), inside))
     return sections
 
 
+def _leaf_bounds(start, end) -> list[Column]:
+    """Bounds on the parts of a landed position. Parquet keeps statistics per part, not per struct."""
+    if not hasattr(start, "asDict"):
+        return []
+    part = F.col("line_no")
+    bounds = [part["file"] >= start.file, part["file"] <= end.file]
+    if start.file == end.file:
+        bounds += [part["block"] >= start.block, part["block"] <= end.block]
+        if start.block == end.block:
+            bounds += [part["row"] > start.row, part["row"] < end.row]
+    return bounds
+
+
 def copy_section(lines: DataFrame, table: str) -> DataFrame:
     return copy_sections(lines, [table])[table]
 

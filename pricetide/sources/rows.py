@@ -13,6 +13,22 @@ from pyspark.sql import types as T
 from pricetide.functions.text import null_marker
 
 
+# Escapes of COPY text besides the doubled backslash.
+ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\b": "\b", "\\f": "\f", "\\v": "\v"}
+
+
+def unescaped(field: Column) -> Column:
+    """A field of COPY text as it was before it was escaped."""
+
+    def plain(part: Column) -> Column:
+        for escape, char in ESCAPES.items():
+            part = F.replace(part, F.lit(escape), F.lit(char))
+        return part
+
+    parts = F.transform(F.split(field, r"\\\\"), plain)
+    return F.when(F.contains(field, F.lit("\\")), F.array_join(parts, "\\")).otherwise(field)
+
+
 def typed_rows(
     lines: DataFrame, schema: T.StructType, text: Column, min_fields: int, parsers: dict | None = None
 ) -> DataFrame:
@@ -22,7 +38,7 @@ def typed_rows(
     not fit its type. `parsers` replace the plain cast of a column.
     """
     split = lines.withColumn("_fields", F.split(text, "\t"))
-    raw = {field.name: null_marker(F.get("_fields", F.lit(i))) for i, field in enumerate(schema.fields)}
+    raw = {field.name: unescaped(null_marker(F.get("_fields", F.lit(i)))) for i, field in enumerate(schema.fields)}
     casts = {field.name: lambda value, to=field.dataType: value.try_cast(to) for field in schema.fields}
     typed = {name: (parsers or {}).get(name, casts[name])(value) for name, value in raw.items()}
     reject = F.when(F.size("_fields") < min_fields, "too few fields")

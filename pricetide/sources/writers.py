@@ -7,19 +7,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Parquet table, stored by the given columns.
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    mode: str = "overwrite",
+    order: list[str] | None = None,
+) -> None:
+    """Parquet table, stored by the given columns, rows of a file in `order` (which begins with these columns).
 
-    No shuffle is added before the write: every task writes its share of each partition.
+    Rows of a stored partition are brought together first, so that its number of files follows its size, not
+    the number of tasks. Spark splits a large one again (rebalance), so that it is written by many tasks.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
+    if order:
+        df = df.sortWithinPartitions(*order)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+# How COPY text escapes the characters that would end a field or a row; the backslash comes first.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    r"""COPY text with a header in every file: tab-separated, `\N` for NULL, nothing quoted."""
+    r"""COPY text with a header in every file: tab-separated, `\N` for NULL, nothing quoted, `\t` for a tab."""
+    for name, kind in df.dtypes:
+        if kind == "string":
+            text = F.col(name)
+            for char, escape in ESCAPES:
+                text = F.replace(text, F.lit(char), F.lit(escape))
+            df = df.withColumn(name, text)
     df.write.mode("overwrite").csv(
         path,
         sep="\t",

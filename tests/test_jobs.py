@@ -130,9 +130,13 @@ def test_search_points():
 def test_forecast(ws):
     jobs.train_forecast(ws, PARAMS)
     metrics = jobs.forecast(ws).first()
-    predictions = ws.read("predictions")
-    assert metrics.n == predictions.count() > 0
+    predictions, rows = ws.read("predictions"), ws.read("forecast_rows")
+    assert metrics.n == predictions.count() == rows.where("split = 'test'").count() > 0
+    assert rows.count() == ws.read("features").where("e5 IS NOT NULL").count()  # no record is lost
+    assert 0 <= metrics.within_goal <= 1 and (metrics.p_value is None or 0 <= metrics.p_value <= 1)
+    assert str(metrics.test_from) > str(rows.where("split = 'train'").agg(F.max("day_key")).first()[0])
     assert 1.5 < predictions.agg(F.avg("predicted")).first()[0] < 1.7
+    assert {"p_value", "within_goal", "test_from"} <= set(ws.read("runs_forecast").columns)
 
 
 def test_live_forecast(ws, tmp_path):
@@ -164,3 +168,22 @@ def test_load_files(ws, spark, tmp_path):
     jobs.load_files(other, str(tmp_path / "p"), str(tmp_path / "s"))
     for mine, theirs in ((other.prices, ws.prices), (other.read("stations"), ws.read("stations"))):
         assert mine.select(*theirs.columns).exceptAll(theirs).count() == 0 and mine.count() == theirs.count()
+
+
+def test_files_follow_the_size_not_the_tasks(ws, spark, tmp_path):
+    from pricetide.sources import writers
+
+    rows = ws.read("features").drop("day_key").withColumn("day", F.to_date("date")).repartition(16)
+    writers.write_table(rows, str(tmp_path / "t"), ["day"], order=["day", "uuid"])
+    files = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) <= rows.select("day").distinct().count() * 2
+    placed = spark.read.parquet(str(tmp_path / "t")).select("uuid", "_metadata.file_path", "_metadata.row_index").collect()
+    by_file = {}
+    for row in sorted(placed, key=lambda r: r.row_index):
+        by_file.setdefault(row.file_path, []).append(row.uuid)
+    assert all(own == sorted(own) for own in by_file.values())
+
+
+def test_fits_without_a_number(ws):
+    small = {"stepSize": [0.1], "maxDepth": [2], "minInstancesPerNode": [5]}
+    assert len(jobs.tune(ws, n_iter=1, cv_folds=2, rounds=1, parallelism=-1, space=small).losses) == 1
