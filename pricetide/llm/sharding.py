@@ -48,9 +48,9 @@ def shard(
     `law` ('bytes'), `shard`, `slot` (place in the shard, from 0 without gaps), `grown_shard` (NULL: under
     this law another shard count moves rows freely). NULL and empty texts are one group. The range key is a
     digest of the text, so a group of equal texts is one key. Splitters are quantiles of a size-weighted key
-    sample. Ranges are measured in full; a group above half a shard is subdivided by a digest of the id
+    sample. Ranges are measured in full; a group that overfills its range is subdivided by a digest of the id
     (rows that also share the id stay together); then ranges go to shards, largest first, each to the least
-    filled. The driver sees bounds and range sizes, a number that depends on shards and rows / RANGE_ROWS.
+    filled, and the pieces of a group up to half a shard go to one. The driver sees bounds and range sizes, a number that depends on shards and rows / RANGE_ROWS.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(
@@ -64,28 +64,37 @@ def shard(
     ranges = max(RANGES_PER_SHARD * shards, ceil(rows / RANGE_ROWS))
     bounds = _splitters(sized, total, ranges)
 
-    half = total / shards / 2
-    groups = sized.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > half).collect()
-    piece, at = F.lit(0), 0
+    # Groups above two ranges' size: at most half as many as ranges.
+    ideal = total / ranges
+    groups = sized.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * ideal).collect()
+    pieces, unit_of, units = [], {}, len(bounds) + 1
+    for group in groups:
+        count = ceil(group.bytes / ideal)
+        pieces.append((group.key, units, count))
+        if group.bytes <= total / shards / 2:  # fits into a shard: its pieces stay together
+            unit_of |= {number: units for number in range(units, units + count)}
+        units += count
     digest = F.pmod(F.xxhash64("doc_id", F.lit("pieces")), F.lit(1 << 30))
-    first_piece = len(bounds) + 1
-    cut = F.lit(None).cast("int")
-    for group in groups:  # at most 2 * shards
-        pieces = ceil(group.bytes * ranges / max(1, total))
-        piece = F.lit(first_piece + at) + F.floor(digest * pieces / (1 << 30))
-        cut = F.coalesce(cut, F.when(F.col("key") == group.key, piece.cast("int")))
-        at += pieces
-    ranged = sized.withColumn("range", F.coalesce(cut, range_of(F.col("key"), bounds).cast("int")))
+    own = range_of(F.col("key"), bounds).cast("int")
+    ranged = sized.withColumn("range", own)
+    if pieces:
+        heavy = docs.sparkSession.createDataFrame(pieces, "key long, first int, pieces int")
+        cut = (F.col("first") + F.floor(digest * F.col("pieces") / (1 << 30))).cast("int")
+        ranged = ranged.join(F.broadcast(heavy), "key", "left").withColumn("range", F.coalesce(cut, "range"))
 
     found = ranged.groupBy("range").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
+    together: dict[int, list] = {}
+    for row in found:
+        together.setdefault(unit_of.get(row.range, row.range), []).append(row)
     filled = [(0, number) for number in range(shards)]
     heapify(filled)
-    shard_of, slot_of, used = [0] * (first_piece + at), [0] * (first_piece + at), [0] * shards
-    for row in sorted(found, key=lambda r: (-r.bytes, r.range)):
+    shard_of, slot_of, used = [0] * units, [0] * units, [0] * shards
+    for _, parts in sorted(together.items(), key=lambda unit: (-sum(row.bytes for row in unit[1]), unit[0])):
         held, number = filled[0]
-        heapreplace(filled, (held + row.bytes, number))
-        shard_of[row.range], slot_of[row.range] = number, used[number]
-        used[number] += row.rows
+        heapreplace(filled, (held + sum(row.bytes for row in parts), number))
+        for row in sorted(parts, key=lambda row: row.range):
+            shard_of[row.range], slot_of[row.range] = number, used[number]
+            used[number] += row.rows
     place = Window.partitionBy("range").orderBy("key", "doc_id")
     index = F.col("range") + 1
     return ranged.withColumn("place", F.row_number().over(place) - 1).select(
