@@ -15,7 +15,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 #: Rows that one window partition holds, about; partitions are cut by key, so this changes no result.
-WINDOW_ROWS = 10_000
+WINDOW_ROWS = 1_000
 
 
 def source_targets(sized: DataFrame, share: float = SHARE, copies: int = MOST_COPIES) -> DataFrame:
