@@ -27,10 +27,14 @@ BINS = 20
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> Counter:
-    """Words in lower case, and the first 4 and 5 letters of longer ones (for compounds), with their counts."""
+def terms(text: str | None, only: set[str] | None = None) -> Counter:
+    """Words in lower case, and the first 4 and 5 letters of longer ones (for compounds), with their counts.
+
+    `only` are the words to look at, all by default.
+    """
     counts: Counter = Counter()
-    for word, n in Counter(_WORDS.findall(text.lower())).items() if text else ():
+    words = _WORDS.findall(text.lower()) if text else []
+    for word, n in Counter(words if only is None else filter(only.__contains__, words)).items():
         counts[word] += n
         if len(word) > 4:
             counts[f"{word[:4]}~"] += n
@@ -39,6 +43,27 @@ def terms(text: str | None) -> Counter:
     return counts
 
 
+class Vocabulary(dict):
+    """Numbers of the terms. Most texts hold few of them, which is found out on their distinct words."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__(numbers)
+        starts = [term[:-1] for term in numbers if term.endswith("~")]
+        self.words = {term for term in numbers if not term.endswith("~")}
+        self.four, self.five = {s for s in starts if len(s) == 4}, {s for s in starts if len(s) == 5}
+
+    def count(self, text: str | None) -> dict[int, int]:
+        """Counts of the known terms of a text, by number."""
+        if not text:
+            return {}
+        distinct = set(_WORDS.findall(" ".join(set(text.lower().split()))))
+        found = distinct & self.words
+        found |= {word for word in distinct if len(word) > 4 and (word[:4] in self.four or word[:5] in self.five)}
+        if not found:
+            return {}
+        return {self[term]: n for term, n in terms(text, found).items() if term in self}
+
+
 def is_held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
@@ -47,7 +72,7 @@ def is_held_out(doc_id) -> bool:
 class Index:
     """Unit vectors of the examples as postings, cut into blocks of examples, with each block's largest weight."""
 
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -60,7 +85,7 @@ class Index:
     rates: np.ndarray | None = None
 
     @staticmethod
-    def build(vocabulary: dict[str, int], idf: np.ndarray, vectors: list[tuple[int, int, dict[int, int]]]) -> Index:
+    def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, dict[int, int]]]) -> Index:
         """vectors: (doc_id, label, counts by term). Neighbours in the index share their heaviest term."""
         plain = [label for _, label, counts in vectors if not counts]
         shown = [(doc, label, *_unit(counts, idf)) for doc, label, counts in vectors if counts]
@@ -120,8 +145,7 @@ class Index:
         return float(weight @ self.labels[at] / weight.sum()), at, cosine
 
     def counted(self, text: str | None) -> dict[int, int]:
-        known = self.vocabulary
-        return {known[t]: n for t, n in terms(text).items() if t in known}
+        return self.vocabulary.count(text)
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         vote, at, cosine = self.vote(self.counted(text))
@@ -204,14 +228,15 @@ def fit(
         .limit(MOST_TERMS)
         .select("term")
     )
-    vocabulary = {row.term: i for i, row in enumerate(best.collect())}
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    vocabulary = Vocabulary({row.term: i for i, row in enumerate(best.collect())})
+    sent = texts.sparkSession.sparkContext.broadcast(dict(vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(len(sent.value) + 1, np.int64)  # the last one counts documents
+        own = Vocabulary(sent.value)
+        seen = np.zeros(len(own) + 1, np.int64)  # the last one counts documents
         for batch in batches:
             for text in batch["text"]:
-                seen[[sent.value[t] for t in terms(text) if t in sent.value]] += 1
+                seen[list(own.count(text))] += 1
             seen[-1] += len(batch)
         yield pd.DataFrame({"term": np.arange(len(seen)), "df": seen})
 
@@ -221,12 +246,13 @@ def fit(
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5)) if vocabulary else np.empty(0)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Vocabulary(sent.value)
         for batch in batches:
             batch = batch[batch["id"].isin(known.value.keys())]
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                own = {sent.value[t]: c for t, c in terms(text).items() if t in sent.value}
-                out.append((int(key), list(own), list(own.values())))
+                counts = own.count(text)
+                out.append((int(key), list(counts), list(counts.values())))
             yield pd.DataFrame(out, columns=["id", "term", "n"])
 
     found = texts.mapInPandas(vectors, "id long, term array<int>, n array<int>").dropDuplicates(["id"]).collect()
@@ -241,6 +267,15 @@ def fit(
     return index
 
 
+def _sent(index: Index) -> dict:
+    """The index as plain values, which tasks can read without this package."""
+    return vars(index) | {"vocabulary": dict(index.vocabulary)}
+
+
+def _received(values: dict) -> Index:
+    return Index(**values | {"vocabulary": Vocabulary(values["vocabulary"])})
+
+
 def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, neighbours, cosines), one per row of `docs`.
 
@@ -248,10 +283,10 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
     ones. A text without any term of the index, an empty and a NULL one get the share of toxic examples among
     examples without such a term. A NULL id is not held out. Texts are scored where they are read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+    sent = docs.sparkSession.sparkContext.broadcast(_sent(index))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Index(**sent.value)
+        own = _received(sent.value)
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"].astype("Int64"), batch["text"]):
@@ -268,10 +303,10 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
 
 def remove_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """`docs` without the rows that score 0.5 or more; all columns stay, nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(vars(index))
+    sent = docs.sparkSession.sparkContext.broadcast(_sent(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(**sent.value)
+        own = _received(sent.value)
         for batch in batches:
             clean = [own.score(text)[0] < 0.5 for text in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
