@@ -243,16 +243,26 @@ def _cross_pairs(whole: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     )
 
 
+def _with_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per row of `sets`, each with the class (component_id, rep_id) of its id, or as its own."""
+    return sets.select("id", "n").join(classes, "id", "left").select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("rep_id", "id").alias("rep_id"),
+    )
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """Classes of documents whose shingle sets have a Jaccard similarity of `percent` or more.
 
     One row per row of `docs`: `doc_id`, `n_shingles`, `component_id` (smallest id reachable by links, itself
-    included), `n_links` (verified links of the set's representative; copies are not expanded) and
-    `rep_id` (smallest id with the same set). NULL and empty texts have no shingles and no links. Rows that
-    share an id are one document, linked by any of its rows. A NULL id gets a NULL component. Other columns
-    of `docs` are not read.
+    included) and `rep_id` (smallest id with the same set). Links inside a class are not listed: a large group
+        of near copies has too many. NULL and empty texts have no shingles and no links. Rows that share an id are
+    one document; if their texts differ, it is linked by the longest one (then the greatest). A NULL id gets a
+    NULL component. Other columns of `docs` are not read.
 
     Equal sets are one node. First the sets that share no token with others, or too few, drop out. The rest
     are compared with the least edited set of each token: a large group of near copies becomes one class by
@@ -265,6 +275,11 @@ def jaccard_join(
     slim = nodes.select("id", "n", "d1", "d2")
     reps = slim.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     copies = written(slim.join(reps, ["n", "d1", "d2"]).select("id", "n", "rep"), "reps")
+    ambiguous = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    if not ambiguous.isEmpty():
+        longest = F.max_by("text", F.struct(F.length("text"), "text")).alias("text")
+        classes = jaccard_join(docs.where("id IS NOT NULL").groupBy("id").agg(longest), "id", "text", width, percent)
+        return _with_rows(sets, classes.selectExpr("doc_id AS id", "component_id", "rep_id"))
     survivors = written(_survivors(nodes, copies, percent), "survivors")
     low = _among(nodes.select("id", "low"), survivors.select("id"))
     low = written(low.dropDuplicates(["id"]).join(survivors, "id"), "low")
@@ -287,12 +302,5 @@ def jaccard_join(
     links = star_links.unionByName(cross_links)
     same = copies.selectExpr("rep AS a", "id AS b").where("a <> b").distinct()
     final = components(links.unionByName(same), "all")
-    degree = links.selectExpr("explode(array(a, b)) AS rep").groupBy("rep").agg(F.count("*").alias("n_links"))
-    info = copies.groupBy("id").agg(F.min("rep").alias("rep")).join(final, "id", "left").join(degree, "rep", "left")
-    return sets.select("id", "n").join(info, "id", "left").select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("rep", "id").alias("rep_id"),
-    )
+    info = copies.groupBy("id").agg(F.min("rep").alias("rep_id")).join(final, "id", "left")
+    return _with_rows(sets, info.withColumnRenamed("component", "component_id"))

@@ -1,5 +1,91 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express, written apart from the operators."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    """List of the words of a text."""
+    return rf"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+OP1 = f"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, {_words(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM documents
+    ), sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+      FROM words
+    ), shingles AS (
+      SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+    ), pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+      FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+    ), links AS (
+      SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)
+    ), edges AS (
+      SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+    ), reach(node, root) AS (
+      SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.node = e.a
+    )
+    SELECT s.doc_id, len(s.s)::bigint AS n_shingles, (SELECT min(root) FROM reach r WHERE r.node = s.doc_id) AS component_id,
+      CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(s.s)) END AS rep_id
+    FROM sets s"""
+
+
+def _escaped(text: str) -> str:
+    """Length of a text with its three control characters escaped by one more character each."""
+    return f"3 * length({text}) + length({text}) - " + " - ".join(
+        f"length(replace({text}, {char}, ''))" for char in ("chr(92)", "'<'", "'['")
+    )
+
+
+OP7 = f"""
+    WITH turns AS (
+      SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+      coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+      sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length('<s>[INST]  [/INST]</s>') + {_escaped("role")} + {_escaped("t")})::bigint AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
+OP9 = f"""
+    WITH sized AS (
+      SELECT doc_id, source, len({_words("text")})::bigint AS size, md5(coalesce(doc_id::varchar, '')) AS key FROM documents
+    ), sources AS (
+      SELECT source, sum(size)::bigint AS source_size FROM sized GROUP BY source
+    ), weighed AS (
+      SELECT *, 2.0::double * source_size AS cap,
+        [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::int]::double AS weight
+      FROM sources
+    ), levels AS (
+      -- The level if all sources with a lower cap by weight were full and the others shared the rest.
+      SELECT w.source, w.cap, w.weight,
+        (1.5::double * (SELECT sum(source_size) FROM sources) - coalesce(sum(o.cap) FILTER (o.cap / o.weight < w.cap / w.weight), 0))
+          / sum(o.weight) FILTER (o.cap / o.weight >= w.cap / w.weight) AS level
+      FROM weighed w CROSS JOIN weighed o GROUP BY w.source, w.cap, w.weight
+    ), targets AS (
+      SELECT w.source, w.source_size,
+        least(w.cap, coalesce((SELECT max(level) FROM levels WHERE level <= cap / weight) * w.weight, w.cap)) AS target
+      FROM weighed w
+    ), queued AS (
+      SELECT s.doc_id, s.source, s.size, s.key, t.source_size, t.target,
+        sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size) AS served
+      FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    ), asked AS (
+      SELECT *, (served + turn * source_size) / target AS finish
+      FROM queued, (VALUES (0), (1)) copies(turn) WHERE target > 0
+    ), summed AS (
+      SELECT *, sum(size) OVER (ORDER BY finish, coalesce('s' || source, ''), key, doc_id, size, turn) AS total FROM asked
+    ), taken AS (
+      SELECT doc_id, sum(size) AS taken FROM summed
+      WHERE total <= (SELECT sum(target) FROM targets) * (1 + 1e-9) GROUP BY doc_id
+    )
+    SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::bigint AS taken
+    FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1, "op7_chat": OP7, "op9_mixing": OP9}
