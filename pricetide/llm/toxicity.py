@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.common import written
+
 #: Labelled rows that the classifier is fitted on, at most, drawn by a digest of the id.
 MOST_EXAMPLES = 24_000
 #: Terms of the index at most, and the labelled rows that must hold a term.
@@ -21,8 +23,10 @@ MOST_TERMS = 4096
 LEAST_ROWS = 5
 #: Neighbours that vote, examples of a block, and bins of the calibration.
 NEIGHBOURS = 32
-BLOCK = 128
+BLOCK = 1024
 BINS = 20
+#: Vectors whose neighbours a task remembers: many texts hold the same few terms.
+REMEMBERED = 1 << 14
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -77,12 +81,13 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     starts: np.ndarray  # of the postings of (term, block)
-    members: np.ndarray
+    members: np.ndarray  # places in the block
     weights: np.ndarray
     largest: np.ndarray  # [term, block]
     plain_rate: float  # share of toxic examples among those without a term
     bounds: np.ndarray | None = None  # calibration: votes up to bounds[i] mean rates[i]
     rates: np.ndarray | None = None
+    seen: dict = field(default_factory=dict)  # neighbours of vectors met before, REMEMBERED at most
 
     @staticmethod
     def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, dict[int, int]]]) -> Index:
@@ -105,40 +110,54 @@ class Index:
             np.array([v[0] for v in shown], np.int64),
             np.array([v[1] for v in shown], np.float64),
             np.searchsorted(cell[order], np.arange(len(vocabulary) * blocks + 1)),
-            member[order].astype(np.int64),
+            member[order].astype(np.int64) % BLOCK,
             weight[order],
             largest.reshape(len(vocabulary), blocks),
             (sum(plain) + 0.5) / (len(plain) + 10.0),
         )
 
-    def nearest(self, counts: dict[int, int], without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Exact top examples and cosines. Blocks are opened by falling bound until none can do better."""
+    def nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact top examples and cosines, one more than vote. Blocks are opened by falling bound until none can do better."""
+        key = tuple(counts) if len(counts) == 1 else tuple(sorted(counts.items()))  # one term: its count is no matter
+        found = self.seen.get(key)
+        if found is None:
+            found = self._nearest(counts)
+            if len(self.seen) < REMEMBERED:
+                self.seen[key] = found
+        return found
+
+    def _nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         term, weight = _unit(counts, self.idf)
         bound = weight @ self.largest[term]
         best_at, best = np.empty(0, np.int64), np.empty(0)
         blocks = self.largest.shape[1]
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == NEIGHBOURS and bound[block] < best[-1]:
+        open_blocks = np.flatnonzero(bound > 0)
+        least = 0.0
+        for block in open_blocks[np.argsort(-bound[open_blocks], kind="stable")].tolist():
+            if bound[block] <= least:
                 break
             scores = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                low, high = self.starts[t * blocks + block], self.starts[t * blocks + block + 1]
+            cells = term * blocks + block
+            for w, low, high in zip(weight.tolist(), self.starts[cells].tolist(), self.starts[cells + 1].tolist()):
                 if high > low:
-                    scores[self.members[low:high] - block * BLOCK] += w * self.weights[low:high]
-            hit = np.flatnonzero(scores)
-            at = hit + block * BLOCK
-            if without is not None:
-                hit, at = hit[self.ids[at] != without], at[self.ids[at] != without]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, scores[hit]])
-            order = np.lexsort((best_at, -best))[:NEIGHBOURS]
-            best_at, best = best_at[order], best[order]
+                    scores[self.members[low:high]] += w * self.weights[low:high]
+            hit = np.flatnonzero(scores > least)
+            if len(hit):
+                at, own = np.concatenate([best_at, hit + block * BLOCK]), np.concatenate([best, scores[hit]])
+                order = np.lexsort((at, -own))[: NEIGHBOURS + 1]
+                best_at, best = at[order], own[order]
+                least = float(best[-1]) if len(best) > NEIGHBOURS else 0.0
         return best_at, best
 
     def vote(self, counts: dict[int, int], without: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
         """Distance-weighted share of toxic neighbours (None without any), and the neighbours."""
         if not counts:
             return None, np.empty(0, np.int64), np.empty(0)
-        at, cosine = self.nearest(counts, without)
+        at, cosine = self.nearest(counts)
+        if without is not None:
+            other = self.ids[at] != without
+            at, cosine = at[other], cosine[other]
+        at, cosine = at[:NEIGHBOURS], cosine[:NEIGHBOURS]
         if not len(at):
             return None, at, cosine
         weight = 1 / (1.05 - np.minimum(cosine, 1.0))
@@ -255,21 +274,29 @@ def fit(
                 out.append((int(key), list(counts), list(counts.values())))
             yield pd.DataFrame(out, columns=["id", "term", "n"])
 
-    found = texts.mapInPandas(vectors, "id long, term array<int>, n array<int>").dropDuplicates(["id"]).collect()
-    shown = sorted((r.id, chosen[r.id], dict(zip(r.term, r.n))) for r in found)
+    found = texts.mapInPandas(vectors, "id long, term array<int>, n array<int>").dropDuplicates(["id"])
+    found = written(found, "labelled-vectors")
+    shown = sorted((r.id, chosen[r.id], dict(zip(r.term, r.n))) for r in found.collect())
     index = Index.build(vocabulary, idf, shown)
-    votes = []
-    for key, label, own in shown:
-        vote = index.vote(own, key)[0]
-        if vote is not None:
-            votes.append((vote, label))
+    packed = texts.sparkSession.sparkContext.broadcast(_sent(index))
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _received(packed.value)
+        for batch in batches:
+            rows = zip(batch["id"], batch["term"], batch["n"])
+            votes = [own.vote(dict(zip(t.tolist(), n.tolist())), int(key))[0] for key, t, n in rows]
+            labels = [known.value[int(key)] for key in batch["id"]]
+            out = [(v, label) for v, label in zip(votes, labels) if v is not None]
+            yield pd.DataFrame(out, columns=["vote", "label"]).astype({"vote": "float64", "label": "int64"})
+
+    votes = [(r.vote, r.label) for r in found.mapInPandas(vote, "vote double, label long").collect()]
     index.bounds, index.rates = _calibration(votes)
     return index
 
 
 def _sent(index: Index) -> dict:
     """The index as plain values, which tasks can read without this package."""
-    return vars(index) | {"vocabulary": dict(index.vocabulary)}
+    return vars(index) | {"vocabulary": dict(index.vocabulary), "seen": {}}
 
 
 def _received(values: dict) -> Index:
