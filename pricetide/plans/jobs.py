@@ -6,7 +6,9 @@ computed twice and a lost executor costs a part of one stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pricetide.operators import split as sp
 from pricetide.operators.frames import drop_incomplete
 from pricetide.plans.workspace import Workspace
 from pricetide.schemas import LIVE_SCHEMA, PRICE_SECTION, STATION_SECTION
+from pricetide.session import own_scratch
 from pricetide.sources import dump, rows, tables, writers
 
 ENCODED = ["brand", "uuid"]
@@ -32,6 +35,17 @@ ROW_ORDER = ["day_key", "uuid", "date", "id"]
 SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_SEED, SEARCH_ROUNDS = 50, 4, 42, 100
 
 
+def _job(work: Callable) -> Callable:
+    """A job: what it returns reads tables of the workspace only, so its scratch tables go at its end."""
+
+    @wraps(work)
+    def run(ws: Workspace, *args, **options):
+        with own_scratch(ws.spark):
+            return work(ws, *args, **options)
+
+    return run
+
+
 def _write_prices(ws: Workspace, parsed: DataFrame) -> None:
     """Price rows stored by usability and day: one pass gives the records and the rejects."""
     usable = F.col("reject").isNull()
@@ -46,6 +60,7 @@ def _write_stations(ws: Workspace, parsed: DataFrame) -> None:
     writers.write_table(rows.rejected(parsed), ws.path("station_rejects"))
 
 
+@_job
 def extract(ws: Workspace, dump_path: str, as_of: datetime | Column | None = None) -> None:
     """Text dump to price rows of the last 60 days and stations, with the rejects of both."""
     lines = dump.land_dump(ws.spark, dump_path, ws.path("dump_lines"))
@@ -55,6 +70,7 @@ def extract(ws: Workspace, dump_path: str, as_of: datetime | Column | None = Non
     _write_stations(ws, dump.parse_station_lines(sections[STATION_SECTION]))
 
 
+@_job
 def load_files(ws: Workspace, prices_tsv: str, stations_tsv: str) -> None:
     """Price and station files (TSV) to the same tables as `extract`."""
     parsed = tables.read_prices(ws.spark, prices_tsv).transform(pr.parse_dates)
@@ -63,12 +79,14 @@ def load_files(ws: Workspace, prices_tsv: str, stations_tsv: str) -> None:
     _write_stations(ws, tables.read_stations(ws.spark, stations_tsv))
 
 
+@_job
 def load_oil(ws: Workspace, oil_csv: str, skip_first: bool = True) -> None:
     """Landed oil series to a table with one row per day."""
     series = mn.one_close_per_day(tables.read_oil(ws.spark, oil_csv, skip_first))
     writers.write_table(series, ws.path("oil"))
 
 
+@_job
 def build_features(ws: Workspace) -> None:
     """Enriched price table (stored by day, with record id) and the final table."""
     features = pr.price_features(ws.prices.drop("day_key"), ws.read("stations"))
@@ -77,6 +95,7 @@ def build_features(ws: Workspace) -> None:
     writers.write_table(final, ws.path("final"), ["month", "day"], order=pr.FINAL_ORDER)
 
 
+@_job
 def build_means(ws: Workspace, frame: str = "observed") -> None:
     """Daily and rolling means per station, and the feature table with them attached."""
     features = ws.read("features")
@@ -84,6 +103,7 @@ def build_means(ws: Workspace, frame: str = "observed") -> None:
     writers.write_table(mn.attach_means(features, ws.read("means")), ws.path("features_with_means"), ["day_key"])
 
 
+@_job
 def build_slice(ws: Workspace, day_mode: str = "date", codes_from: str = "train") -> None:
     """Encoded training slice with `day_idx` and `split`, and the dictionaries.
 
@@ -106,6 +126,7 @@ def _part(ws: Workspace, split: str) -> DataFrame:
     return ws.read("slice").where(F.col("split") == split)
 
 
+@_job
 def train(ws: Workspace, params: md.BoostParams = md.BoostParams(), features: list[str] = md.FEATURES) -> None:
     """Fit the change model on the training days; save it with its losses per round and importances.
 
@@ -118,6 +139,7 @@ def train(ws: Workspace, params: md.BoostParams = md.BoostParams(), features: li
     writers.write_table(md.feature_importance(model), ws.path("importance"))
 
 
+@_job
 def evaluate(ws: Workspace, threshold: float = mt.THRESHOLD) -> DataFrame:
     """Score the test days with the saved model, append the report to the runs and return it.
 
@@ -142,6 +164,7 @@ def evaluate(ws: Workspace, threshold: float = mt.THRESHOLD) -> DataFrame:
     return report
 
 
+@_job
 def tune(
     ws: Workspace,
     train_days: int = sp.TRAIN_DAYS,
@@ -197,6 +220,7 @@ def _forecast_rows(ws: Workspace) -> DataFrame:
     return fc.with_time_split(fc.forecast_rows(records, mn.daily_means(features, ["e5"]), ws.read("oil")))
 
 
+@_job
 def train_forecast(ws: Workspace, params: md.BoostParams = md.BoostParams()) -> None:
     """Fit and save the e5 forecast with its station dictionary; both know the training days only."""
     writers.write_table(_forecast_rows(ws), ws.path("forecast_records"), ["split"])
@@ -209,6 +233,7 @@ def train_forecast(ws: Workspace, params: md.BoostParams = md.BoostParams()) ->
     writers.save_model(md.train_regressor(train_rows, params=params), ws.path("forecast_model"))
 
 
+@_job
 def forecast(ws: Workspace) -> DataFrame:
     """Predict e5 for the test days; writes predictions and returns the metrics.
 

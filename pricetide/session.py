@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,10 @@ SETTINGS = {
 }
 
 
+# On a cluster shuffles begin with many partitions, which AQE merges to fit what arrives.
+CLUSTER_SETTINGS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
+
+
 def build_session(app: str = "pricetide", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; `conf` wins over them."""
     builder = SparkSession.builder.appName(app)
@@ -25,7 +31,12 @@ def build_session(app: str = "pricetide", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        for key, value in CLUSTER_SETTINGS.items():
+            if key not in conf:
+                spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +57,29 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_OWNED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other table uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end: results must be written by then."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file system, wherever it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricetide.operators import prices as pr
+from pricetide.session import own_scratch, remove_path
 
 COLUMNS = ["id", "uuid", "date", "diesel"]
 
@@ -64,6 +65,10 @@ def start(stream: DataFrame, root: str, checkpoint: str, available_now: bool = T
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        with own_scratch(batch.sparkSession):
+            label(batch, number)
+
+    def label(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{root}/open/batch={number - 1}") if number else None
         placed_batch(batch, before).write.mode("overwrite").parquet(f"{root}/records/batch={number}")
@@ -76,18 +81,12 @@ def start(stream: DataFrame, root: str, checkpoint: str, available_now: bool = T
         closed.write.mode("overwrite").parquet(f"{root}/labels/batch={number}")
         still_open.write.mode("overwrite").parquet(f"{root}/open/batch={number}")
         if number > 1:
-            _remove(spark, f"{root}/open/batch={number - 2}")
+            remove_path(spark, f"{root}/open/batch={number - 2}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Spark's file system, wherever it is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
     """The newest label of every labelled record. Records without an id keep all their labels."""
     labels = spark.read.parquet(f"{root}/labels")

@@ -187,3 +187,17 @@ def test_files_follow_the_size_not_the_tasks(ws, spark, tmp_path):
 def test_fits_without_a_number(ws):
     small = {"stepSize": [0.1], "maxDepth": [2], "minInstancesPerNode": [5]}
     assert len(jobs.tune(ws, n_iter=1, cv_folds=2, rounds=1, parallelism=-1, space=small).losses) == 1
+
+
+def test_no_scratch_is_left(ws, tmp_path):
+    from pathlib import Path
+
+    from pricetide.session import shared_dir
+
+    folder = Path(shared_dir(ws.spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    jobs.build_features(ws)
+    jobs.build_slice(ws)
+    jobs.train_forecast(ws, PARAMS)
+    assert jobs.forecast(ws).count() == 1
+    assert set(folder.iterdir()) == before
