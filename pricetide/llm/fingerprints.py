@@ -19,7 +19,7 @@ SUBSETS = DRAWS * len(DENSITIES)
 #: Lexicons of up to so many terms are broadcast; a larger one is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: Documents of one range in which a document's successor is looked up.
-RANGE_ROWS = 5_000
+RANGE_ROWS = 1_000
 MOST_RANGES = 10_000
 EMPTY = "----"
 
