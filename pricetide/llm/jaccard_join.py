@@ -185,8 +185,10 @@ def _cross_pairs(whole: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     that fall short leave, which makes more tokens unmatched, so this is done a few times over.
     The order of tokens: unmatched ones, then by frequency. `need` grows with the postings that the
     shortest prefix meets, and the prefix by as many tokens: two similar sets share at least
-    least(need, need) tokens of their prefixes. Pairs whose matched tokens cannot suffice are not made.
+    least(need, need) tokens of their prefixes. Pairs whose matched tokens cannot suffice are not made. Pairs
+    with a member of a large class are found by differences instead.
     """
+    first = whole
     for turn in range(rounds):
         rows = whole.select("id", "n", "class", F.explode("tokens").alias("token"))
         shared = (
@@ -211,36 +213,70 @@ def _cross_pairs(whole: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     prefixes = placed.withColumn("need", need).where(F.col("place") < base + F.col("need"))
     prefixes = written(prefixes.select("id", "n", "class", "k", "need", "token"), "prefixes")
     sizes = prefixes.select("id", "class", "n").distinct().groupBy("class")
-    large = sizes.agg(F.count("*").alias("members"), F.min("n").alias("n_least")).where(f"members >= {LARGE_CLASS}")
+    large = sizes.agg(F.count("*").alias("members"), F.min("n").alias("n_least"), F.max("n").alias("n_most"))
+    large = written(large.where(f"members >= {LARGE_CLASS}").drop("members"), "large-classes")
 
-    # Tokens of a set that occur in a large class at all: where they cannot suffice, no member is looked at.
-    in_large = met.join(large, "class").groupBy("token", "class").agg(F.first("n_least").alias("n_least"))
-    seen = met.select("id", "n", "class", "token").join(in_large.withColumnRenamed("class", "other"), "token")
-    seen = seen.where("class <> other").groupBy("id", "other", "n", "n_least").agg(F.count("*").alias("k"))
-    allowed = seen.where(f"100 * k >= {percent} * (n + n_least - k)").select(F.col("id").alias("a"), "other")
-
-    left = prefixes.selectExpr("token", "id AS a", "n AS na", "k AS ka", "need AS la", "class AS ca")
-    right = prefixes.selectExpr("token", "id AS b", "n AS nb", "k AS kb", "need AS lb", "class AS cb")
+    small = prefixes.join(large.select("class"), "class", "left_anti")
+    left = small.selectExpr("token", "id AS a", "n AS na", "k AS ka", "need AS la", "class AS ca")
+    right = small.selectExpr("token", "id AS b", "n AS nb", "k AS kb", "need AS lb", "class AS cb")
     enough = F.expr(f"100 * least(ka, kb) >= {percent} * (na + nb - least(ka, kb))")
-    names = large.select("class")
-    small_left = left.join(names.withColumnRenamed("class", "ca"), "ca", "left_anti")
-    small_right = right.join(names.withColumnRenamed("class", "cb"), "cb", "left_anti")
-    among_small = (small_left.token == small_right.token) & F.expr("a < b AND ca <> cb") & enough
-    to_large = left.join(allowed, "a").withColumnRenamed("token", "token_a")
-    with_large = (F.col("token_a") == right.token) & (F.col("other") == right.cb) & enough
-    found = [
-        small_left.join(small_right, among_small).select("a", "b", "la", "lb"),
-        to_large.join(right, with_large).select("a", "b", "la", "lb"),
-    ]
-    return (
-        found[0]
-        .unionByName(found[1])
-        .groupBy("a", "b")
+    among_small = left.join(right, (left.token == right.token) & F.expr("a < b AND ca <> cb") & enough)
+    pairs = (
+        among_small.groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("least"))
         .where("shared >= least")
-        .selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-        .distinct()
+        .select("a", "b")
+    )
+    with_large = _pairs_with_large(first, met.select("id", "n", "class", "token"), large, percent)
+    return pairs.unionByName(with_large.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")).distinct()
+
+
+def _pairs_with_large(whole: DataFrame, met: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar, b in a large class and a outside it.
+
+    Most members of a large class differ from its pivot by a few edits, so their tokens tell little, but their
+    differences from the pivot do. With D(x) the tokens that x or the pivot has alone, x and y differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| tokens, and similar sets differ in few. A set that is not similar to the
+    pivot therefore shares differences with every similar member, and a prefix of the differences suffices:
+    tokens that the pivot lacks come first, as they are rare. Where the set is similar to the pivot, that pair
+    is enough.
+    """
+    least, most = 100 - percent, 100 + percent  # similar: most * differences <= least * (n + n)
+    in_large = met.join(large, "class").groupBy("token", "class").agg(
+        F.first("n_least").alias("n_least"), F.first("n_most").alias("n_most")
+    )
+    seen = met.join(in_large.withColumnRenamed("class", "other"), "token").where("class <> other")
+    seen = seen.groupBy("id", "other", "n_least", "n_most").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    near = seen.where(f"100 * k >= {percent} * (n + n_least - k)").select("id", "other", "n_most")
+    pivots = whole.join(large.select(F.col("class").alias("id")), "id").selectExpr(
+        "id AS other", "n AS np", "tokens AS pivot"
     )
+    sets = whole.select("id", "n", "tokens")
+
+    def differing(ids: DataFrame) -> DataFrame:
+        own = ids.join(sets, "id").join(pivots, "other")
+        alone = [F.array_sort(F.array_except("tokens", "pivot")), F.array_sort(F.array_except("pivot", "tokens"))]
+        return own.withColumn("differs", F.concat(*alone)).withColumn("d", F.size("differs")).drop("tokens", "pivot")
+
+    outside = written(differing(near), "outside")
+    to_pivot = outside.where(f"{most} * d <= {least} * (n + np)").selectExpr("id AS a", "other AS b")
+    outside = outside.where(f"{most} * d > {least} * (n + np)")
+    kept = met.select("id", "class").distinct().join(large.select("class"), "class").where("id <> class")
+    inside = differing(kept.withColumnRenamed("class", "other"))
+
+    def prefix(rows: DataFrame, shared: str) -> DataFrame:
+        """Tokens of which two sets share one if they share at least `shared` differences."""
+        short = F.col("d") - F.greatest(F.lit(1), F.expr(f"cast(ceil({shared}) AS int)")) + 1
+        token = F.explode(F.slice("differs", F.lit(1), F.greatest(short, F.lit(0)))).alias("token")
+        return rows.select("id", "other", "n", "d", token)
+
+    left = prefix(outside, f"(d - floor({least} * (n + n_most) / {most})) / 2")
+    right = prefix(inside, f"(d + {least} * (np - n) / {most}) / 2")
+    left = left.selectExpr("id AS a", "other", "token", "n AS na", "d AS da")
+    right = right.selectExpr("id AS b", "other", "token", "n AS nb", "d AS db")
+    possible = f"{most} * abs(da - db) <= {least} * (na + nb)"
+    met_again = left.join(right, ["other", "token"]).where(possible).select("a", "b").distinct()
+    return to_pivot.unionByName(met_again)
 
 
 def _with_rows(sets: DataFrame, classes: DataFrame) -> DataFrame:
