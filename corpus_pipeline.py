@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricetide.llm import toxicity
 from pricetide.llm.common import read, written
 from pricetide.llm.decontaminate import remove_contaminated
-from pricetide.llm.jaccard_join import jaccard_join
+from pricetide.llm.jaccard_join import jaccard_join, without_ids
 from pricetide.llm.mixing import mixed
 from pricetide.llm.sharding import shard
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies; rows without an id stay."""
     classes = jaccard_join(docs)
-    dropped = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return without_ids(docs, dropped)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,10 +100,11 @@ def _marked(ids: DataFrame) -> list[tuple[int, bytes]]:
     return [(row.part, bytes(row.bits)) for row in rows.collect()]
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose `id` may be among `ids`: all that are, and few others.
+def _among(rows: DataFrame, ids: DataFrame, key: str = "id", inside: bool = True) -> DataFrame:
+    """The rows whose key may be among `ids`: all that are, and few others; or else all other rows.
 
-    The bitmap has a fixed size and only saves shuffling rows that the join behind it drops.
+    The bitmap has a fixed size and only saves shuffling rows that the join behind it drops. NULL is not among
+    the ids.
     """
     bits = bytearray(FILTER_BITS // 8)
     for part, piece in _marked(ids):
@@ -115,11 +116,22 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            yield batch.filter(pa.array((flags[at >> 3] >> (at & 7) & 1) == 1)).select(columns)
+            at = batch.column("_bitmap_at").to_numpy()
+            found = (at >= 0) & ((flags[at >> 3] >> (at & 7) & 1) == 1)
+            yield batch.filter(pa.array(found == inside)).select(columns)
 
-    hashed = rows.where("id IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)))
-    return hashed.mapInArrow(run, rows.schema)
+    place = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
+    return rows.withColumn("_bitmap_at", F.coalesce(place, F.lit(-1))).mapInArrow(run, rows.schema)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is not in `ids` (one column of `id_col`); rows without an id stay.
+
+    Only rows that the bitmap cannot tell apart from dropped ones are shuffled.
+    """
+    named = ids.select(F.col(id_col).alias("id"))
+    maybe = _among(docs, named, id_col).join(ids.select(id_col), id_col, "left_anti").select(*docs.columns)
+    return _among(docs, named, id_col, inside=False).unionByName(maybe)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

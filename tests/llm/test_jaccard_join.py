@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from pricetide.llm.common import components, tokens
-from pricetide.llm.jaccard_join import jaccard_join
+from pricetide.llm.jaccard_join import jaccard_join, without_ids
 
 
 def shingles(text):
@@ -107,3 +107,13 @@ def test_components(spark):
     found = components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert sorted((r.id, r.component) for r in found) == sorted((x, root[x]) for x in linked)
+
+
+def test_rows_are_dropped_by_id(spark):
+    rows = [(i, f"t{i}", None if i % 3 else i) for i in range(2000)] + [(None, "none", 1), (5, "again", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    ids = spark.range(0, 4000, 5).withColumnRenamed("id", "doc_id")
+    left = without_ids(docs, ids)
+    assert left.schema == docs.schema
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, docs.where("doc_id IS NULL OR doc_id % 5 <> 0").collect()))
+    assert without_ids(docs, ids.limit(0)).count() == len(rows)
