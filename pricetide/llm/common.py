@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetide.operators.frames import written
 
-__all__ = ["WORD", "Hashes", "components", "lower_ascii", "range_of", "read", "tokens", "word_array", "written"]
+__all__ = ["WORD", "Hashes", "bounded_batches", "components", "lower_ascii", "range_of", "read", "tokens", "word_array", "written"]
 
 #: A word of the contracts: anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of an Arrow batch: texts are long, and a Python worker holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in batches of at most BATCH_ROWS rows, to bound the workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricetide.llm.common import bounded_batches
+
 #: Edits allowed per character of a test item.
 EDIT_RATE = 0.05
 #: Characters of test items that are searched for in one pass; a larger benchmark takes several.
@@ -128,6 +130,7 @@ class Searcher:
 
 def _searchers(benchmark: DataFrame, id_col: str, text_col: str, rate: float) -> Iterator[Searcher]:
     """One searcher per block of items; a block's size is bounded, the number of blocks is not."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     items = items.where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import Hashes, components, tokens, written
+from pricetide.llm.common import Hashes, bounded_batches, components, tokens, written
 
 #: Shingle hashes have 63 bits; those below this bound (0.3 of them) are compared first.
 REGION = (1 << 63) * 3 // 10
@@ -317,6 +317,7 @@ def jaccard_join(
     that, without pairs within it. Then adaptive prefixes over whole sets find the pairs of different
     classes, and these are compared as well, so no class is missed.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(docs.mapInPandas(_sets(width), SET_SCHEMA), "shingles")
     nodes = sets.where("id IS NOT NULL AND n > 0")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import written
+from pricetide.llm.common import bounded_batches, written
 
 #: Labelled rows that the classifier is fitted on, at most, drawn by a digest of the id.
 MOST_EXAMPLES = 24_000
@@ -219,6 +219,7 @@ def fit(
     chi-square. Their document frequencies are counted over all documents. Votes are calibrated on the
     examples, each without itself. The driver holds at most MOST_EXAMPLES sparse vectors of MOST_TERMS terms.
     """
+    bounded_batches(docs.sparkSession)
     chosen = _chosen(labels, id_col, label_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.sparkSession.sparkContext.broadcast(chosen)
