@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine over an inverted index of all their terms."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -18,54 +19,55 @@ from pricetide.llm.common import bounded_batches, written
 
 #: Labelled rows that the classifier is fitted on, at most, drawn by a digest of the id.
 MOST_EXAMPLES = 24_000
-#: Terms of the index at most, and the labelled rows that must hold a term.
-MOST_TERMS = 4096
-LEAST_ROWS = 5
-#: Neighbours that vote, examples of a block, and bins of the calibration.
+#: Weight of a term that leans to neither label, next to the log odds ratio of those that do.
+LEAST_LEAN = 0.05
+#: Neighbours that vote, vectors of the index at most (one block), and bins of the calibration.
 NEIGHBOURS = 32
-BLOCK = 1024
+BLOCK = 1 << 15
 BINS = 20
-#: Vectors whose neighbours a task remembers: many texts hold the same few terms.
-REMEMBERED = 1 << 14
+#: Shares of the vectors that part rare terms from more frequent ones; the search looks at rare ones first.
+SHARES = (1 / 48, 1 / 24, 1 / 12, 1 / 6)
+#: Cosines that differ by less are equal: weights are single-precision numbers.
+TIE = 1e-6
+#: Vectors whose neighbours, and words whose terms, a task remembers.
+REMEMBERED, REMEMBERED_WORDS = 1 << 14, 1 << 17
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None, only: set[str] | None = None) -> Counter:
-    """Words in lower case, and the first 4 and 5 letters of longer ones (for compounds), with their counts.
+def _parts(word: str) -> tuple[str, ...]:
+    """A word, and the first 4 and 5 letters of a longer one (for compounds)."""
+    return (word, f"{word[:4]}~", f"{word[:5]}~")[: min(max(len(word) - 3, 1), 3)]
 
-    `only` are the words to look at, all by default.
-    """
+
+def terms(text: str | None) -> Counter:
+    """Words in lower case, and the first 4 and 5 letters of longer ones, with their counts."""
     counts: Counter = Counter()
-    words = _WORDS.findall(text.lower()) if text else []
-    for word, n in Counter(words if only is None else filter(only.__contains__, words)).items():
-        counts[word] += n
-        if len(word) > 4:
-            counts[f"{word[:4]}~"] += n
-            if len(word) > 5:
-                counts[f"{word[:5]}~"] += n
+    for word, n in Counter(_WORDS.findall(text.lower()) if text else []).items():
+        for term in _parts(word):
+            counts[term] += n
     return counts
 
 
 class Vocabulary(dict):
-    """Numbers of the terms. Most texts hold few of them, which is found out on their distinct words."""
+    """Numbers of the terms; remembers those of a bounded number of words."""
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__(numbers)
-        starts = [term[:-1] for term in numbers if term.endswith("~")]
-        self.words = {term for term in numbers if not term.endswith("~")}
-        self.four, self.five = {s for s in starts if len(s) == 4}, {s for s in starts if len(s) == 5}
+        self.met: dict[str, tuple[int, ...]] = {}
 
     def count(self, text: str | None) -> dict[int, int]:
         """Counts of the known terms of a text, by number."""
-        if not text:
-            return {}
-        distinct = set(_WORDS.findall(" ".join(set(text.lower().split()))))
-        found = distinct & self.words
-        found |= {word for word in distinct if len(word) > 4 and (word[:4] in self.four or word[:5] in self.five)}
-        if not found:
-            return {}
-        return {self[term]: n for term, n in terms(text, found).items() if term in self}
+        counts: dict[int, int] = {}
+        for word, n in Counter(_WORDS.findall(text.lower()) if text else []).items():
+            found = self.met.get(word)
+            if found is None:
+                found = tuple(self[term] for term in _parts(word) if term in self)
+                if len(self.met) < REMEMBERED_WORDS:
+                    self.met[word] = found
+            for term in found:
+                counts[term] = counts.get(term, 0) + n
+        return counts
 
 
 def is_held_out(doc_id) -> bool:
@@ -74,94 +76,161 @@ def is_held_out(doc_id) -> bool:
 
 @dataclass
 class Index:
-    """Unit vectors of the examples as postings, cut into blocks of examples, with each block's largest weight."""
+    """Unit vectors of the examples, equal ones once, as postings with the largest weight of each term, and as rows."""
 
     vocabulary: Vocabulary
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    starts: np.ndarray  # of the postings of (term, block)
-    members: np.ndarray  # places in the block
+    idf: np.ndarray  # times the lean of the term
+    ids: np.ndarray  # lowest id of the examples with this vector
+    labels: np.ndarray  # their toxic share
+    sizes: np.ndarray  # their number
+    places: dict[int, int]  # of the vectors of all examples
+    starts: np.ndarray  # of the postings of a term
+    members: np.ndarray  # places of vectors
     weights: np.ndarray
-    largest: np.ndarray  # [term, block]
+    largest: np.ndarray  # [term, block], of one block
+    levels: np.ndarray  # number of SHARES below the term's share of the vectors
+    tails: np.ndarray  # [level, place]: length of the part of a vector in terms above the level
+    firsts: np.ndarray  # of the vectors in `terms` and `shares`, frequent terms first
+    ends: np.ndarray  # [level, place]: number of a vector's terms above the level
+    terms: np.ndarray
+    shares: np.ndarray
     plain_rate: float  # share of toxic examples among those without a term
     bounds: np.ndarray | None = None  # calibration: votes up to bounds[i] mean rates[i]
     rates: np.ndarray | None = None
     seen: dict = field(default_factory=dict)  # neighbours of vectors met before, REMEMBERED at most
+    query: np.ndarray | None = None  # a zero for each term
 
     @staticmethod
-    def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """vectors: (doc_id, label, counts by term). Neighbours in the index share their heaviest term."""
-        plain = [label for _, label, counts in vectors if not counts]
-        shown = [(doc, label, *_unit(counts, idf)) for doc, label, counts in vectors if counts]
-        shown.sort(key=lambda v: (int(v[2][v[3].argmax()]), v[1], v[0]))
-        blocks = -(-len(shown) // BLOCK) or 1
-        parts = [
-            np.stack([v[2], np.full(len(v[2]), i), v[3]]) for i, v in enumerate(shown)
-        ] or [np.empty((3, 0))]
-        term, member, weight = np.concatenate(parts, axis=1)
-        cell = term.astype(np.int64) * blocks + member.astype(np.int64) // BLOCK
-        order = np.argsort(cell, kind="stable")
-        largest = np.zeros(len(vocabulary) * blocks)
-        np.maximum.at(largest, cell, weight)
+    def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
+        """vectors: (doc_id, label, terms by number, counts). Labels have no say in the order of the index."""
+        plain = [label for _, label, term, _ in vectors if not len(term)]
+        groups: dict[bytes, list] = {}  # by vector: terms, counts, ids, toxic
+        for doc, label, term, n in sorted(vectors, key=lambda v: v[0]):
+            if len(term):
+                group = groups.setdefault(_key(term, n), [term, n, [], 0])
+                group[2].append(doc)
+                group[3] += label
+        shown = list(groups.values())
+        sizes = np.array([len(g[2]) for g in shown], np.int64)
+        firsts = np.cumsum([0] + [len(g[0]) for g in shown])
+        term = np.concatenate([g[0] for g in shown]) if shown else np.empty(0, np.int32)
+        weight = np.concatenate([_weights(g[0], g[1], idf).astype(np.float32) for g in shown] or [np.empty(0, np.float32)])
+        member = np.repeat(np.arange(len(shown), dtype=np.int32), np.diff(firsts))
+        order = np.argsort(term, kind="stable")
+        largest = np.zeros((len(vocabulary), 1), np.float32)
+        np.maximum.at(largest[:, 0], term, weight)
+        df = np.bincount(term, minlength=len(vocabulary))
+        levels = np.searchsorted(np.array(SHARES) * len(shown), df).astype(np.int8)
+        tails, ends = [], []
+        for i in range(len(SHARES)):
+            above = levels[term] > i
+            ends.append(np.bincount(member[above], minlength=len(shown)))
+            squares = np.bincount(member[above], weight[above].astype(np.float64) ** 2, len(shown))
+            tails.append(np.sqrt(squares) * (1 + TIE))
+        row = np.lexsort((-levels[term], member))
         return Index(
             vocabulary,
             idf,
-            np.array([v[0] for v in shown], np.int64),
-            np.array([v[1] for v in shown], np.float64),
-            np.searchsorted(cell[order], np.arange(len(vocabulary) * blocks + 1)),
-            member[order].astype(np.int64) % BLOCK,
+            np.array([g[2][0] for g in shown], np.int64),
+            np.array([g[3] / len(g[2]) for g in shown], np.float64),
+            sizes,
+            {doc: place for place, g in enumerate(shown) for doc in g[2]},
+            np.append(0, np.cumsum(df)),
+            member[order],
             weight[order],
-            largest.reshape(len(vocabulary), blocks),
+            largest,
+            levels,
+            np.array(tails),
+            firsts,
+            np.array(ends),
+            term[row],
+            weight[row],
             (sum(plain) + 0.5) / (len(plain) + 10.0),
         )
 
     def nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact top examples and cosines, one more than vote. Blocks are opened by falling bound until none can do better."""
-        key = tuple(counts) if len(counts) == 1 else tuple(sorted(counts.items()))  # one term: its count is no matter
+        """Exact top vectors and cosines, one more than vote."""
+        at, cosine = self.tied(counts)
+        return at[: NEIGHBOURS + 1], cosine[: NEIGHBOURS + 1]
+
+    def tied(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with all vectors that tie with the last one."""
+        term = np.sort(np.fromiter(counts, np.int64, len(counts)))
+        n = np.fromiter(map(counts.__getitem__, term.tolist()), np.int64, len(term))
+        key = _key(term, n)
         found = self.seen.get(key)
         if found is None:
-            found = self._nearest(counts)
-            if len(self.seen) < REMEMBERED:
+            found = self._nearest(term, _weights(term, n, self.idf))
+            if len(self.seen) < REMEMBERED and len(found[0]) <= 8 * NEIGHBOURS:
                 self.seen[key] = found
         return found
 
-    def _nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        term, weight = _unit(counts, self.idf)
-        bound = weight @ self.largest[term]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        blocks = self.largest.shape[1]
-        open_blocks = np.flatnonzero(bound > 0)
-        least = 0.0
-        for block in open_blocks[np.argsort(-bound[open_blocks], kind="stable")].tolist():
-            if bound[block] <= least:
+    def _nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rare terms add their shares first, then more and more frequent ones.
+
+        What the other terms can add to a vector is bounded by the length of its part in them, and by their
+        largest weights. When few vectors can still be among the best, these are multiplied in full.
+        """
+        if self.query is None:
+            self.query = np.zeros(len(self.idf))
+        self.query[term] = weight
+        level, sizes = self.levels[term], self.starts[term + 1] - self.starts[term]
+        scores, least = np.zeros(len(self.ids)), 0.0
+        for stage in range(len(SHARES) + 1):
+            now, later = level == stage, level > stage
+            if now.any():
+                member, share = _slices(self.starts[term[now]], self.starts[term[now] + 1], self.members, self.weights)
+                scores += np.bincount(member, share * np.repeat(weight[now], sizes[now]), len(scores))
+            left = sizes[later].sum()
+            if left == 0:
+                stage = len(SHARES)
+                hit = np.flatnonzero(scores >= max(_last(scores) - 2 * TIE, 1e-300))
+                break
+            if left < len(scores) or len(scores) <= 2 * NEIGHBOURS:
+                continue
+            top = np.argpartition(scores, -2 * NEIGHBOURS)[-2 * NEIGHBOURS :]
+            least = max(least, _last(scores[top] + self._products(top, stage)))
+            rest = np.sqrt(weight[later] @ weight[later]) * self.tails[stage]
+            rest = np.minimum(rest, weight[later] @ self.largest[term[later], 0])
+            hit = np.flatnonzero(scores + rest >= max(least - 2 * TIE, 1e-300))
+            if self.ends[stage, hit].sum() < left:
                 break
-            scores = np.zeros(BLOCK)
-            cells = term * blocks + block
-            for w, low, high in zip(weight.tolist(), self.starts[cells].tolist(), self.starts[cells + 1].tolist()):
-                if high > low:
-                    scores[self.members[low:high]] += w * self.weights[low:high]
-            hit = np.flatnonzero(scores > least)
-            if len(hit):
-                at, own = np.concatenate([best_at, hit + block * BLOCK]), np.concatenate([best, scores[hit]])
-                order = np.lexsort((at, -own))[: NEIGHBOURS + 1]
-                best_at, best = at[order], own[order]
-                least = float(best[-1]) if len(best) > NEIGHBOURS else 0.0
-        return best_at, best
-
-    def vote(self, counts: dict[int, int], without: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """Distance-weighted share of toxic neighbours (None without any), and the neighbours."""
+        cosine = scores[hit] + self._products(hit, stage)
+        self.query[term] = 0.0
+        near = (cosine > 0) & (cosine >= _last(cosine) - TIE)
+        hit, cosine = hit[near], cosine[near]
+        order = np.lexsort((hit, -cosine))
+        return hit[order], cosine[order]
+
+    def _products(self, places: np.ndarray, level: int) -> np.ndarray:
+        """Products of the query with vectors, over the terms above the level."""
+        if level >= len(SHARES):
+            return np.zeros(len(places))
+        sizes, first = self.ends[level, places], self.firsts[places]
+        term, share = _slices(first, first + sizes, self.terms, self.shares)
+        return np.bincount(np.repeat(np.arange(len(places)), sizes), self.query[term] * share, len(places))
+
+    def vote(self, counts: dict[int, int], without: tuple[int, int] | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """Distance-weighted share of toxic neighbours (None without any), and their vectors.
+
+        The nearest vectors vote until NEIGHBOURS examples are met. All examples of a vector vote, and all of
+        those that tie with the last one. `without` is the id and label of an example that does not.
+        """
         if not counts:
             return None, np.empty(0, np.int64), np.empty(0)
-        at, cosine = self.nearest(counts)
+        at, cosine = self.tied(counts)
+        size = self.sizes[at].astype(np.float64)
+        toxic = size * self.labels[at]
         if without is not None:
-            other = self.ids[at] != without
-            at, cosine = at[other], cosine[other]
-        at, cosine = at[:NEIGHBOURS], cosine[:NEIGHBOURS]
+            own = at == self.places.get(without[0], -1)
+            size, toxic = size - own, toxic - own * without[1]
+            at, cosine, toxic, size = at[size > 0], cosine[size > 0], toxic[size > 0], size[size > 0]
         if not len(at):
             return None, at, cosine
-        weight = 1 / (1.05 - np.minimum(cosine, 1.0))
-        return float(weight @ self.labels[at] / weight.sum()), at, cosine
+        last = np.flatnonzero(np.cumsum(size) - size < NEIGHBOURS)[-1]
+        voting = cosine >= cosine[last] - TIE
+        nearness = 1 / (1.05 - np.minimum(cosine[voting], 1.0))
+        return float(nearness @ toxic[voting] / (nearness @ size[voting])), at, cosine
 
     def counted(self, text: str | None) -> dict[int, int]:
         return self.vocabulary.count(text)
@@ -175,8 +244,29 @@ class Index:
 
 def _unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     term = np.fromiter(counts, np.int64, len(counts))
-    weight = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[term]
-    return term, weight / np.sqrt(weight @ weight)
+    return term, _weights(term, np.fromiter(counts.values(), np.float64, len(counts)), idf)
+
+
+def _weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    weight = (1 + np.log(n)) * idf[term]
+    return weight / np.sqrt(weight @ weight)
+
+
+def _slices(first: np.ndarray, end: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """The slices of each array, one after the other."""
+    bounds = list(zip(first.tolist(), end.tolist()))
+    return [np.concatenate([array[low:high] for low, high in bounds] or [array[:0]]) for array in arrays]
+
+
+def _last(cosine: np.ndarray) -> float:
+    """The lowest of the top cosines, 0 where there are too few."""
+    return float(np.partition(cosine, -NEIGHBOURS - 1)[-NEIGHBOURS - 1]) if len(cosine) > NEIGHBOURS else 0.0
+
+
+def _key(term: np.ndarray, n: np.ndarray) -> bytes:
+    """A digest of the terms, in order, and their counts; the count of a single term is no matter."""
+    n = np.ones(1) if len(n) == 1 else n
+    return blake2b(term.astype(np.int64).tobytes() + n.astype(np.int64).tobytes(), digest_size=16).digest()
 
 
 def _calibration(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +305,10 @@ def fit(
 ) -> Index:
     """The index of labelled examples.
 
-    Of the terms in the examples, those that are more frequent in toxic ones become the index's terms, by
-    chi-square. Their document frequencies are counted over all documents. Votes are calibrated on the
-    examples, each without itself. The driver holds at most MOST_EXAMPLES sparse vectors of MOST_TERMS terms.
+    All terms of the examples are in the index. A term weighs its inverse document frequency, counted over all
+    documents, times how much it leans to a label: the log odds ratio, with a pseudo-count of 1, LEAST_LEAN at
+    least. Votes are calibrated on the examples, each without itself. The driver holds at most MOST_EXAMPLES
+    sparse vectors and their terms.
     """
     bounded_batches(docs.sparkSession)
     chosen = _chosen(labels, id_col, label_col)
@@ -235,20 +326,14 @@ def fit(
             toxic = pd.Series([held[1][t] for t in both], dtype="int64")
             yield pd.DataFrame({"term": found, "n": pd.Series(list(both.values()), dtype="int64"), "toxic": toxic})
 
-    n, n_toxic = len(chosen), sum(chosen.values())
     sums = texts.mapInPandas(count, "term string, n long, toxic long").groupBy("term")
-    sums = sums.agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").cast("double").alias("toxic"))
-    expected = F.col("n") * F.lit(n_toxic / max(1, n))
-    gain = (F.col("toxic") - expected) ** 2 / expected
-    best = (
-        sums.where((F.col("n") >= LEAST_ROWS) & (F.col("toxic") > 2 * expected))
-        .withColumn("gain", gain)
-        .where("gain > 10")
-        .orderBy(F.desc("gain"), "term")
-        .limit(MOST_TERMS)
-        .select("term")
-    )
-    vocabulary = Vocabulary({row.term: i for i, row in enumerate(best.collect())})
+    sums = sums.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    sums = sums.sort_by([("n", "descending"), ("term", "ascending")])  # frequent terms lie together
+    vocabulary = Vocabulary({term: i for i, term in enumerate(sums["term"].to_pylist())})
+    n, toxic = sums["n"].to_numpy().astype(np.float64), sums["toxic"].to_numpy().astype(np.float64)
+    n_toxic = sum(chosen.values())
+    odds = np.log((toxic + 1) / (n_toxic + 2)) - np.log((n - toxic + 1) / (len(chosen) - n_toxic + 2))
+    del sums
     sent = texts.sparkSession.sparkContext.broadcast(dict(vocabulary))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,12 +343,14 @@ def fit(
             for text in batch["text"]:
                 seen[list(own.count(text))] += 1
             seen[-1] += len(batch)
-        yield pd.DataFrame({"term": np.arange(len(seen)), "df": seen})
+        met = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": met, "df": seen[met]})
 
     rows = texts.select("text").mapInPandas(frequencies, "term int, df long")
-    df = {row.term: row.df for row in rows.groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    counts = np.array([df.get(i, 0) for i in range(len(vocabulary) + 1)], np.float64)
-    idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5)) if vocabulary else np.empty(0)
+    rows = rows.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = np.zeros(len(vocabulary) + 1)
+    counts[rows["term"].to_numpy()] = rows["df"].to_numpy()
+    idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5)) * np.maximum(np.abs(odds), LEAST_LEAN)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Vocabulary(sent.value)
@@ -271,33 +358,42 @@ def fit(
             batch = batch[batch["id"].isin(known.value.keys())]
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                counts = own.count(text)
-                out.append((int(key), list(counts), list(counts.values())))
+                counts = sorted(own.count(text).items())
+                out.append((int(key), [term for term, _ in counts], [n for _, n in counts]))
             yield pd.DataFrame(out, columns=["id", "term", "n"])
 
     found = texts.mapInPandas(vectors, "id long, term array<int>, n array<int>").dropDuplicates(["id"])
     found = written(found, "labelled-vectors")
-    shown = sorted((r.id, chosen[r.id], dict(zip(r.term, r.n))) for r in found.collect())
+    held = found.toArrow().combine_chunks()
+    columns = [held[name].combine_chunks() for name in ("term", "n")] if held.num_rows else []
+    parts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in columns]
+    shown = [
+        (key, chosen[key], *(values[at[i] : at[i + 1]] for at, values in parts))
+        for i, key in enumerate(held["id"].to_pylist())
+    ]
     index = Index.build(vocabulary, idf, shown)
     packed = texts.sparkSession.sparkContext.broadcast(_sent(index))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = _received(packed.value)
         for batch in batches:
-            rows = zip(batch["id"], batch["term"], batch["n"])
-            votes = [own.vote(dict(zip(t.tolist(), n.tolist())), int(key))[0] for key, t, n in rows]
-            labels = [known.value[int(key)] for key in batch["id"]]
-            out = [(v, label) for v, label in zip(votes, labels) if v is not None]
+            out = []
+            for key, term, n in zip(batch["id"], batch["term"], batch["n"]):
+                label = known.value[int(key)]
+                share = own.vote(dict(zip(term.tolist(), n.tolist())), (int(key), label))[0]
+                if share is not None:
+                    out.append((share, label))
             yield pd.DataFrame(out, columns=["vote", "label"]).astype({"vote": "float64", "label": "int64"})
 
     votes = [(r.vote, r.label) for r in found.mapInPandas(vote, "vote double, label long").collect()]
+    packed.destroy()
     index.bounds, index.rates = _calibration(votes)
     return index
 
 
 def _sent(index: Index) -> dict:
     """The index as plain values, which tasks can read without this package."""
-    return vars(index) | {"vocabulary": dict(index.vocabulary), "seen": {}}
+    return vars(index) | {"vocabulary": dict(index.vocabulary), "seen": {}, "query": None}
 
 
 def _received(values: dict) -> Index:
@@ -308,8 +404,8 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
     """Rows (doc_id, held_out, score, predicted, neighbours, cosines), one per row of `docs`.
 
     `score` (0 to 1) is the calibrated vote of the nearest labelled examples, `neighbours` the three nearest
-    ones. A text without any term of the index, an empty and a NULL one get the share of toxic examples among
-    examples without such a term. A NULL id is not held out. Texts are scored where they are read.
+    ones; of examples with equal vectors the lowest id. A text without any term of the examples, an empty and a
+    NULL one get the share of toxic examples among examples without any term. A NULL id is not held out. Texts are scored where they are read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_sent(index))
 

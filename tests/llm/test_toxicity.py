@@ -88,3 +88,18 @@ def test_edges(spark):
     assert tx.toxicity(docs.limit(0), index).count() == 0
     bare = tx.fit(docs.limit(0), labels)
     assert bare.vocabulary == {}
+
+
+def test_all_terms_are_indexed(spark):
+    """Terms of few rows and neutral ones have neighbours too; a toxic group in rare wording is found by them."""
+    rows = [(i, f"plain words number{'abcdefghij'[i % 10]} here") for i in range(200)]
+    rows += [(300 + i, "grubby wretch gnarl") for i in range(5)] + [(400, "wretch gnarl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows if i != 400], "doc_id long, toxic int")
+    index = tx.fit(docs, labels)
+    learnt = [text for i, text in rows if i != 400 and not tx.is_held_out(i)]
+    assert set(index.vocabulary) == {term for text in learnt for term in tx.terms(text)}
+    assert 0 < sum(not tx.is_held_out(300 + i) for i in range(5)) < 6
+    found = {r.doc_id: r for r in tx.toxicity(docs, index).collect()}
+    assert all(len(found[i].neighbours) for i, _ in rows)
+    assert found[400].score > found[1].score and found[400].neighbours[0] >= 300
