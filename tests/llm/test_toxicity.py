@@ -103,3 +103,16 @@ def test_all_terms_are_indexed(spark):
     found = {r.doc_id: r for r in tx.toxicity(docs, index).collect()}
     assert all(len(found[i].neighbours) for i, _ in rows)
     assert found[400].score > found[1].score and found[400].neighbours[0] >= 300
+
+
+def test_copies_vote_their_true_share(spark):
+    """A thousand copies, 40 of them marked clean: all vote, whatever their labels and ids."""
+    ids = [i for i in range(2000) if not tx.is_held_out(i)][:1000]
+    rows = [(i, "vile filthy text") for i in ids] + [(5000 + i, f"fine thing {'abc'[i % 3] * 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for clean in (ids[:40], ids[-40:]):
+        marked = [(i, int(i < 5000 and i not in clean)) for i, _ in rows]
+        index = tx.fit(docs, spark.createDataFrame(marked, "doc_id long, toxic int"))
+        share, at, _ = index.vote(index.counted("vile filthy text"))
+        assert abs(share - 0.96) < 1e-9 and index.sizes[at[0]] == 1000
+        assert index.score("filthy vile text")[0] > 0.5
