@@ -29,6 +29,11 @@ BINS = 20
 SHARES = (1 / 48, 1 / 24, 1 / 12, 1 / 6)
 #: Cosines that differ by less are equal: weights are single-precision numbers.
 TIE = 1e-6
+#: What the search needs: `starts` of the postings of each term, which are `members` (places of vectors) and `weights`; the
+#: `largest` weight of each term [term, block], of one block; `levels`, the number of SHARES below the term's share of the
+#: vectors; `tails` and `ends`, the length and size of the part of each vector in terms above a level [level, place];
+#: `terms` and `shares` of the vectors, frequent terms first; and `query`, a zero for each term.
+POSTINGS = ("starts", "members", "weights", "largest", "levels", "tails", "ends", "terms", "shares", "query")
 #: Vectors whose neighbours, and words whose terms, a task remembers.
 REMEMBERED, REMEMBERED_WORDS = 1 << 14, 1 << 17
 
@@ -76,7 +81,7 @@ def is_held_out(doc_id) -> bool:
 
 @dataclass
 class Index:
-    """Unit vectors of the examples, equal ones once, as postings with the largest weight of each term, and as rows."""
+    """Vectors of the examples, equal ones once; the postings are made when they are first looked at."""
 
     vocabulary: Vocabulary
     idf: np.ndarray  # times the lean of the term
@@ -84,21 +89,13 @@ class Index:
     labels: np.ndarray  # their toxic share
     sizes: np.ndarray  # their number
     places: dict[int, int]  # of the vectors of all examples
-    starts: np.ndarray  # of the postings of a term
-    members: np.ndarray  # places of vectors
-    weights: np.ndarray
-    largest: np.ndarray  # [term, block], of one block
-    levels: np.ndarray  # number of SHARES below the term's share of the vectors
-    tails: np.ndarray  # [level, place]: length of the part of a vector in terms above the level
-    firsts: np.ndarray  # of the vectors in `terms` and `shares`, frequent terms first
-    ends: np.ndarray  # [level, place]: number of a vector's terms above the level
-    terms: np.ndarray
-    shares: np.ndarray
+    firsts: np.ndarray  # of the vectors in the next two
+    found: np.ndarray  # terms
+    counts: np.ndarray
     plain_rate: float  # share of toxic examples among those without a term
     bounds: np.ndarray | None = None  # calibration: votes up to bounds[i] mean rates[i]
     rates: np.ndarray | None = None
     seen: dict = field(default_factory=dict)  # neighbours of vectors met before, REMEMBERED at most
-    query: np.ndarray | None = None  # a zero for each term
 
     @staticmethod
     def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
@@ -111,43 +108,49 @@ class Index:
                 group[2].append(doc)
                 group[3] += label
         shown = list(groups.values())
-        sizes = np.array([len(g[2]) for g in shown], np.int64)
-        firsts = np.cumsum([0] + [len(g[0]) for g in shown])
-        term = np.concatenate([g[0] for g in shown]) if shown else np.empty(0, np.int32)
-        weight = np.concatenate([_weights(g[0], g[1], idf).astype(np.float32) for g in shown] or [np.empty(0, np.float32)])
-        member = np.repeat(np.arange(len(shown), dtype=np.int32), np.diff(firsts))
-        order = np.argsort(term, kind="stable")
-        largest = np.zeros((len(vocabulary), 1), np.float32)
-        np.maximum.at(largest[:, 0], term, weight)
-        df = np.bincount(term, minlength=len(vocabulary))
-        levels = np.searchsorted(np.array(SHARES) * len(shown), df).astype(np.int8)
-        tails, ends = [], []
-        for i in range(len(SHARES)):
-            above = levels[term] > i
-            ends.append(np.bincount(member[above], minlength=len(shown)))
-            squares = np.bincount(member[above], weight[above].astype(np.float64) ** 2, len(shown))
-            tails.append(np.sqrt(squares) * (1 + TIE))
-        row = np.lexsort((-levels[term], member))
         return Index(
             vocabulary,
             idf,
             np.array([g[2][0] for g in shown], np.int64),
             np.array([g[3] / len(g[2]) for g in shown], np.float64),
-            sizes,
+            np.array([len(g[2]) for g in shown], np.int64),
             {doc: place for place, g in enumerate(shown) for doc in g[2]},
-            np.append(0, np.cumsum(df)),
-            member[order],
-            weight[order],
-            largest,
-            levels,
-            np.array(tails),
-            firsts,
-            np.array(ends),
-            term[row],
-            weight[row],
+            np.cumsum([0] + [len(g[0]) for g in shown]),
+            np.concatenate([g[0] for g in shown] or [np.empty(0)]).astype(np.int32),
+            np.concatenate([g[1] for g in shown] or [np.empty(0)]).astype(np.int32),
             (sum(plain) + 0.5) / (len(plain) + 10.0),
         )
 
+    def __getattr__(self, name: str):
+        if name not in POSTINGS:
+            raise AttributeError(name)
+        self._invert()
+        return self.__dict__[name]
+
+    def _invert(self) -> None:
+        """Sets POSTINGS."""
+        shown, term = len(self.ids), self.found
+        member = np.repeat(np.arange(shown, dtype=np.int32), np.diff(self.firsts))
+        weight = (1 + np.log(self.counts)) * self.idf[term]
+        lengths = np.sqrt(np.bincount(member, weight**2, shown))
+        weight = (weight / lengths[member]).astype(np.float32)
+        df = np.bincount(term, minlength=len(self.idf))
+        self.levels = np.searchsorted(np.array(SHARES) * shown, df).astype(np.int8)
+        self.largest = np.zeros((len(self.idf), 1), np.float32)
+        np.maximum.at(self.largest[:, 0], term, weight)
+        tails, ends = [], []
+        for i in range(len(SHARES)):
+            above = self.levels[term] > i
+            ends.append(np.bincount(member[above], minlength=shown))
+            squares = np.bincount(member[above], weight[above].astype(np.float64) ** 2, shown)
+            tails.append(np.sqrt(squares) * (1 + TIE))
+        self.tails, self.ends = np.array(tails), np.array(ends)
+        order = np.argsort(term, kind="stable")
+        self.starts, self.members, self.weights = np.append(0, np.cumsum(df)), member[order], weight[order]
+        order = np.lexsort((-self.levels[term], member))
+        self.terms, self.shares = term[order], weight[order]
+        self.query = np.zeros(len(self.idf))
+
     def nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Exact top vectors and cosines, one more than vote."""
         at, cosine = self.tied(counts)
@@ -171,8 +174,6 @@ class Index:
         What the other terms can add to a vector is bounded by the length of its part in them, and by their
         largest weights. When few vectors can still be among the best, these are multiplied in full.
         """
-        if self.query is None:
-            self.query = np.zeros(len(self.idf))
         self.query[term] = weight
         level, sizes = self.levels[term], self.starts[term + 1] - self.starts[term]
         scores, least = np.zeros(len(self.ids)), 0.0
@@ -372,6 +373,8 @@ def fit(
         for i, key in enumerate(held["id"].to_pylist())
     ]
     index = Index.build(vocabulary, idf, shown)
+    del shown, parts, columns, held
+    sent.destroy()
     packed = texts.sparkSession.sparkContext.broadcast(_sent(index))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,12 +395,24 @@ def fit(
 
 
 def _sent(index: Index) -> dict:
-    """The index as plain values, which tasks can read without this package."""
-    return vars(index) | {"vocabulary": dict(index.vocabulary), "seen": {}, "query": None}
+    """The vectors as packed plain values, which tasks can read without this package."""
+    plain = {name: getattr(index, name) for name in ("idf", "ids", "labels", "sizes", "places", "firsts", "plain_rate")}
+    plain |= {"bounds": index.bounds, "rates": index.rates, "vocabulary": "\n".join(index.vocabulary).encode()}
+    plain |= {"found": index.found.tobytes(), "counts": index.counts.tobytes()}
+    for name in ("vocabulary", "found", "counts"):
+        plain[name] = len(plain[name]), pa.compress(plain[name], "zstd", asbytes=True)
+    return plain
 
 
 def _received(values: dict) -> Index:
-    return Index(**values | {"vocabulary": Vocabulary(values["vocabulary"])})
+    """The index of packed values, made once in each worker process: a broadcast value stays there."""
+    if "index" not in values:
+        wide = {name: pa.decompress(values[name][1], values[name][0], "zstd", asbytes=True) for name in ("vocabulary", "found", "counts")}
+        names = wide["vocabulary"].decode().split("\n") if wide["vocabulary"] else []
+        wide["vocabulary"] = Vocabulary({term: i for i, term in enumerate(names)})
+        wide |= {name: np.frombuffer(wide[name], np.int32) for name in ("found", "counts")}
+        values["index"] = Index(**{name: v for name, v in values.items()} | wide)
+    return values["index"]
 
 
 def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
