@@ -52,7 +52,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     texts = written(chat.formatted(chat.canonical_turns(rows, "conv_id")), "chats")
-    back = chat.read_back(texts).join(texts.select("conv_id", F.length("formatted").alias("chars")), "conv_id")
+    chars = texts.select(F.col("conv_id").alias("own_id"), F.length("formatted").alias("chars"))
+    back = chat.read_back(texts)
+    back = back.join(chars, F.col("conv_id").eqNullSafe(F.col("own_id")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

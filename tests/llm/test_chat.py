@@ -37,6 +37,14 @@ def test_query_reads_back_what_went_in(spark):
         assert row.formatted_chars == marks + sum(len(t) + sum(map(t.count, "\\<[")) for _, _, t in turns)
 
 
+def test_query_keeps_the_conversation_without_an_id(spark, tmp_path):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "aa"), (7, 0, "user", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: (r.n_turns, r.loss_chars) for r in op7_chat(spark, str(tmp_path)).collect()}
+    assert found == {None: (2, 2), 7: (1, 0), -1: (2, len("</s>[INST] ok [/INST]"))}
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant"]), MARKS), MARKS), min_size=1, max_size=6))
 def test_round_trip(spark, turns):
