@@ -130,7 +130,11 @@ class Scorer:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_rows: int = TRAINING_ROWS) -> Scorer:
-    """The label model over all documents, and the scorer over about `training_rows` of them."""
+    """The label model over all documents, and the scorer over about `training_rows` of them.
+
+    Where a class is rare, its likely members are drawn more often, up to half of `training_rows` for each
+    class, and weigh less in turn. The penalty is lowered with the rarer class, which it would outweigh else.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     patterns = texts.groupBy(votes(F.col("text")).alias("votes")).agg(F.count("*").alias("n")).collect()
     counts = {row.votes: row.n for row in patterns}  # 3**LABELLERS rows at most
@@ -140,18 +144,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
     hashing = HashingTF(numFeatures=SLOTS, inputCol="terms", outputCol="hashed")
     norm = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
     scorer = Scorer(hashing, norm, None, share)
-    if not total or not 0.001 < share < 0.999:
+    mass = {1: share * total, 0: sum(counts[v] * (1 - good[v]) for v in counts)}
+    if min(mass.values()) < 1e-6:  # one class has no weight
         return scorer
     steps = 1 << 30
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < int(min(1.0, training_rows / total) * steps)
-    sample = texts.where(drawn).select(votes(F.col("text")).alias("votes"), features(F.col("text")).alias("terms"))
-    labels = docs.sparkSession.createDataFrame(sorted(good.items()), "votes string, good double")
-    labelled = written(sample.join(F.broadcast(labels), "votes"), "quality-sample")
-    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
-                             F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight"))))
+    rates = []
+    for name, p in sorted(good.items()):
+        of_classes = (p / mass[1] + (1 - p) / mass[0]) / 2
+        rates.append((name, p, min(1.0, training_rows * max(1 / total, of_classes))))
+    labels = F.broadcast(docs.sparkSession.createDataFrame(rates, "votes string, good double, rate double"))
+    voted = texts.withColumn("votes", votes(F.col("text"))).join(labels, "votes")
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < F.col("rate") * steps
+    sample = voted.where(drawn).select("good", "rate", features(F.col("text")).alias("terms"))
+    labelled = written(sample, "quality-sample")
+    each = F.lit(min(1.0, training_rows / total)) / F.col("rate")
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("good") * each).alias("weight")),
+                             F.struct(F.lit(0.0).alias("label"), ((1 - F.col("good")) * each).alias("weight"))))
     rows = scorer.vectors(labelled).select("features", both.alias("t")).select("features", "t.label", "t.weight")
-    learner = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=40)
-    scorer.model = learner.fit(rows.where("weight > 1e-6"))
+    learner = LogisticRegression(weightCol="weight", regParam=1e-3 * min(1.0, 10 * min(share, 1 - share)), maxIter=40)
+    scorer.model = learner.fit(rows.where("weight > 0"))
     return scorer
 
 

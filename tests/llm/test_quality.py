@@ -48,3 +48,13 @@ def test_edges(spark):
         if r.doc_id is not None and 0 < r.doc_id < 160:
             assert r.keep == (r.doc_id < 60)
     assert ql.quality(docs.limit(0), ql.fit(docs.limit(0))).collect() == []
+
+
+def test_rare_junk_is_found(spark):
+    """Ten junk texts among 20 000 clean ones, 0.05 %: the scorer is fitted all the same."""
+    prose = "The house of the old man is by the sea, and it was cold for days. He had not been there in years."
+    rows = [(i, f"{prose} Day {i} was for the sea.") for i in range(20_000)]
+    rows += [(50_000 + i, f"BUY!! NOW!! WIN!! CASH!! {i}!! GO!! GO!! GO!!") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ql.quality(docs, ql.fit(docs)).groupBy("keep").agg({"doc_id": "min", "*": "count"}).collect()
+    assert {r.keep: (r["min(doc_id)"], r["count(1)"]) for r in found} == {1: (0, 20_000), 0: (50_000, 10)}
