@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import brown_lm, chat, decontaminate, fingerprints, licenses, quality, toxicity
+from pricetide.llm import alignment, brown_lm, chat, decontaminate, fingerprints, language, licenses, periodic, quality, toxicity
 from pricetide.llm.common import read, written
 from pricetide.llm.jaccard_join import jaccard_join
 from pricetide.llm.mixing import fair_mix
 from pricetide.llm.sharding import shard
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with 80 % equal five-word shingles."""
@@ -85,6 +88,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, index)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which is made to repeat."""
+    found = periodic.periodic_runs(read(spark, sf_dir, "documents"), edit=periodic.repeated)
+    return periodic.run_digests(found)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by their character n-grams."""
+    docs = read(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Links and groups of the tokens of two tokenizers in all documents."""
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256)).alias("groups_sha256")
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align(docs, f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model", told=digest)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -98,5 +120,8 @@ QUERIES = {
         op8_quality,
         op9_mixing,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_language_id,
+        op13_token_alignment,
     )
 }

@@ -88,4 +88,56 @@ OP9 = f"""
     SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::bigint AS taken
     FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": OP1, "op7_chat": OP7, "op9_mixing": OP9}
+#: crc32 of a text of ASCII characters: the table by eight shifts of each byte, then a fold over the characters.
+_CRC_TABLE = """
+    SELECT list(c ORDER BY i) AS steps FROM (
+      SELECT i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+      FROM range(256) r(i))"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda s: ord(s)::bigint)"
+    fold = f"list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]))"
+    return f"xor(4294967295, {fold})"
+
+
+OP11 = f"""
+    WITH crc AS ({_CRC_TABLE}), texts AS (
+      SELECT doc_id, {_words("text")} AS w, {_crc32("doc_id::varchar")} AS h FROM documents, crc
+    ), sized AS (
+      SELECT *, len(w) AS n, h // 10 AS g FROM texts
+    ), edits AS (
+      SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM sized
+    ), placed AS (
+      SELECT doc_id, n, list_transform(range(n),
+        lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) AS w FROM edits
+    ), words AS (
+      SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM placed
+    ), equal AS (
+      SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y
+      ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+    ), islands AS (
+      SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal
+    ), stretches AS (
+      SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM islands GROUP BY doc_id, q, island
+    ), runs AS (
+      SELECT doc_id, start, length, min(q) AS period FROM stretches
+      WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+    ), best AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::double / period DESC, start, period) AS place FROM runs
+    ), told AS (
+      SELECT doc_id, count(*) AS n_runs,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM runs GROUP BY doc_id
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+    ), kept AS (
+      SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT p.doc_id, coalesce(t.n_runs, 0)::bigint AS n_runs, b.start::bigint AS start, b.length::bigint AS length,
+      b.period::bigint AS period, (1000 * b.length // b.period)::bigint AS exponent_milli,
+      sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+    FROM placed p LEFT JOIN told t ON p.doc_id = t.doc_id LEFT JOIN kept k ON p.doc_id = k.doc_id
+    LEFT JOIN best b ON p.doc_id = b.doc_id AND b.place = 1"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1, "op7_chat": OP7, "op9_mixing": OP9, "op11_periodic_runs": OP11}
