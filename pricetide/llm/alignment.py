@@ -6,7 +6,6 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,8 @@ from pricetide.llm.common import bounded_batches, written
 
 #: Bytes of texts whose tokens are one pair of matrices, unless one text is longer.
 CHUNK_BYTES = 1 << 18
+#: Token ids in written tables; larger vocabularies take four bytes.
+PACKED = "<u2"
 #: Entries of a product that are expanded at a time.
 BLOCK_ENTRIES = 1 << 18
 #: Links with one of this many most frequent id pairs are scored where texts are read; others by a join.
@@ -35,6 +36,8 @@ def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (sizes[0] numbers), then those of the next range."""
     if (sizes == 1).all():
         return first
+    if not len(sizes):
+        return np.empty(0, np.int64)
     ends = np.cumsum(sizes)
     return np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
 
@@ -131,14 +134,14 @@ class Tokenizers:
         ranks = byte_level_ranks(byte_level)
         self.a = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        a_bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.a_bytes[i] = token
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+            a_bytes[i] = token
+        self.a_table = Bytes.of(a_bytes)
+        self.b_table = Bytes.of([self._piece(i) for i in range(self.b.get_piece_size())])
         names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
-        self.a_names = {end: names(len(self.a_bytes), end) for end in ",|"}
-        self.b_names = {end: names(len(self.b_bytes), end) for end in ",;"}
+        self.a_names = {end: names(self.a_table.count, end) for end in ",|"}
+        self.b_names = {end: names(self.b_table.count, end) for end in ",;"}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -146,16 +149,47 @@ class Tokenizers:
             return bytes([int(re.fullmatch(r"<0x([0-9A-F]{2})>", piece)[1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none for texts without tokens (NULL, empty, or not given back byte by byte)."""
         full = [text or "" for text in texts]
-        a = [self.a.encode_ordinary(" " + text) if text else [] for text in full]
-        b = self.b.encode(full, num_threads=1) if full else []
-        for i, text in enumerate(full):
-            told = (" " + text).encode("utf-8", "surrogatepass")
-            if not text or b"".join(map(self.a_bytes.__getitem__, a[i])) != told or b"".join(map(self.b_bytes.__getitem__, b[i])) != told:
-                a[i], b[i] = [], []
-        return a, b
+        told = [(" " + text).encode("utf-8", "surrogatepass") if text else b"" for text in full]
+        a = [self.a.encode_to_numpy(" " + text, disallowed_special=()) if text else EMPTY for text in full]
+        b = [np.array(ids, np.uint32) for ids in self.b.encode(full, num_threads=1)] if full else []
+        same = self.a_table.same(a, told) & self.b_table.same(b, told)
+        return [x if ok else EMPTY for x, ok in zip(a, same)], [x if ok else EMPTY for x, ok in zip(b, same)]
+
+
+EMPTY = np.empty(0, np.uint32)
+
+
+@dataclass
+class Bytes:
+    """The bytes of the tokens of a vocabulary."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @staticmethod
+    def of(tokens: list[bytes]) -> Bytes:
+        sizes = np.array([len(t) for t in tokens])
+        return Bytes(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    @property
+    def count(self) -> int:
+        return len(self.sizes)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.flat[_ranges(self.starts[ids], self.sizes[ids])]
+
+    def same(self, texts: list[np.ndarray], told: list[bytes]) -> np.ndarray:
+        """Whether the joined bytes of the ids are those told, for each text."""
+        if not texts:
+            return np.empty(0, bool)
+        got, want = self.joined(np.concatenate(texts)), np.frombuffer(b"".join(told), np.uint8)
+        if len(got) == len(want) and (got == want).all() and all(self.sizes[ids].sum() == len(t) for ids, t in zip(texts, told)):
+            return np.ones(len(texts), bool)
+        return np.array([self.joined(ids).tobytes() == t for ids, t in zip(texts, told)])
 
 
 @dataclass
@@ -174,16 +208,18 @@ class Aligned:
     link_bytes: np.ndarray  # bytes that they share
 
     @staticmethod
-    def of(tokenizers: Tokenizers, a: list[list[int]], b: list[list[int]]) -> Aligned:
-        flat = lambda side: np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side)))
+    def of(tokenizers: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]) -> Aligned:
+        flat = lambda side: np.concatenate([EMPTY, *side]).astype(np.int64)
         first = lambda side: np.concatenate([[0], np.cumsum([len(ids) for ids in side])]).astype(np.int64)
         a_ids, b_ids = flat(a), flat(b)
-        a_cells, b_cells = Csr.spans(tokenizers.a_sizes[a_ids]), Csr.spans(tokenizers.b_sizes[b_ids])
+        a_cells, b_cells = Csr.spans(tokenizers.a_table.sizes[a_ids]), Csr.spans(tokenizers.b_table.sizes[b_ids])
         parts = list(zip(*a_cells.product(b_cells.transposed())))
         links = [np.concatenate(p) for p in parts] if parts else [np.empty(0, np.int64)] * 3
-        both = np.intersect1d(a_cells.starts[1:], b_cells.starts[1:], assume_unique=True)
-        a_group, b_group = np.searchsorted(both, a_cells.starts[1:]), np.searchsorted(both, b_cells.starts[1:])
-        return Aligned(a_ids, b_ids, first(a), first(b), a_group, b_group, len(both), *links)
+        ends = np.zeros((2, a_cells.width + 1), bool)  # where tokens of either side end
+        ends[0, a_cells.starts[1:]], ends[1, b_cells.starts[1:]] = True, True
+        both = ends[0] & ends[1]
+        groups = [np.cumsum(both[c.starts[1:]]) - both[c.starts[1:]] for c in (a_cells, b_cells)]
+        return Aligned(a_ids, b_ids, first(a), first(b), *groups, int(both.sum()), *links)
 
     def keys(self, width: int) -> np.ndarray:
         """Number of the id pair of each link."""
@@ -240,19 +276,13 @@ def _received(files: dict) -> Tokenizers:
     return files["made"]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Ids and texts of up to CHUNK_BYTES or one text more."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[list]]:
+    """The columns of rows whose second values have `most` parts together, or one row more."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(key)
-            texts.append(text)
-            size += len(text or "")
-            if size >= CHUNK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        columns = [c.to_pylist() for c in batch.columns]
+        ends = np.cumsum([len(value or "") for value in columns[1]]) // most
+        cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), batch.num_rows]
+        yield from ([c[low:high] for c in columns] for low, high in zip(cuts, cuts[1:]) if low < high)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,34 +294,46 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
-def pair_counts(docs: DataFrame, files, text_col: str = "text") -> DataFrame:
-    """Rows (a, b, n, best): linked id pairs of all documents, their links, and whether no pair of that B id has more.
+def _tokenized(rows: DataFrame, files) -> tuple[DataFrame, DataFrame]:
+    """The tokens (id, a, b) of all rows, packed as numbers of PACKED, and counts (a, b, n) of linked id pairs.
 
-    Tasks count before anything is shuffled, and hold HELD_PAIRS pairs and those of one chunk at most.
+    Texts are read and encoded once: one table is written that holds rows of both kinds. Tasks add counts up before
+    they hand them on, and hold HELD_PAIRS pairs and those of one chunk at most.
     """
-    rows = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _received(files.value)
-        width = len(own.b_bytes)
+        width = own.b_table.count
+        none = lambda n, kind: pa.nulls(n, kind)
 
-        def batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            a, b = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], ["a", "b", "n"])
+        def counted(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            n, ids = len(keys), [pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32))]
+            empty = [none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())]
+            return pa.RecordBatch.from_arrays([*empty, *ids, pa.array(counts, pa.int64())], names)
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, texts in _chunks(batches):
-            keys, counts = np.unique(Aligned.of(own, *own.encode(texts)).keys(width), return_counts=True)
-            held.append((keys, counts))
+        for ids, texts in _chunks(batches, CHUNK_BYTES):
+            a, b = own.encode(texts)
+            held.append(np.unique(Aligned.of(own, a, b).keys(width), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_PAIRS:
-                held = [_summed(held)] if len(held) > 1 else held
+                held = [_summed(held)]
                 if len(held[0][0]) > HELD_PAIRS // 2:
-                    yield batch(*held.pop())
+                    yield counted(*held.pop())
+            packed = [pa.array([x.astype(PACKED).tobytes() for x in side], pa.binary()) for side in (a, b)]
+            counts = [none(len(ids), kind) for kind in (pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *packed, *counts], names)
         if held:
-            yield batch(*_summed(held))
+            yield counted(*_summed(held))
+
+    names = ["id", "a", "b", "pair_a", "pair_b", "n"]
+    table = written(rows.mapInArrow(run, "id long, a binary, b binary, pair_a int, pair_b int, n long"), "tokens")
+    counts = table.where("pair_a IS NOT NULL").select(F.col("pair_a").alias("a"), F.col("pair_b").alias("b"), "n")
+    return table.where("a IS NOT NULL").select("id", "a", "b"), counts
 
-    sums = rows.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    sums = written(sums, "linked-ids")
+
+def _pairs(counts: DataFrame) -> DataFrame:
+    """Rows (a, b, n, best): the links of an id pair in all documents, and whether no pair of its B id has more."""
+    sums = written(counts.groupBy("a", "b").agg(F.sum("n").alias("n")), "linked-ids")
     most = sums.groupBy("b").agg(F.max("n").alias("most"))  # a row for each id of the B vocabulary at most
     return written(sums.join(F.broadcast(most), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "counted-ids")
 
@@ -327,7 +369,8 @@ def align(
     highest, ties included, `count_sum` adds the counts of all links. `told` makes a column of the groups, which are
     texts such as `a1,a2|b1;a3|b2,b3`, before rows are written.
 
-    Texts are read twice and never shuffled. The counts of the `most_pairs` most frequent pairs travel to the tasks;
+    Texts are read and encoded once, and neither they nor their tokens are shuffled: the tokens are written, and read
+    again when the counts are known. The counts of the `most_pairs` most frequent pairs travel to the tasks;
     links with rarer ones are joined with theirs, so every link is scored by its exact count.
 
     NULL and empty texts and texts that a tokenizer does not give back byte by byte have no tokens: zeros and ''.
@@ -337,7 +380,9 @@ def align(
     spark = docs.sparkSession
     bounded_batches(spark)
     files = _sent(spark, byte_level, pieces)
-    pairs = pair_counts(docs, files, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tokens, counts = _tokenized(rows, files)
+    pairs = _pairs(counts)
     least = _frequent_from(pairs, most_pairs)
     known = pairs.where(F.col("n") >= least).toArrow()
     counted = spark.sparkContext.broadcast({name: known[name].to_numpy() for name in known.column_names})
@@ -345,12 +390,11 @@ def align(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = _received(files.value), counted.value
-        width = len(own.b_bytes)
+        width = own.b_table.count
         if "place" not in table:
             table["place"] = pd.Index(table["a"].astype(np.int64) * width + table["b"])
-        for ids, texts in _chunks(batches):
-            a, b = own.encode(texts)
-            found = Aligned.of(own, a, b)
+        for ids, *sides in _chunks(batches, CHUNK_BYTES):
+            found = Aligned.of(own, *([np.frombuffer(x, PACKED) for x in side] for side in sides))
             keys = found.keys(width)
             place = table["place"].get_indexer(keys) if len(table["a"]) else np.full(len(keys), -1)
             rare = place < 0
@@ -379,8 +423,7 @@ def align(
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_group_links"]
     names = ["doc_id", *sums, "groups", "rare"]
     schema = ", ".join(["doc_id long", *(f"{name} long" for name in sums), "groups string", "rare array<long>"])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    shown = rows.select("doc_id", *sums, told(F.col("groups")), "rare")
+    shown = tokens.mapInArrow(run, schema).select("doc_id", *sums, told(F.col("groups")), "rare")
     if least == 1:
         return shown.drop("rare")
     shown = written(shown.withColumn("_row", F.monotonically_increasing_id()), "aligned")
