@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.operators.means import skip_first_day
+from pricetide.operators.trees import TreeModel, from_text
 from pricetide.schemas import OIL_SCHEMA, PRICE_SCHEMA, STATION_SCHEMA
 from pricetide.sources.rows import typed_rows
 
@@ -65,3 +66,8 @@ def flatten(rows: DataFrame, levels: int = 1) -> DataFrame:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def read_model_text(spark: SparkSession, path: str) -> TreeModel:
+    """A model from a text file in the public format, wherever Spark can read it; a model is read whole."""
+    return from_text(spark.read.text(path, wholetext=True).first().value)

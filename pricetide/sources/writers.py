@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricetide.operators.trees import TreeModel, to_text
+
 
 def write_table(
     df: DataFrame,
@@ -64,3 +66,13 @@ def append_run(record: DataFrame, path: str) -> None:
 
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def write_model_text(spark: SparkSession, model: TreeModel, path: str) -> None:
+    """One text file in the public format of tree models, through Spark's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place, True)
+    try:
+        stream.write(bytearray(to_text(model).encode()))
+    finally:
+        stream.close()
