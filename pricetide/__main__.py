@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
+from pricetide.operators import leafwise as lw
 from pricetide.operators import model as md
 from pricetide.operators import metrics as mt
 from pricetide.operators import split as sp
@@ -32,12 +33,16 @@ def parser() -> argparse.ArgumentParser:
     train = commands.add_parser("train", help="encoded slice and change model")
     train.add_argument("--rounds", type=int, default=md.BoostParams.rounds)
     train.add_argument("--keep-slice", action="store_true", help="train on the slice that is there")
+    train.add_argument("--leafwise", action="store_true", help="the published learner; the model is a text file")
     train.add_argument("--leaky", action="store_true", help="train with the next price, as published")
 
     evaluate = commands.add_parser("eval", help="score the test days with the saved model")
     evaluate.add_argument("--threshold", type=float, default=mt.THRESHOLD)
 
+    evaluate.add_argument("--model-text", help="a model in the public text format instead")
+
     tune = commands.add_parser("tune", help="random search")
+    tune.add_argument("--leafwise", action="store_true", help="the published learner and its grid")
     tune.add_argument("--train-days", type=int, default=sp.TRAIN_DAYS)
     tune.add_argument("--n-iter", type=int, default=jobs.SEARCH_DRAWS)
     tune.add_argument("--cv-folds", type=int, default=jobs.SEARCH_FOLDS)
@@ -70,15 +75,19 @@ def run(ws: Workspace, args: argparse.Namespace) -> None:
         if not args.keep_slice:
             jobs.build_slice(ws)
         features = md.LEAKY_FEATURES if args.leaky else md.FEATURES
-        jobs.train(ws, md.BoostParams(rounds=args.rounds), features)
+        if args.leafwise:
+            jobs.train_leafwise(ws, lw.LeafwiseParams(rounds=args.rounds), features)
+        else:
+            jobs.train(ws, md.BoostParams(rounds=args.rounds), features)
     elif args.command == "eval":
-        jobs.evaluate(ws, args.threshold).show()
+        jobs.evaluate(ws, args.threshold, args.model_text).show()
         if ws.read("runs_eval").orderBy("run_at", ascending=False).first()["leaky"]:
             print("The model knows the next price: these figures show a leak, no forecast skill.")
     elif args.command == "tune":
         found = jobs.tune(
-            ws, args.train_days, args.n_iter, args.cv_folds, args.n_jobs, args.random_state, args.rounds
-        )
+            ws, args.train_days, args.n_iter, args.cv_folds, args.n_jobs, args.random_state, args.rounds,
+            learner="leafwise" if args.leafwise else "spark",
+        )
         print(f"best log loss {found.losses[found.best]:.6f} with {found.points[found.best]}")
     elif args.command == "forecast":
         jobs.train_forecast(ws, md.BoostParams(rounds=args.rounds))

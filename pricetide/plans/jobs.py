@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.features import day_key
+from pricetide.functions.features import moment as moment_of
 from pricetide.operators import encode as en
 from pricetide.operators import forecast as fc
+from pricetide.operators import leafwise as lw
 from pricetide.operators import live as lv
 from pricetide.operators import means as mn
 from pricetide.operators import metrics as mt
 from pricetide.operators import model as md
 from pricetide.operators import prices as pr
 from pricetide.operators import split as sp
+from pricetide.operators import trees as tr
 from pricetide.operators.frames import drop_incomplete
 from pricetide.plans.workspace import Workspace
 from pricetide.schemas import LIVE_SCHEMA, PRICE_SECTION, STATION_SECTION
@@ -140,19 +143,34 @@ def train(ws: Workspace, params: md.BoostParams = md.BoostParams(), features: li
 
 
 @_job
-def evaluate(ws: Workspace, threshold: float = mt.THRESHOLD) -> DataFrame:
+def train_leafwise(ws: Workspace, params: lw.LeafwiseParams = lw.LeafwiseParams(), features: list[str] = md.FEATURES) -> None:
+    """Fit the published learner on the training days; save it as a text file, with its nodes and importances."""
+    model = lw.train_leafwise(_part(ws, "train"), features, md.LABEL, params)
+    writers.write_model_text(ws.spark, model, ws.path("model.txt"))
+    writers.write_table(tr.node_table(ws.spark, model), ws.path("model_nodes"))
+    writers.write_table(tr.split_importance(ws.spark, model), ws.path("split_importance"))
+
+
+@_job
+def evaluate(ws: Workspace, threshold: float = mt.THRESHOLD, model_text: str | None = None) -> DataFrame:
     """Score the test days with the saved model, append the report to the runs and return it.
 
-    `leaky` tells that the model was trained with the next price.
+    `model_text` is a model in the public text format that is taken instead, such as that of `train_leafwise`. `leaky`
+    tells that the model was trained with the next price.
     """
-    model = tables.load_model(ws.path("model"))
-    scored = md.score(model, _part(ws, "test")).select("id", "y_prob", F.col(md.LABEL).alias("y_true"))
+    if model_text is None:
+        model = tables.load_model(ws.path("model"))
+        known, scored = model.stages[0].getInputCols(), md.score(model, _part(ws, "test"))
+    else:
+        trees = tables.read_model_text(ws.spark, model_text)
+        known, scored = trees.features, tr.score_trees(trees, _part(ws, "test"))
+    scored = scored.select("id", "y_prob", F.col(md.LABEL).alias("y_true"))
     writers.write_table(scored, ws.path("scores"))
     classed = mt.with_class(ws.read("scores"), threshold)
     report = mt.classification_report(classed)
     area = mt.roc_auc(classed).first()["roc_auc"]
     loss = mt.log_loss(classed).first()["log_loss"]
-    leaky = "diesel_shift" in model.stages[0].getInputCols()
+    leaky = "diesel_shift" in known
     lines, cells = report.collect(), mt.confusion_matrix(classed).collect()  # five rows and four
     record = ws.spark.createDataFrame(
         [(threshold, area, loss, leaky, cells, lines)],
@@ -175,11 +193,13 @@ def tune(
     rounds: int = SEARCH_ROUNDS,
     features: list[str] = md.FEATURES,
     folds_by: str = "hash",
-    space: dict[str, list] = md.SEARCH_SPACE,
-) -> md.SearchResult:
+    space: dict[str, list] | None = None,
+    learner: str = "spark",
+) -> md.SearchResult | lw.Search:
     """Random search on the training days; the run, its loss per point and the best point are appended.
 
-    `folds_by="rows"` gives contiguous stratified folds, `"hash"` spreads records without a shuffle.
+    `folds_by="rows"` gives contiguous stratified folds, `"hash"` spreads records without a shuffle. The learner
+    `"leafwise"` searches the published grid, all points from the same scans, and saves the refit as a text file.
     """
     resplit = sp.resplit(ws.read("slice"), train_days)
     train_rows = mt.with_class_weight(resplit.where("split = 'train'"), md.LABEL)
@@ -190,16 +210,15 @@ def tune(
     else:
         raise ValueError(f"unknown folds: {folds_by}")
     writers.write_table(folded, ws.path("search_rows"))
-    result = md.random_search(
-        ws.read("search_rows"),
-        features,
-        n_iter=n_iter,
-        folds=cv_folds,
-        seed=random_state,
-        parallelism=parallelism,
-        rounds=rounds,
-        space=space,
-    )
+    settings = {"n_iter": n_iter, "folds": cv_folds, "seed": random_state, "rounds": rounds}
+    if learner == "leafwise":
+        result = lw.search_leafwise(ws.read("search_rows"), features, md.LABEL, space=space or lw.SEARCH_SPACE, **settings)
+        writers.write_model_text(ws.spark, result.model, ws.path("model_tuned.txt"))
+    elif learner == "spark":
+        settings |= {"parallelism": parallelism, "space": space or md.SEARCH_SPACE}
+        result = md.random_search(ws.read("search_rows"), features, **settings)
+    else:
+        raise ValueError(f"unknown learner: {learner}")
     run = (train_days, len(result.points), cv_folds, random_state, "diesel_shift" in features)
     records = [
         (*run, i == result.best, loss, {name: str(value) for name, value in point.items()})
@@ -259,13 +278,16 @@ def forecast(ws: Workspace) -> DataFrame:
 def forecast_live(ws: Workspace, live_json: str, moment: datetime) -> DataFrame:
     """Predict e5 for every complete station of landed live lists, at `moment`.
 
-    Lags and averages come from the station's history, the oil price from the last known day.
+    Lags and averages come from the station's history, the oil price from the last day before `moment`; without one
+    it is the usual price.
     """
     documents = ws.spark.read.text(live_json, wholetext=True)
     live = drop_incomplete(tables.flatten_stations(documents, "value", LIVE_SCHEMA))
     history = lv.history_features(mn.daily_means(ws.read("features"), ["e5"]))
-    last_oil = mn.oil_features(ws.read("oil")).orderBy(F.desc("date")).first()  # one row
-    featured = lv.live_features(live, history, moment, "e5", last_oil["oil_price"], last_oil["oil_7d_avg"], last_known=True)
+    oil = mn.oil_features(ws.read("oil")).where(F.col("date") < F.to_date(moment_of(moment)))
+    last = oil.orderBy(F.desc("date")).first()  # one row, or none
+    price, mean = (last["oil_price"], last["oil_7d_avg"]) if last else (lv.DEFAULT_OIL_PRICE, lv.DEFAULT_OIL_PRICE)
+    featured = lv.live_features(live, history, moment, "e5", price, mean, last_known=True)
     known = featured.withColumn("uuid", F.col("id"))
     encoded = en.encode(known, ws.read("codes_forecast"), "uuid", "station_id_encoded")
     predicted = md.forecast(tables.load_model(ws.path("forecast_model")), encoded)

@@ -7,12 +7,15 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from pricetide.operators import leafwise as lw
 from pricetide.operators import model as md
 from pricetide.plans import jobs
 from pricetide.plans.workspace import Workspace
 from pricetide.schemas import FUELS, STATION_FILE_COLUMNS
+from pricetide.sources import tables
 
 PARAMS = md.BoostParams(rounds=4, depth=4, min_rows=5)
 END = datetime(2025, 4, 30)
@@ -120,6 +123,21 @@ def test_tune(ws):
         jobs.tune(ws, folds_by="days")
 
 
+def test_leafwise_learner(ws):
+    """The published learner by its jobs: text file, evaluation from it, search over its grid."""
+    params = lw.LeafwiseParams(rounds=2, leaves=6, min_rows=20)
+    jobs.train_leafwise(ws, params)
+    assert ws.read("split_importance").agg(F.sum("splits")).first()[0] == ws.read("model_nodes").where("node >= 0").count()
+    report = {r.label: r for r in jobs.evaluate(ws, 0.41, ws.path("model.txt")).collect()}
+    assert report["accuracy"].support == ws.read("slice").where("split = 'test'").count()
+    assert ws.read("runs_eval").where("threshold = 0.41").first().leaky is False
+    found = jobs.tune(ws, n_iter=2, cv_folds=2, rounds=1, learner="leafwise", space={"rate": [0.1, 0.3], "leaves": [4], "min_rows": [20]})
+    assert len(found.losses) == 2 and len(tables.read_model_text(ws.spark, ws.path("model_tuned.txt")).trees) == 1
+    assert ws.read("runs_tune").where("params['leaves'] = '4'").count() == 2
+    with pytest.raises(ValueError):
+        jobs.tune(ws, learner="other")
+
+
 def test_search_points():
     drawn = md.search_points(25, 1991)
     assert len(drawn) == 25 == len({json.dumps(p, sort_keys=True) for p in drawn})
@@ -147,6 +165,21 @@ def test_live_forecast(ws, tmp_path):
     assert all(1.4 < r.predicted < 1.8 for r in predicted.values())
 
 
+def test_live_forecast_looks_at_earlier_oil_only(ws, tmp_path):
+    """Without an oil price before the moment the usual one is taken; later ones change nothing."""
+    (tmp_path / "list.json").write_text(json.dumps({"stations": [{"id": "s1", "e5": 1.6}]}))
+    other = Workspace(ws.spark, str(tmp_path / "ws"))
+    for name in ("features", "codes_forecast"):
+        ws.read(name).write.parquet(other.path(name))
+    md_model = ws.path("forecast_model")
+    PipelineModel.load(md_model).write().save(other.path("forecast_model"))
+    told = []
+    for oil in (ws.read("oil").limit(0), ws.read("oil").where("date >= '2025-04-10'")):
+        oil.write.mode("overwrite").parquet(other.path("oil"))
+        told += [r.predicted for r in jobs.forecast_live(other, str(tmp_path / "list.json"), datetime(2025, 4, 10, 5)).collect()]
+    assert len(told) == 2 and told[0] == told[1]
+
+
 def test_command_line(ws, capsys):
     from pricetide.__main__ import parser, run
 
