@@ -308,7 +308,7 @@ def jaccard_join(
 
     One row per row of `docs`: `doc_id`, `n_shingles`, `component_id` (smallest id reachable by links, itself
     included) and `rep_id` (smallest id with the same set). Links inside a class are not listed: a large group
-        of near copies has too many. NULL and empty texts have no shingles and no links. Rows that share an id are
+    of near copies has too many. NULL and empty texts have no shingles and no links. Rows that share an id are
     one document; if their texts differ, it is linked by the longest one (then the greatest). A NULL id gets a
     NULL component. Other columns of `docs` are not read.
 
@@ -342,7 +342,10 @@ def jaccard_join(
     tokens_of = rows.groupBy("token").agg(F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 <> c2")
     mixed = rows.join(tokens_of, "token").select("id").distinct()
     short = in_class.where(F.size("low") < _shortest(percent)).select("id")
-    open_ids = written(mixed.unionByName(short).distinct(), "open")
+    unsure = mixed.unionByName(short).distinct()
+    # Pivots of classes with such members are needed too: other members are told by their differences from them.
+    pivots = unsure.join(classes, "id").select(F.col("component").alias("id"))
+    open_ids = written(unsure.unionByName(pivots).distinct(), "open")
     whole = _among(docs, open_ids).mapInPandas(_whole_sets(width), "id long, tokens array<long>")
     whole = whole.dropDuplicates(["id"]).join(open_ids, "id").join(in_class.select("id", "n", "class"), "id")
     cross = written(_cross_pairs(written(whole, "whole"), percent), "cross")

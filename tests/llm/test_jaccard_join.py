@@ -73,6 +73,30 @@ def test_large_group_of_near_copies(spark):
     assert got(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == by_hand(rows)
 
 
+def shifted(base, rng, front, back):
+    """The base without some words at its ends, and new words in their place."""
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    return new(front) + base[back : len(base) - front] + new(back)
+
+
+def test_short_families_around_pivots(spark):
+    """Families of 10 to 30 shingles, some with more than eight members: new words in front, at the end, or inside."""
+    rng = random.Random(17)
+    rows = []
+    for family in range(90):
+        base = [f"f{family}w{i}" for i in range(rng.randrange(14, 35))]
+        for _ in range(rng.choice([3, 10, 14])):
+            rows.append(shifted(base, rng, rng.randrange(4), 0))
+        for _ in range(rng.choice([3, 10, 14])):
+            rows.append(shifted(base, rng, 0, rng.randrange(4)))
+        middle = shifted(base, rng, rng.randrange(3), rng.randrange(3))
+        rows += [shifted(middle, rng, 0, rng.randrange(4)) for _ in range(rng.choice([0, 2, 9]))]
+        rows += [edited(base, rng, 1) for _ in range(rng.choice([0, 1, 9]))]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    assert got(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == by_hand(rows)
+
+
 def test_nulls_repeated_ids_and_clashing_columns(spark):
     rows = [
         (1, "a b c d e f g", 1, "x"), (1, "a b c d e f g", 2, "x"), (2, None, 3, None), (3, "", 4, "y"),
