@@ -1,273 +1,257 @@
-"""Toxicity by the nearest labelled examples: exact cosine over an inverted index of all their terms."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import bounded_batches, written
 
 #: Labelled rows that the classifier is fitted on, at most, drawn by a digest of the id.
-MOST_EXAMPLES = 24_000
-#: Weight of a term that leans to neither label, next to the log odds ratio of those that do.
-LEAST_LEAN = 0.05
-#: Neighbours that vote, vectors of the index at most (one block), and bins of the calibration.
-NEIGHBOURS = 32
-BLOCK = 1 << 15
-BINS = 20
-#: Shares of the vectors that part rare terms from more frequent ones; the search looks at rare ones first.
-SHARES = (1 / 48, 1 / 24, 1 / 12, 1 / 6)
+MOST_EXAMPLES = 4_000
+#: Examples that vote, vectors of a block of the index, frequent terms that are kept for all vectors, and bins of the
+#: calibration.
+NEIGHBOURS, BLOCK, DENSE, BINS = 128, 2048, 256, 50
+#: Texts that are searched together.
+GROUP = 32
+#: A term leans to a label as far as its log odds ratio exceeds so many of its standard errors.
+ERRORS = 2.0
+#: Weight of a neighbour that shares no term which leans to a label, next to those that do.
+PLAIN_VOTE = 1e-3
 #: Cosines that differ by less are equal: weights are single-precision numbers.
 TIE = 1e-6
-#: What the search needs: `starts` of the postings of each term, which are `members` (places of vectors) and `weights`; the
-#: `largest` weight of each term [term, block], of one block; `levels`, the number of SHARES below the term's share of the
-#: vectors; `tails` and `ends`, the length and size of the part of each vector in terms above a level [level, place];
-#: `terms` and `shares` of the vectors, frequent terms first; and `query`, a zero for each term.
-POSTINGS = ("starts", "members", "weights", "largest", "levels", "tails", "ends", "terms", "shares", "query")
-#: Vectors whose neighbours, and words whose terms, a task remembers.
-REMEMBERED, REMEMBERED_WORDS = 1 << 14, 1 << 17
+#: Texts whose scores a task remembers.
+REMEMBERED = 1 << 14
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A word, and the first 4 and 5 letters of a longer one (for compounds)."""
-    return (word, f"{word[:4]}~", f"{word[:5]}~")[: min(max(len(word) - 3, 1), 3)]
+def terms(text: str | None) -> list[str]:
+    """The words of a text in lower case; a word is a run of letters."""
+    return _WORDS.findall(text.lower()) if text else []
 
 
-def terms(text: str | None) -> Counter:
-    """Words in lower case, and the first 4 and 5 letters of longer ones, with their counts."""
-    counts: Counter = Counter()
-    for word, n in Counter(_WORDS.findall(text.lower()) if text else []).items():
-        for term in _parts(word):
-            counts[term] += n
-    return counts
+def digests(words: list[str]) -> np.ndarray:
+    found = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) for word in words)
+    return np.fromiter(found, np.uint64, len(words)).view(np.int64)
 
 
-class Vocabulary(dict):
-    """Numbers of the terms; remembers those of a bounded number of words."""
+def is_held_out(doc_id) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
-    def __init__(self, numbers: dict[str, int]):
-        super().__init__(numbers)
-        self.met: dict[str, tuple[int, ...]] = {}
 
-    def count(self, text: str | None) -> dict[int, int]:
-        """Counts of the known terms of a text, by number."""
-        counts: dict[int, int] = {}
-        for word, n in Counter(_WORDS.findall(text.lower()) if text else []).items():
-            found = self.met.get(word)
-            if found is None:
-                found = tuple(self[term] for term in _parts(word) if term in self)
-                if len(self.met) < REMEMBERED_WORDS:
-                    self.met[word] = found
-            for term in found:
-                counts[term] = counts.get(term, 0) + n
-        return counts
+def _numbered(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the numbers of its words among the words of all of them, and the digests of these."""
+    own = [terms(text) for text in texts]
+    numbers, words = pd.factorize(np.array([*chain.from_iterable(own), ""], dtype=object))
+    return np.split(numbers[:-1], np.cumsum([len(w) for w in own])[:-1]) if own else [], digests(words)
 
 
-def is_held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+def term_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Digests of the words of each text, rising, and how often it has them."""
+    own, digest = _numbered(texts)
+    for numbers in own:
+        yield np.unique(digest[numbers], return_counts=True)
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (sizes[0] numbers), then those of the next range."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+
+
+@dataclass
+class Postings:
+    """An inverted index: the members that have a term, and their weights, term by term."""
+
+    starts: np.ndarray
+    members: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(term: np.ndarray, member: np.ndarray, weight: np.ndarray, terms_: int) -> Postings:
+        order = np.argsort(term, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms_))]).astype(np.int32)
+        return Postings(starts, member[order].astype(np.int32), weight[order])
+
+    def products(self, owner: np.ndarray, term: np.ndarray, x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        """Products [text, member] of texts with all members; the texts have these terms, with weights x."""
+        first = self.starts[term]
+        sizes = self.starts[term + 1] - first
+        at = _ranges(first, sizes)
+        cell = np.repeat(owner * shape[1], sizes) + self.members[at]
+        return np.bincount(cell, self.weights[at] * np.repeat(x, sizes), shape[0] * shape[1]).reshape(shape)
 
 
 @dataclass
 class Index:
-    """Vectors of the examples, equal ones once; the postings are made when they are first looked at."""
+    """Vectors of the examples, equal ones once, in blocks of vectors whose most frequent words are alike."""
 
-    vocabulary: Vocabulary
-    idf: np.ndarray  # times the lean of the term
+    vocabulary: np.ndarray  # digests of the terms, rising
+    idf: np.ndarray
+    lean: np.ndarray  # of the terms: the squared sure part of the log odds ratio of the labels, 0 for most
     ids: np.ndarray  # lowest id of the examples with this vector
-    labels: np.ndarray  # their toxic share
+    toxic: np.ndarray  # their number with label 1
     sizes: np.ndarray  # their number
-    places: dict[int, int]  # of the vectors of all examples
     firsts: np.ndarray  # of the vectors in the next two
     found: np.ndarray  # terms
     counts: np.ndarray
     plain_rate: float  # share of toxic examples among those without a term
     bounds: np.ndarray | None = None  # calibration: votes up to bounds[i] mean rates[i]
     rates: np.ndarray | None = None
-    seen: dict = field(default_factory=dict)  # neighbours of vectors met before, REMEMBERED at most
+    seen: dict = field(default_factory=dict)  # scores of vectors met before, REMEMBERED at most
+    blocks: list[Postings] | None = None
 
-    @staticmethod
-    def build(vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-        """vectors: (doc_id, label, terms by number, counts). Labels have no say in the order of the index."""
-        plain = [label for _, label, term, _ in vectors if not len(term)]
-        groups: dict[bytes, list] = {}  # by vector: terms, counts, ids, toxic
-        for doc, label, term, n in sorted(vectors, key=lambda v: v[0]):
-            if len(term):
-                group = groups.setdefault(_key(term, n), [term, n, [], 0])
-                group[2].append(doc)
-                group[3] += label
-        shown = list(groups.values())
-        return Index(
-            vocabulary,
-            idf,
-            np.array([g[2][0] for g in shown], np.int64),
-            np.array([g[3] / len(g[2]) for g in shown], np.float64),
-            np.array([len(g[2]) for g in shown], np.int64),
-            {doc: place for place, g in enumerate(shown) for doc in g[2]},
-            np.cumsum([0] + [len(g[0]) for g in shown]),
-            np.concatenate([g[0] for g in shown] or [np.empty(0)]).astype(np.int32),
-            np.concatenate([g[1] for g in shown] or [np.empty(0)]).astype(np.int32),
-            (sum(plain) + 0.5) / (len(plain) + 10.0),
-        )
-
-    def __getattr__(self, name: str):
-        if name not in POSTINGS:
-            raise AttributeError(name)
-        self._invert()
-        return self.__dict__[name]
-
-    def _invert(self) -> None:
-        """Sets POSTINGS."""
-        shown, term = len(self.ids), self.found
-        member = np.repeat(np.arange(shown, dtype=np.int32), np.diff(self.firsts))
-        weight = (1 + np.log(self.counts)) * self.idf[term]
-        lengths = np.sqrt(np.bincount(member, weight**2, shown))
-        weight = (weight / lengths[member]).astype(np.float32)
-        df = np.bincount(term, minlength=len(self.idf))
-        self.levels = np.searchsorted(np.array(SHARES) * shown, df).astype(np.int8)
-        self.largest = np.zeros((len(self.idf), 1), np.float32)
-        np.maximum.at(self.largest[:, 0], term, weight)
-        tails, ends = [], []
-        for i in range(len(SHARES)):
-            above = self.levels[term] > i
-            ends.append(np.bincount(member[above], minlength=shown))
-            squares = np.bincount(member[above], weight[above].astype(np.float64) ** 2, shown)
-            tails.append(np.sqrt(squares) * (1 + TIE))
-        self.tails, self.ends = np.array(tails), np.array(ends)
-        order = np.argsort(term, kind="stable")
-        self.starts, self.members, self.weights = np.append(0, np.cumsum(df)), member[order], weight[order]
-        order = np.lexsort((-self.levels[term], member))
-        self.terms, self.shares = term[order], weight[order]
-        self.query = np.zeros(len(self.idf))
-
-    def nearest(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Exact top vectors and cosines, one more than vote."""
-        at, cosine = self.tied(counts)
-        return at[: NEIGHBOURS + 1], cosine[: NEIGHBOURS + 1]
-
-    def tied(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The same, with all vectors that tie with the last one."""
-        term = np.sort(np.fromiter(counts, np.int64, len(counts)))
-        n = np.fromiter(map(counts.__getitem__, term.tolist()), np.int64, len(term))
-        key = _key(term, n)
-        found = self.seen.get(key)
-        if found is None:
-            found = self._nearest(term, _weights(term, n, self.idf))
-            if len(self.seen) < REMEMBERED and len(found[0]) <= 8 * NEIGHBOURS:
-                self.seen[key] = found
-        return found
-
-    def _nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rare terms add their shares first, then more and more frequent ones.
-
-        What the other terms can add to a vector is bounded by the length of its part in them, and by their
-        largest weights. When few vectors can still be among the best, these are multiplied in full.
+    def invert(self) -> Index:
+        """Makes the indexes.
+
+        `dense` holds the weights [term, vector] of the DENSE most frequent terms. All others are in `blocks`, an inverted
+        index for each BLOCK vectors; `largest` is the highest weight of each term in each block, 0 for frequent ones.
+        """
+        if self.blocks is not None:
+            return self
+        vectors = len(self.ids)
+        member = np.repeat(np.arange(vectors), np.diff(self.firsts))
+        weight = (1 + np.log(self.counts)) * self.idf[self.found]
+        lengths = np.sqrt(np.bincount(member, weight**2, vectors))
+        self.weights = (weight / np.maximum(lengths, 1e-12)[member]).astype(np.float32)
+        df = np.bincount(self.found, minlength=len(self.idf))
+        self.place = np.full(len(self.idf), -1, np.int64)
+        frequent = np.argsort(-df, kind="stable")[:DENSE]
+        self.place[frequent] = np.arange(len(frequent))
+        often = self.place[self.found] >= 0
+        self.dense = np.zeros((len(frequent), vectors), np.float32)
+        self.dense[self.place[self.found[often]], member[often]] = self.weights[often]
+        found, member, weight = self.found[~often], member[~often], self.weights[~often]
+        self.blocks, self.largest = [], np.zeros((len(self.idf), -(-vectors // BLOCK)), np.float32)
+        cuts = np.searchsorted(member, np.arange(0, vectors + BLOCK, BLOCK))
+        for i, (low, high) in enumerate(zip(cuts[: self.largest.shape[1]], cuts[1:])):
+            self.blocks.append(Postings.of(found[low:high], member[low:high] - i * BLOCK, weight[low:high], len(self.idf)))
+            np.maximum.at(self.largest[:, i], found[low:high], weight[low:high])
+        leans = self.lean[self.found] > 0
+        whole = np.repeat(np.arange(vectors), np.diff(self.firsts))
+        self.leaning = Postings.of(self.found[leans], whole[leans], self.weights[leans], len(self.idf))
+        return self
+
+    def vector(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
+        weight = (1 + np.log(n)) * self.idf[term]
+        return weight / max(float(np.sqrt(weight @ weight)), 1e-12)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the vectors of the NEIGHBOURS nearest examples, with all that tie with the last, and their
+        cosines, falling.
+
+        Frequent terms are one product of matrices. A block is looked at for those texts only that it allows a cosine as
+        high as their nearest so far: the highest sum of its frequent terms, and the largest weights of the others. What
+        is left out holds none of the nearest. `without` has a vector for each text of which one example does not count.
         """
-        self.query[term] = weight
-        level, sizes = self.levels[term], self.starts[term + 1] - self.starts[term]
-        scores, least = np.zeros(len(self.ids)), 0.0
-        for stage in range(len(SHARES) + 1):
-            now, later = level == stage, level > stage
-            if now.any():
-                member, share = _slices(self.starts[term[now]], self.starts[term[now] + 1], self.members, self.weights)
-                scores += np.bincount(member, share * np.repeat(weight[now], sizes[now]), len(scores))
-            left = sizes[later].sum()
-            if left == 0:
-                stage = len(SHARES)
-                hit = np.flatnonzero(scores >= max(_last(scores) - 2 * TIE, 1e-300))
-                break
-            if left < len(scores) or len(scores) <= 2 * NEIGHBOURS:
+        without = [-1] * len(texts) if without is None else without
+        owner = np.repeat(np.arange(len(texts)), [len(term) for term, _ in texts])
+        term = np.concatenate([np.empty(0, np.int64), *(term for term, _ in texts)])
+        x = np.concatenate([np.empty(0), *(self.vector(*text) for text in texts)])
+        often = self.place[term] >= 0
+        query = np.zeros((len(texts), len(self.dense)), np.float32)
+        query[owner[often], self.place[term[often]]] = x[often]
+        common = query @ self.dense
+        owner, term, x = owner[~often], term[~often], x[~often]
+        found, least = [(np.empty(0, np.int64), np.empty(0))] * len(texts), np.zeros(len(texts))
+        allowed = [
+            common[:, i * BLOCK : (i + 1) * BLOCK].max(axis=1) + np.bincount(owner, x * self.largest[term, i], len(texts))
+            for i in range(len(self.blocks))
+        ]
+        for i in sorted(range(len(self.blocks)), key=lambda i: -allowed[i].sum()):
+            active = allowed[i] >= np.maximum(least - 2 * TIE, 1e-9)
+            rows = np.flatnonzero(active)
+            if not len(rows):
                 continue
-            top = np.argpartition(scores, -2 * NEIGHBOURS)[-2 * NEIGHBOURS :]
-            least = max(least, _last(scores[top] + self._products(top, stage)))
-            rest = np.sqrt(weight[later] @ weight[later]) * self.tails[stage]
-            rest = np.minimum(rest, weight[later] @ self.largest[term[later], 0])
-            hit = np.flatnonzero(scores + rest >= max(least - 2 * TIE, 1e-300))
-            if self.ends[stage, hit].sum() < left:
-                break
-        cosine = scores[hit] + self._products(hit, stage)
-        self.query[term] = 0.0
-        near = (cosine > 0) & (cosine >= _last(cosine) - TIE)
-        hit, cosine = hit[near], cosine[near]
-        order = np.lexsort((hit, -cosine))
-        return hit[order], cosine[order]
-
-    def _products(self, places: np.ndarray, level: int) -> np.ndarray:
-        """Products of the query with vectors, over the terms above the level."""
-        if level >= len(SHARES):
-            return np.zeros(len(places))
-        sizes, first = self.ends[level, places], self.firsts[places]
-        term, share = _slices(first, first + sizes, self.terms, self.shares)
-        return np.bincount(np.repeat(np.arange(len(places)), sizes), self.query[term] * share, len(places))
-
-    def vote(self, counts: dict[int, int], without: tuple[int, int] | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """Distance-weighted share of toxic neighbours (None without any), and their vectors.
-
-        The nearest vectors vote until NEIGHBOURS examples are met. All examples of a vector vote, and all of
-        those that tie with the last one. `without` is the id and label of an example that does not.
+            part, chosen = common[rows, i * BLOCK : (i + 1) * BLOCK], active[owner]
+            place = np.cumsum(active) - 1
+            sums = self.blocks[i].products(place[owner[chosen]], term[chosen], x[chosen], part.shape) + part
+            for row, scores in zip(rows.tolist(), sums):
+                found[row], least[row] = self._merged(found[row], scores, i * BLOCK, least[row], without[row])
+        out = []
+        for (at, cosine), low, own in zip(found, least.tolist(), without):
+            near = (cosine >= low - TIE) & (self.sizes[at] - (at == own) > 0)
+            at, cosine = at[near], cosine[near]
+            order = np.lexsort((at, -cosine))
+            out.append((at[order], cosine[order]))
+        return out
+
+    def _merged(
+        self, found: tuple[np.ndarray, np.ndarray], scores: np.ndarray, first: int, least: float, without: int
+    ) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+        """The nearest vectors so far and those of a block, and the cosine of the last of the nearest examples."""
+        floor = max(least, float(np.partition(scores, -NEIGHBOURS - 1)[-NEIGHBOURS - 1]) if len(scores) > NEIGHBOURS else 0.0)
+        hit = np.flatnonzero(scores >= max(floor - 2 * TIE, 1e-9))
+        at, cosine = np.concatenate([found[0], hit + first]), np.concatenate([found[1], scores[hit]])
+        size = self.sizes[at] - (at == without)
+        if size.sum() >= NEIGHBOURS:
+            order = np.argsort(-cosine, kind="stable")
+            least = float(cosine[order[np.searchsorted(np.cumsum(size[order]), NEIGHBOURS)]])
+            kept = cosine >= least - 2 * TIE
+            at, cosine = at[kept], cosine[kept]
+        return (at, cosine), least
+
+    def votes(
+        self, texts: list[tuple[np.ndarray, np.ndarray]], own: list[tuple[int, int]] | None = None
+    ) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each text the distance-weighted share of toxic neighbours (None without any), and their vectors.
+
+        A neighbour weighs its nearness times the share of its cosine that comes from leaning terms. All examples of
+        a vector vote. `own` has a vector for each text, and the label of one of its examples that does not.
         """
-        if not counts:
-            return None, np.empty(0, np.int64), np.empty(0)
-        at, cosine = self.tied(counts)
-        size = self.sizes[at].astype(np.float64)
-        toxic = size * self.labels[at]
-        if without is not None:
-            own = at == self.places.get(without[0], -1)
-            size, toxic = size - own, toxic - own * without[1]
-            at, cosine, toxic, size = at[size > 0], cosine[size > 0], toxic[size > 0], size[size > 0]
-        if not len(at):
-            return None, at, cosine
-        last = np.flatnonzero(np.cumsum(size) - size < NEIGHBOURS)[-1]
-        voting = cosine >= cosine[last] - TIE
-        nearness = 1 / (1.05 - np.minimum(cosine[voting], 1.0))
-        return float(nearness @ toxic[voting] / (nearness @ size[voting])), at, cosine
-
-    def counted(self, text: str | None) -> dict[int, int]:
-        return self.vocabulary.count(text)
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        vote, at, cosine = self.vote(self.counted(text))
-        if vote is None:
-            return self.plain_rate, at, cosine
-        return float(self.rates[min(np.searchsorted(self.bounds, vote), len(self.rates) - 1)]), at, cosine
-
-
-def _unit(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    term = np.fromiter(counts, np.int64, len(counts))
-    return term, _weights(term, np.fromiter(counts.values(), np.float64, len(counts)), idf)
-
-
-def _weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weight = (1 + np.log(n)) * idf[term]
-    return weight / np.sqrt(weight @ weight)
-
-
-def _slices(first: np.ndarray, end: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
-    """The slices of each array, one after the other."""
-    bounds = list(zip(first.tolist(), end.tolist()))
-    return [np.concatenate([array[low:high] for low, high in bounds] or [array[:0]]) for array in arrays]
-
-
-def _last(cosine: np.ndarray) -> float:
-    """The lowest of the top cosines, 0 where there are too few."""
-    return float(np.partition(cosine, -NEIGHBOURS - 1)[-NEIGHBOURS - 1]) if len(cosine) > NEIGHBOURS else 0.0
-
-
-def _key(term: np.ndarray, n: np.ndarray) -> bytes:
-    """A digest of the terms, in order, and their counts; the count of a single term is no matter."""
-    n = np.ones(1) if len(n) == 1 else n
-    return blake2b(term.astype(np.int64).tobytes() + n.astype(np.int64).tobytes(), digest_size=16).digest()
+        out = []
+        for i, (at, cosine) in enumerate(self.nearest(texts, [vector for vector, _ in own] if own else None)):
+            if not len(at):
+                out.append((None, at, cosine))
+                continue
+            term, n = texts[i]
+            leans = np.flatnonzero(self.lean[term] > 0)
+            products = (self.vector(term, n) * self.lean[term])[leans]
+            share = self.leaning.products(np.zeros(len(leans), np.int64), term[leans], products, (1, len(self.ids)))[0, at] / cosine
+            weight = (PLAIN_VOTE + share) / (1.05 - np.minimum(cosine, 1.0))
+            size, toxic = self.sizes[at].astype(float), self.toxic[at].astype(float)
+            if own:
+                size, toxic = size - (at == own[i][0]), toxic - (at == own[i][0]) * own[i][1]
+            out.append((float((weight @ toxic) / (weight @ size)), at, cosine))
+        return out
+
+    def counted(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Terms of the vocabulary in each text, rising, and how often it has them."""
+        own, digest = _numbered(texts)
+        number = np.searchsorted(self.vocabulary, digest)
+        number[number == len(self.vocabulary)] = 0
+        known = self.vocabulary[number] == digest if len(self.vocabulary) else np.zeros(len(digest), bool)
+        number = np.where(known, number, -1)
+        for numbers in own:
+            found = number[numbers]
+            yield np.unique(found[found >= 0], return_counts=True)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated vote of each text, and its three nearest examples with their cosines."""
+        counted = list(self.counted(texts))
+        for low in range(0, len(counted), GROUP):
+            part = counted[low : low + GROUP]
+            keys = [blake2b(term.tobytes() + n.tobytes(), digest_size=16).digest() for term, n in part]
+            fresh = {key: own for key, own in zip(keys, part) if key not in self.seen}
+            told = {key: self.seen[key] for key in keys if key in self.seen}
+            for key, (vote, at, cosine) in zip(fresh, self.votes(list(fresh.values()))):
+                share = self.plain_rate if vote is None else float(self.rates[min(np.searchsorted(self.bounds, vote), len(self.rates) - 1)])
+                told[key] = share, self.ids[at[:3]], cosine[:3]
+                if len(self.seen) < REMEMBERED:
+                    self.seen[key] = told[key]
+            yield from (told[key] for key in keys)
 
 
 def _calibration(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,13 +272,29 @@ def _calibration(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray
     return np.array([b[2] for b in bins]), np.array([(b[0] + 0.25) / (b[1] + 0.5) for b in bins])
 
 
-def _chosen(labels: DataFrame, id_col: str, label_col: str) -> dict[int, int]:
+def _chosen(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """Ids and labels of the rows to learn from: never held-out ones, MOST_EXAMPLES at most."""
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     rows = rows.where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     rows = rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(MOST_EXAMPLES)
-    return {row.id: row.label for row in rows.collect()}
+    return written(rows.orderBy(F.xxhash64("id"), "id").limit(MOST_EXAMPLES), "chosen-labels")
+
+
+def _entries(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row per different vector of the examples: (id, size, toxic, terms, counts), a written table."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = list(term_counts(batch["text"].tolist()))
+            yield batch[["id", "label"]].assign(terms=[t for t, _ in found], counts=[n.astype(np.int32) for _, n in found])
+
+    # MOST_EXAMPLES ids at most; an id with several texts takes the greatest.
+    own = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    vectors = written(own.mapInPandas(count, "id long, label int, terms array<long>, counts array<int>"), "labelled-vectors")
+    # The count of a single term is no matter.
+    counts = F.when(F.size("terms") > 1, F.col("counts")).otherwise(F.transform("counts", lambda _: F.lit(1)))
+    groups = vectors.withColumn("counts", counts).groupBy("terms", "counts")
+    return written(groups.agg(F.min("id").alias("id"), F.count("*").alias("size"), F.sum("label").alias("toxic")), "vectors")
 
 
 def fit(
@@ -306,112 +306,118 @@ def fit(
 ) -> Index:
     """The index of labelled examples.
 
-    All terms of the examples are in the index. A term weighs its inverse document frequency, counted over all
-    documents, times how much it leans to a label: the log odds ratio, with a pseudo-count of 1, LEAST_LEAN at
-    least. Votes are calibrated on the examples, each without itself. The driver holds at most MOST_EXAMPLES
-    sparse vectors and their terms.
+    All words of the examples are its terms. A term weighs its inverse document frequency, counted over all documents.
+    How much it leans to a label (what is sure of its log odds ratio, with pseudo-counts in the labels' proportions) has
+    a say in the votes only. Votes are calibrated on the examples, each without itself. The driver holds at most
+    MOST_EXAMPLES sparse vectors and a few numbers for each of their terms, as packed arrays.
     """
-    bounded_batches(docs.sparkSession)
-    chosen = _chosen(labels, id_col, label_col)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = texts.sparkSession.sparkContext.broadcast(chosen)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["id"].isin(known.value.keys())]
-            held = (Counter(), Counter())
-            for key, text in zip(batch["id"], batch["text"]):
-                held[known.value[int(key)]].update(terms(text).keys())
-            both = held[0] + held[1]
-            found = pd.Series(list(both), dtype="object")
-            toxic = pd.Series([held[1][t] for t in both], dtype="int64")
-            yield pd.DataFrame({"term": found, "n": pd.Series(list(both.values()), dtype="int64"), "toxic": toxic})
-
-    sums = texts.mapInPandas(count, "term string, n long, toxic long").groupBy("term")
-    sums = sums.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
-    sums = sums.sort_by([("n", "descending"), ("term", "ascending")])  # frequent terms lie together
-    vocabulary = Vocabulary({term: i for i, term in enumerate(sums["term"].to_pylist())})
-    n, toxic = sums["n"].to_numpy().astype(np.float64), sums["toxic"].to_numpy().astype(np.float64)
-    n_toxic = sum(chosen.values())
-    odds = np.log((toxic + 1) / (n_toxic + 2)) - np.log((n - toxic + 1) / (len(chosen) - n_toxic + 2))
-    del sums
-    sent = texts.sparkSession.sparkContext.broadcast(dict(vocabulary))
+    entries = _entries(texts, _chosen(labels, id_col, label_col))
+    sums = entries.select(F.explode("terms").alias("term"), "size", "toxic").groupBy("term")
+    sums = sums.agg(F.sum("size").alias("n"), F.sum("toxic").alias("toxic")).toArrow().sort_by("term")
+    vocabulary = sums["term"].to_numpy()
+    n, toxic = sums["n"].to_numpy().astype(float), sums["toxic"].to_numpy().astype(float)
+    known = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Vocabulary(sent.value)
-        seen = np.zeros(len(own) + 1, np.int64)  # the last one counts documents
+        own = Index(known.value, *[None] * 8, 0.0)
+        seen = np.zeros(len(known.value) + 1, np.int64)  # the last one counts documents
         for batch in batches:
-            for text in batch["text"]:
-                seen[list(own.count(text))] += 1
+            for term, _ in own.counted(batch["text"].tolist()):
+                seen[term] += 1
             seen[-1] += len(batch)
         met = np.flatnonzero(seen)
         yield pd.DataFrame({"term": met, "df": seen[met]})
 
     rows = texts.select("text").mapInPandas(frequencies, "term int, df long")
     rows = rows.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    counts = np.zeros(len(vocabulary) + 1)
-    counts[rows["term"].to_numpy()] = rows["df"].to_numpy()
-    idf = np.log((counts[-1] + 1) / (counts[:-1] + 0.5)) * np.maximum(np.abs(odds), LEAST_LEAN)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Vocabulary(sent.value)
-        for batch in batches:
-            batch = batch[batch["id"].isin(known.value.keys())]
-            out = []
-            for key, text in zip(batch["id"], batch["text"]):
-                counts = sorted(own.count(text).items())
-                out.append((int(key), [term for term, _ in counts], [n for _, n in counts]))
-            yield pd.DataFrame(out, columns=["id", "term", "n"])
-
-    found = texts.mapInPandas(vectors, "id long, term array<int>, n array<int>").dropDuplicates(["id"])
-    found = written(found, "labelled-vectors")
-    held = found.toArrow().combine_chunks()
-    columns = [held[name].combine_chunks() for name in ("term", "n")] if held.num_rows else []
-    parts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in columns]
-    shown = [
-        (key, chosen[key], *(values[at[i] : at[i + 1]] for at, values in parts))
-        for i, key in enumerate(held["id"].to_pylist())
-    ]
-    index = Index.build(vocabulary, idf, shown)
-    del shown, parts, columns, held
-    sent.destroy()
-    packed = texts.sparkSession.sparkContext.broadcast(_sent(index))
+    df = np.zeros(len(vocabulary) + 1)
+    df[rows["term"].to_numpy()] = rows["df"].to_numpy()
+    known.destroy()
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5))
+
+    held = entries.toArrow().combine_chunks()
+    ids, size, marked = (held[name].to_numpy() for name in ("id", "size", "toxic"))
+    lengths = _lengths(held["terms"])
+    found = np.searchsorted(vocabulary, _values(held["terms"]))
+    counts = _values(held["counts"])
+    total, positive = max(int(size.sum()), 1), int(marked.sum())
+    share = positive / total
+    odds = np.log((toxic + share) / max(positive, 0.5)) - np.log((n - toxic + 1 - share) / max(total - positive, 0.5))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (n - toxic + 0.5))
+    order = _alike(ids, lengths, found, n)
+    first = np.cumsum(lengths) - lengths
+    part = _ranges(first[order], lengths[order])
+    with_terms = order[lengths[order] > 0]  # those without any come last
+    plain = lengths == 0
+    index = Index(
+        vocabulary, idf, (np.maximum(np.abs(odds) - ERRORS * error, 0) ** 2).astype(np.float32), ids[with_terms], marked[with_terms], size[with_terms],
+        np.concatenate([[0], np.cumsum(lengths[with_terms])]), found[part].astype(np.int32), counts[part].astype(np.int32),
+        (float(marked[plain].sum()) + 0.5) / (float(size[plain].sum()) + 10.0),
+    )
+    del held, found, counts, part
+    sent = spark.sparkContext.broadcast(_sent(index))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _received(packed.value)
+        own = _received(sent.value)
         for batch in batches:
-            out = []
-            for key, term, n in zip(batch["id"], batch["term"], batch["n"]):
-                label = known.value[int(key)]
-                share = own.vote(dict(zip(term.tolist(), n.tolist())), (int(key), label))[0]
-                if share is not None:
-                    out.append((share, label))
-            yield pd.DataFrame(out, columns=["vote", "label"]).astype({"vote": "float64", "label": "int64"})
-
-    votes = [(r.vote, r.label) for r in found.mapInPandas(vote, "vote double, label long").collect()]
-    packed.destroy()
-    index.bounds, index.rates = _calibration(votes)
+            sides = [(at, label, int(own.toxic[at] if label else own.sizes[at] - own.toxic[at])) for at in batch["id"].tolist() for label in (0, 1)]
+            sides, out = [side for side in sides if side[2]], []
+            for first in range(0, len(sides), GROUP):
+                part = sides[first : first + GROUP]
+                texts = [(own.found[own.firsts[at] : own.firsts[at + 1]].astype(np.int64), own.counts[own.firsts[at] : own.firsts[at + 1]]) for at, _, _ in part]
+                told = own.votes(texts, [(at, label) for at, label, _ in part])
+                out += [(vote, label, n) for (vote, _, _), (_, label, n) in zip(told, part) if vote is not None]
+            yield pd.DataFrame(out, columns=["vote", "label", "n"]).astype({"vote": float, "label": "int64", "n": "int64"})
+
+    vectors = spark.range(len(index.ids)).repartition(max(1, len(index.ids) // 500))
+    votes = vectors.mapInPandas(vote, "vote double, label long, n long").collect()  # two for each vector at most
+    index.bounds, index.rates = _calibration([(r.vote, r.label) for r in votes for _ in range(r.n)])
+    sent.destroy()
     return index
 
 
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in column.chunks)])
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in column.chunks)])
+
+
+def _alike(ids: np.ndarray, lengths: np.ndarray, found: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """An order of the vectors by their three most frequent terms, so that blocks hold texts of one kind or language."""
+    owner = np.repeat(np.arange(len(ids)), lengths)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    order = np.lexsort((rank[found], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keys = np.full((len(ids), 3), len(n), np.int64)
+    top = place < 3
+    keys[owner[top], place[top]] = rank[found[order]][top]
+    return np.lexsort((ids, keys[:, 2], keys[:, 1], keys[:, 0]))
+
+
+#: Arrays that travel packed.
+_PACKED = ("vocabulary", "idf", "lean", "ids", "toxic", "sizes", "firsts", "found", "counts")
+
+
 def _sent(index: Index) -> dict:
     """The vectors as packed plain values, which tasks can read without this package."""
-    plain = {name: getattr(index, name) for name in ("idf", "ids", "labels", "sizes", "places", "firsts", "plain_rate")}
-    plain |= {"bounds": index.bounds, "rates": index.rates, "vocabulary": "\n".join(index.vocabulary).encode()}
-    plain |= {"found": index.found.tobytes(), "counts": index.counts.tobytes()}
-    for name in ("vocabulary", "found", "counts"):
-        plain[name] = len(plain[name]), pa.compress(plain[name], "zstd", asbytes=True)
+    plain = {"plain_rate": index.plain_rate, "bounds": index.bounds, "rates": index.rates}
+    for name in _PACKED:
+        array = getattr(index, name)
+        plain[name] = str(array.dtype), array.nbytes, pa.compress(array.tobytes(), "zstd", asbytes=True)
     return plain
 
 
 def _received(values: dict) -> Index:
     """The index of packed values, made once in each worker process: a broadcast value stays there."""
     if "index" not in values:
-        wide = {name: pa.decompress(values[name][1], values[name][0], "zstd", asbytes=True) for name in ("vocabulary", "found", "counts")}
-        names = wide["vocabulary"].decode().split("\n") if wide["vocabulary"] else []
-        wide["vocabulary"] = Vocabulary({term: i for i, term in enumerate(names)})
-        wide |= {name: np.frombuffer(wide[name], np.int32) for name in ("found", "counts")}
-        values["index"] = Index(**{name: v for name, v in values.items()} | wide)
+        wide = {n: np.frombuffer(pa.decompress(p, size, "zstd", asbytes=True), kind) for n, (kind, size, p) in ((n, values[n]) for n in _PACKED)}
+        values["index"] = Index(**{n: v for n, v in values.items() if n not in _PACKED} | wide).invert()
     return values["index"]
 
 
@@ -419,8 +425,10 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
     """Rows (doc_id, held_out, score, predicted, neighbours, cosines), one per row of `docs`.
 
     `score` (0 to 1) is the calibrated vote of the nearest labelled examples, `neighbours` the three nearest
-    ones; of examples with equal vectors the lowest id. A text without any term of the examples, an empty and a
-    NULL one get the share of toxic examples among examples without any term. A NULL id is not held out. Texts are scored where they are read.
+    ones; of examples with equal vectors the lowest id. Words that no example has are in no vector. A text without any
+    term of the examples, an empty and a NULL one get the share of toxic examples among examples without any term. A
+    NULL id is not held out; repeated ids and texts are rows like others; a long text is read whole; other columns are
+    not looked at. Texts are scored where they are read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_sent(index))
 
@@ -428,10 +436,9 @@ def toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
         own = _received(sent.value)
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"].astype("Int64"), batch["text"]):
-                score, at, cosine = own.score(text)
+            for key, (score, near, cosine) in zip(batch["id"].astype("Int64"), own.scores(batch["text"].tolist())):
                 out = not pd.isna(key) and is_held_out(int(key))
-                rows.append((key, out, score, int(score >= 0.5), own.ids[at[:3]], cosine[:3]))
+                rows.append((key, out, score, int(score >= 0.5), near, cosine))
             names = ["doc_id", "held_out", "score", "predicted", "neighbours", "cosines"]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
@@ -447,7 +454,7 @@ def remove_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _received(sent.value)
         for batch in batches:
-            clean = [own.score(text)[0] < 0.5 for text in batch.column(text_col).to_pylist()]
+            clean = [score < 0.5 for score, _, _ in own.scores(batch.column(text_col).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
