@@ -17,8 +17,12 @@ SPELLINGS = (
     (r"&", " and "),
     (r"\bhttps?://", ""),
 )
-#: A line that only states a copyright, or reserves all rights.
-COPYRIGHT_LINE = r"^\W*(?:copyright\b|\(c\)|©|all rights reserved\b).*$"
+#: A line that only states a copyright, or reserves all rights. Words of license texts may follow "copyright" at the begin
+#: of a line wherever the text is wrapped; such a line is none.
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\r\n©(]*(?:copyright(?![ \t]*(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|and|or|is|in|to)\b)\b"
+    r"(?=[ \t]*[^ \t\r\n])|\(c\)|©|all rights reserved\b)[^\r\n]*$"
+)
 
 #: Names of licenses and how they are written (fixed values).
 NAMES = {
@@ -64,6 +68,45 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
 COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "ISC": """ISC License
 
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
@@ -98,67 +141,102 @@ language governing permissions and limitations under the License.""",
 }
 
 
-def canonical_lines(text: Column) -> Column:
-    """Lines of a text in canonical form; copyright lines, and lines without a letter or digit, are empty."""
-    lines = F.split(F.lower(text), r"\r\n|[\r\n]")
+#: A line that is the title of a license.
+TITLE = r"^[^\r\n]*\blicen[cs]e[^\r\n]*\r?\n\s*\r?\n"
+#: What is looked for: whole texts, single lines, and paragraphs that follow each other.
+WHOLE, LINE, RUN = range(3)
 
-    def canonical(line: Column) -> Column:
-        plain = F.regexp_replace(line, COPYRIGHT_LINE, "")
-        for pattern, replacement in SPELLINGS:
-            plain = F.regexp_replace(plain, pattern, replacement)
-        return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
-    return F.transform(lines, canonical)
+def _canonical(part: Column) -> Column:
+    part = F.regexp_replace(part, r"\s+", " ")
+    for pattern, replacement in SPELLINGS:
+        part = F.regexp_replace(part, pattern, replacement)
+    return F.trim(F.regexp_replace(part, r"[^\p{L}\p{N}]+", " "))
 
 
-def _whole(lines: Column) -> Column:
-    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+def _told(text: Column) -> Column:
+    """The text in lower case without its copyright lines."""
+    return F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+
+
+def _kept(parts: Column) -> Column:
+    return F.filter(F.transform(parts, _canonical), lambda part: part != "")
+
+
+def canonical_lines(text: Column) -> Column:
+    """Lines of a text in canonical form, without copyright lines and lines that have no letter or digit."""
+    return _kept(F.split(_told(text), r"\r\n|[\r\n]"))
+
+
+def canonical_paragraphs(text: Column) -> Column:
+    """Paragraphs of a text in canonical form, which does not depend on where their lines break."""
+    return _kept(F.split(_told(text), r"(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])\s*"))
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """Rows (digest, license): a fixed number, from the tables above."""
+    """Rows (digest, license) of notices and whole texts, with their title and without it: a fixed number."""
     rows = [(name, notice.format(spelt)) for name, ways in NAMES.items() for spelt in ways for notice in NOTICES]
     rows += list(TEXTS.items())
     texts = spark.createDataFrame(rows, "license string, text string")
-    digest = F.sha2(_whole(canonical_lines(F.col("text"))), 256)
-    return texts.select(digest.alias("digest"), "license").distinct()
+    bare = texts.select("license", F.regexp_replace("text", f"(?i){TITLE}", "").alias("text"))
+    whole = F.array_join(canonical_paragraphs(F.col("text")), " ")
+    return texts.unionByName(bare).select(F.sha2(whole, 256).alias("digest"), "license").distinct()
+
+
+def known_paragraphs(spark: SparkSession) -> DataFrame:
+    """Rows (digest, license, part, parts) of the paragraphs of whole texts without their titles: a fixed number."""
+    texts = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
+    found = canonical_paragraphs(F.regexp_replace("text", f"(?i){TITLE}", ""))
+    texts = texts.select("license", found.alias("found"))
+    rows = texts.select("license", F.size("found").alias("parts"), F.posexplode("found").alias("part", "paragraph"))
+    return rows.select(F.sha2("paragraph", 256).alias("digest"), "license", "part", "parts")
 
 
 def scan_licenses(
     docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Licenses of documents: of the whole text, and of lines that are a notice or license as a whole.
+    """Licenses of documents: of the whole text, of lines that are a notice, and of paragraphs that are a license.
 
     One row per row of `docs`: `doc_id`, `n_lines` (lines that are not empty in canonical form), `text_license`
     (the license that the whole text is, or NULL), `licenses` (names found, sorted, joined by a comma; empty
-    if none) and `n_hits` (lines found; the whole text counts if it has more lines than one). Equal means
-    equal but for case, punctuation, copyright lines and equivalent spellings. NULL and empty texts have no
-    lines. `known` has rows (digest, license) and is
-    broadcast if Spark finds it small; the built-in one has a fixed size.
+    if none) and `n_hits` (lines found; the whole text counts if it has more lines than one, and so does each run of
+    paragraphs inside a longer text that is a license without its title). Equal means equal but for case, punctuation,
+    line breaks, copyright lines and equivalent spellings. NULL and empty texts have no lines; a long text is read
+    whole; repeated texts and ids are rows like others; other columns are not looked at. `known` has rows (digest,
+    license), is broadcast if Spark finds it small, and has no paragraphs; the built-in tables have a fixed size.
     """
-    builtin = known is None
-    known = F.broadcast(known_digests(docs.sparkSession)) if builtin else known
-    lines = F.filter(canonical_lines(F.coalesce(F.col(text_col), F.lit(""))), lambda line: line != "")
+    spark, builtin = docs.sparkSession, known is None
+    units_of = F.broadcast(known_digests(spark)) if builtin else known
+    text = F.coalesce(F.col(text_col), F.lit(""))
     # A number per row keeps rows with the same id apart.
-    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"), F.monotonically_increasing_id().alias("row"))
-    whole = F.array_join("lines", " ")
-    units = rows.select(
-        "row",
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.posexplode(F.concat(F.array(whole), F.col("lines"))).alias("place", "unit"),
-    )
-    found = units.select("row", "doc_id", "n_lines", "place", F.sha2("unit", 256).alias("digest")).join(
-        known, "digest", "left"
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        canonical_lines(text).alias("lines"),
+        canonical_paragraphs(text).alias("paragraphs"),
     )
-    # The whole text is at place 0; a text of one line is not counted twice.
-    counted = F.col("license").isNotNull() & ((F.col("place") > 0) | (F.col("n_lines") > 1))
-    return (
-        found.groupBy("row", "doc_id", "n_lines")
-        .agg(
-            F.min(F.when(F.col("place") == 0, F.col("license"))).alias("text_license"),
-            F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-            F.count(F.when(counted, 1)).alias("n_hits"),
-        )
-        .drop("row")
+    unit = lambda kind: lambda part, place: F.struct(F.lit(kind).alias("kind"), place.alias("place"), F.sha2(part, 256).alias("digest"))
+    whole = F.array(unit(WHOLE)(F.array_join("paragraphs", " "), F.lit(0)))
+    # A text of one line is that line, and a run is looked for in longer texts.
+    lines = F.transform("lines", unit(LINE))
+    runs = F.when(F.size("paragraphs") > 1, F.transform("paragraphs", unit(RUN))).otherwise(F.array().cast("array<struct<kind:int,place:int,digest:string>>"))
+    size = F.size("lines").cast("long").alias("n_lines")
+    units = rows.select("row", "doc_id", size, F.explode(F.concat(whole, lines, runs)).alias("unit"))
+    units = units.select("row", "doc_id", "n_lines", "unit.*")
+    texts = units.where(F.col("kind") != RUN).join(units_of, "digest", "left")
+    texts = texts.select("row", "doc_id", "n_lines", "kind", "license")
+    if builtin:
+        paragraphs = units.where(F.col("kind") == RUN).join(F.broadcast(known_paragraphs(spark)), "digest")
+        met = paragraphs.groupBy("row", "doc_id", "n_lines", "license", "parts", (F.col("place") - F.col("part")).alias("start"))
+        met = met.agg(F.count("*").alias("found")).where("found = parts")
+        texts = texts.unionByName(met.select("row", "doc_id", "n_lines", F.lit(RUN).alias("kind"), "license"))
+    is_whole = F.col("kind") == WHOLE
+    found = texts.groupBy("row", "doc_id", "n_lines").agg(
+        F.min(F.when(is_whole, F.col("license"))).alias("text_license"),
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        F.count(F.when((F.col("kind") == LINE) & F.col("license").isNotNull(), 1)).alias("in_lines"),
+        F.count(F.when(F.col("kind") == RUN, 1)).alias("in_runs"),
     )
+    # Of a text that is a license as a whole, the run is no other one.
+    more = F.when(F.col("text_license").isNull(), F.col("in_runs")).otherwise((F.col("n_lines") > 1).cast("long"))
+    return found.select("doc_id", "n_lines", "text_license", "licenses", (F.col("in_lines") + more).alias("n_hits"))
