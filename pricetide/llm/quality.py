@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import WORD, lower_ascii, word_array, written
+from pricetide.llm.common import lower_ascii, word_array, written
 
 #: Documents that the scorer is trained on, expected, drawn by a digest of the id and text.
 TRAINING_ROWS = 20_000
@@ -32,6 +33,35 @@ def _vote(bad: Column, good: Column) -> Column:
     return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value, which is evaluated once however often the body has it, also under conditions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _following(words: Column) -> Column:
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+
+def measures(text: Column, parts: Column) -> Column:
+    """What the labellers look at, counted once: a struct of numbers. `parts` are the words in lower case."""
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    same = F.zip_with(parts, _following(parts), lambda a, b: a == b)
+    counts = {
+        "words": F.size(parts),
+        "chars": F.length(text),
+        "no_letters": without(r"\p{L}+"),
+        "no_capitals": without(r"\p{Lu}+"),
+        # Rare characters come first in a pattern: what stands before them is looked at where they are.
+        "marks": F.regexp_count(text, F.lit(r"(?<=[\p{L}.,])[*#$%&!?=+~^]{2,}")),
+        "stops": F.regexp_count(text, F.lit(r"(?<=\p{L})[.!?](?=\s|$)")),
+        "lonely": F.size(F.filter(parts, lambda w: ~w.rlike(r"[\p{L}\p{N}]"))),
+        "echoes": F.size(F.filter(same, lambda equal: equal)),
+        "distinct": F.size(F.array_distinct(parts)),
+        "common": F.size(F.filter(parts, lambda w: w.isin(FUNCTION_WORDS))),
+    }
+    return F.struct(*(count.alias(name) for name, count in counts.items()))
+
+
 def votes(text: Column) -> Column:
     """One letter per labeller: good, bad, or no opinion. NULL counts as an empty text.
 
@@ -40,27 +70,21 @@ def votes(text: Column) -> Column:
     letters. Two know good prose as well, by its function words and by the ends of its sentences.
     """
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(text, F.lit(WORD))
-    some = F.greatest(words, F.lit(1))
-    chars = F.greatest(F.length(text), F.lit(1))
-    marked = F.regexp_count(text, F.lit(r"[\p{L}.,][*#$%&!?=+~^]{2,}")) / some
-    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
-    capitals = F.regexp_count(text, F.lit(r"\p{Lu}")) / letters
-    lonely = F.regexp_count(text, F.lit(r"(?<![^\s])[^\p{L}\p{N}\s]+(?![^\s])")) / some
-    echoes = F.regexp_count(text, F.lit(r"(?<![^\s])([^\s]+)\s+(?=\1(?:\s|$))")) / some
-    parts = word_array(lower_ascii(text))
-    distinct = F.size(F.array_distinct(parts)) / some
-    common = F.size(F.filter(parts, lambda w: w.isin(FUNCTION_WORDS))) / some
-    stops = F.regexp_count(text, F.lit(r"[\p{L}][.!?](?:\s|$)")) / some
-    wordy = letters / some
+    return _let(word_array(lower_ascii(text)), lambda parts: _let(measures(text, parts), _votes_of))
+
+
+def _votes_of(m: Column) -> Column:
+    words, some = m["words"], F.greatest(m["words"], F.lit(1))
+    letters = F.greatest(m["chars"] - m["no_letters"], F.lit(1))
+    wordy, common, stops = letters / some, m["common"] / some, m["stops"] / some
     never = F.lit(False)
     return F.concat(
-        _vote(marked > 0.1, never),
-        _vote(capitals > 0.3, never),
-        _vote(lonely > 0.1, never),
-        _vote(echoes > 0.1, never),
-        _vote((distinct < 0.15) & (words >= 20), never),
-        _vote((wordy < 2) | (wordy > 14) | (letters / chars < 0.6), never),
+        _vote(m["marks"] / some > 0.1, never),
+        _vote((m["chars"] - m["no_capitals"]) / letters > 0.3, never),
+        _vote(m["lonely"] / some > 0.1, never),
+        _vote(m["echoes"] / some > 0.1, never),
+        _vote((m["distinct"] / some < 0.15) & (words >= 20), never),
+        _vote((wordy < 2) | (wordy > 14) | (letters / F.greatest(m["chars"], F.lit(1)) < 0.6), never),
         _vote((common < 0.01) & (words >= 50), common > 0.03),
         _vote((stops < 0.005) & (words >= 50), (stops > 0.01) & (stops < 0.6)),
     )
@@ -104,11 +128,13 @@ def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]
 def features(text: Column) -> Column:
     """Terms of the scorer: words in lower case, their shapes, and a mark for every word that repeats the last."""
     text = F.coalesce(text, F.lit(""))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a"), r"\d+", "0")
-    words = word_array(lower_ascii(text))
-    following = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    echoes = F.zip_with(words, following, lambda a, b: F.when(a == b, F.lit(" again")).otherwise(F.lit(" new")))
-    return F.concat(F.transform(word_array(shape), lambda s: F.concat(F.lit(" "), s)), words, echoes)
+    shape = text
+    for pattern, sign in ((r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", "a"), (r"\p{Lu}+", "A"), (r"\d+", "0")):
+        shape = F.regexp_replace(shape, pattern, sign)
+    shapes = F.transform(word_array(shape), lambda s: F.concat(F.lit(" "), s))
+    mark = lambda a, b: F.when(a == b, F.lit(" again")).otherwise(F.lit(" new"))
+    marked = lambda words: F.concat(shapes, words, F.zip_with(words, _following(words), mark))
+    return _let(word_array(lower_ascii(text)), marked)
 
 
 @dataclass
@@ -135,8 +161,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
     Where a class is rare, its likely members are drawn more often, up to half of `training_rows` for each
     class, and weigh less in turn. The penalty is lowered with the rarer class, which it would outweigh else.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    patterns = texts.groupBy(votes(F.col("text")).alias("votes")).agg(F.count("*").alias("n")).collect()
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("digest"), F.col(text_col).alias("text"))
+    voted = written(texts.select("digest", votes(F.col("text")).alias("votes")), "votes")
+    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
     counts = {row.votes: row.n for row in patterns}  # 3**LABELLERS rows at most
     good = label_model(counts)
     total = sum(counts.values())
@@ -153,9 +180,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
         of_classes = (p / mass[1] + (1 - p) / mass[0]) / 2
         rates.append((name, p, min(1.0, training_rows * max(1 / total, of_classes))))
     labels = F.broadcast(docs.sparkSession.createDataFrame(rates, "votes string, good double, rate double"))
-    voted = texts.withColumn("votes", votes(F.col("text"))).join(labels, "votes")
-    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < F.col("rate") * steps
-    sample = voted.where(drawn).select("good", "rate", features(F.col("text")).alias("terms"))
+    drawn = voted.join(labels, "votes").where(F.pmod("digest", F.lit(steps)) < F.col("rate") * steps)
+    drawn = written(drawn.select("digest", "good", "rate").distinct(), "drawn")  # some `training_rows` per class at most
+    sample = texts.join(F.broadcast(drawn), "digest").select("good", "rate", features(F.col("text")).alias("terms"))
     labelled = written(sample, "quality-sample")
     each = F.lit(min(1.0, training_rows / total)) / F.col("rate")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("good") * each).alias("weight")),

@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import itertools
+import math
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 
 from pricetide.llm import quality as ql
@@ -24,6 +30,72 @@ def test_label_model_finds_the_accuracies():
     assert ql.label_model({}) == {}
 
 
+def plain_votes(text):
+    """The labellers on one text, word by word and character by character."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    text, some = text or "", max(1, len(words))
+    letters = sum(c.isalpha() for c in text)
+    marks = len(re.findall(r"(?:[^\W\d_]|[.,])[*#$%&!?=+~^]{2,}", text))
+    capitals = sum(unicodedata.category(c) == "Lu" for c in text) / max(1, letters)
+    lonely = sum(not any(unicodedata.category(c)[0] in "LN" for c in w) for w in words) / some
+    echoes = sum(a == b for a, b in zip(words, words[1:])) / some
+    common = sum(w in ql.FUNCTION_WORDS for w in words) / some
+    stops = sum(a.isalpha() and b in ".!?" and (c == "" or c in " \t\n\x0b\x0c\r") for a, b, c in zip(text, text[1:], [*text[2:], ""])) / some
+    wordy = max(1, letters) / some
+    vote = lambda bad, good=False: ql.BAD if bad else ql.GOOD if good else ql.NONE
+    return "".join([
+        vote(marks / some > 0.1), vote(capitals > 0.3), vote(lonely > 0.1), vote(echoes > 0.1),
+        vote(len(set(words)) / some < 0.15 and len(words) >= 20),
+        vote(wordy < 2 or wordy > 14 or max(1, letters) / max(1, len(text)) < 0.6),
+        vote(common < 0.01 and len(words) >= 50, common > 0.03),
+        vote(stops < 0.005 and len(words) >= 50, 0.01 < stops < 0.6),
+    ])
+
+
+def plain_posteriors(counts):
+    """EM with a table of rates per labeller, pattern by pattern."""
+    good = {p: 1 / (1 + math.exp(-sum({ql.GOOD: 1, ql.BAD: -1}.get(v, 0) for v in p))) for p in counts}
+    for _ in range(100):
+        sides = [{p: n * (good[p] if side else 1 - good[p]) for p, n in counts.items()} for side in (0, 1)]
+        prior = [(sum(s.values()) + 1) / (sum(counts.values()) + 2) for s in sides]
+        new = {}
+        for p in counts:
+            odds = math.log(prior[1] / prior[0])
+            for i, vote in enumerate(p):
+                rate = [(sum(m for q, m in s.items() if q[i] == vote) + 1) / (sum(s.values()) + 3) for s in sides]
+                odds += math.log(rate[1] / rate[0])
+            new[p] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+        moved = max(abs(new[p] - good[p]) for p in counts)
+        good = new
+        if moved < 1e-6:
+            break
+    return good
+
+
+def test_votes_and_posteriors_equal_plain_ones(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("text")
+    hard = [None, "", " ", "A a a b", "...", "Ab.!! c,?? d", "x!!!y", "ÉÀ ß 中文 ２ ²", "end.", "end.\n", "a. b! c? D", "-- || a", "the The THE"]
+    docs = docs.unionByName(spark.createDataFrame([(t,) for t in hard], "text string"))
+    found = docs.select("text", ql.votes(ql.F.col("text")).alias("votes")).collect()
+    assert [(r.text, r.votes) for r in found if r.votes != plain_votes(r.text)] == []
+    counts = Counter(r.votes for r in found)
+    want, got = plain_posteriors(counts), ql.label_model(dict(counts))
+    assert len(counts) > 10 and all(abs(got[p] - want[p]) < 1e-6 for p in counts)
+
+
+def test_terms_equal_plain_ones(spark):
+    texts = ["The the CAT2 ate 12 Ǆx.", "", None, "a  b\ta", "ÀB cD 中A A"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", ql.features(ql.F.col("text")).alias("terms")).collect()
+    for r in found:
+        kind = lambda c: "A" if unicodedata.category(c) == "Lu" else "a" if c.isalpha() else "0" if c in "0123456789" else c
+        words = (r.text or "").split()
+        shapes = [" " + "".join(k if k not in "Aa0" else k for k, _ in itertools.groupby(map(kind, w), lambda k: k)) for w in words]
+        lower = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+        last = [" new"] if lower else []
+        marks = [" again" if a == b else " new" for a, b in zip(lower, lower[1:])]
+        assert r.terms[: 2 * len(words)] == shapes + lower and r.terms[2 * len(words) :] == marks + last
+
+
 def test_quality_labels(spark):
     """The labels are never read by the classifier; they only judge it."""
     docs = read(spark, "/root/testdata/sf0.1", "documents")
