@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import lower_ascii, word_array, written
+from pricetide.llm.common import word_array, written
 
 #: Documents that the scorer is trained on, expected, drawn by a digest of the id and text.
 TRAINING_ROWS = 20_000
@@ -70,7 +70,7 @@ def votes(text: Column) -> Column:
     letters. Two know good prose as well, by its function words and by the ends of its sentences.
     """
     text = F.coalesce(text, F.lit(""))
-    return _let(word_array(lower_ascii(text)), lambda parts: _let(measures(text, parts), _votes_of))
+    return _let(word_array(F.lower(text)), lambda parts: _let(measures(text, parts), _votes_of))
 
 
 def _votes_of(m: Column) -> Column:
@@ -134,7 +134,7 @@ def features(text: Column) -> Column:
     shapes = F.transform(word_array(shape), lambda s: F.concat(F.lit(" "), s))
     mark = lambda a, b: F.when(a == b, F.lit(" again")).otherwise(F.lit(" new"))
     marked = lambda words: F.concat(shapes, words, F.zip_with(words, _following(words), mark))
-    return _let(word_array(lower_ascii(text)), marked)
+    return _let(word_array(F.lower(text)), marked)
 
 
 @dataclass

@@ -32,7 +32,7 @@ def test_label_model_finds_the_accuracies():
 
 def plain_votes(text):
     """The labellers on one text, word by word and character by character."""
-    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
     text, some = text or "", max(1, len(words))
     letters = sum(c.isalpha() for c in text)
     marks = len(re.findall(r"(?:[^\W\d_]|[.,])[*#$%&!?=+~^]{2,}", text))
@@ -90,7 +90,7 @@ def test_terms_equal_plain_ones(spark):
         kind = lambda c: "A" if unicodedata.category(c) == "Lu" else "a" if c.isalpha() else "0" if c in "0123456789" else c
         words = (r.text or "").split()
         shapes = [" " + "".join(k if k not in "Aa0" else k for k, _ in itertools.groupby(map(kind, w), lambda k: k)) for w in words]
-        lower = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+        lower = [w.lower() for w in words]
         last = [" new"] if lower else []
         marks = [" again" if a == b else " new" for a, b in zip(lower, lower[1:])]
         assert r.terms[: 2 * len(words)] == shapes + lower and r.terms[2 * len(words) :] == marks + last
