@@ -23,8 +23,8 @@ MOST_EXAMPLES = 4_000
 #: Examples that vote, vectors of a block of the index, frequent terms that are kept for all vectors, and bins of the
 #: calibration.
 NEIGHBOURS, BLOCK, DENSE, BINS = 128, 2048, 256, 50
-#: Texts that are searched together.
-GROUP = 32
+#: Texts that are searched together, and characters whose words are held at a time.
+GROUP, CHUNK_CHARS = 16, 1 << 18
 #: A term leans to a label as far as its log odds ratio exceeds so many of its standard errors.
 ERRORS = 2.0
 #: Weight of a neighbour that shares no term which leans to a label, next to those that do.
@@ -58,11 +58,19 @@ def _numbered(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
     return np.split(numbers[:-1], np.cumsum([len(w) for w in own])[:-1]) if own else [], digests(words)
 
 
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to CHUNK_CHARS together, or of one text more: their words are held at a time."""
+    size = np.cumsum([len(text or "") for text in texts]) // CHUNK_CHARS
+    cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+    return ((low, high) for low, high in zip(cuts, cuts[1:]) if low < high)
+
+
 def term_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Digests of the words of each text, rising, and how often it has them."""
-    own, digest = _numbered(texts)
-    for numbers in own:
-        yield np.unique(digest[numbers], return_counts=True)
+    for low, high in _chunks(texts):
+        own, digest = _numbered(texts[low:high])
+        for numbers in own:
+            yield np.unique(digest[numbers], return_counts=True)
 
 
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -229,14 +237,15 @@ class Index:
 
     def counted(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Terms of the vocabulary in each text, rising, and how often it has them."""
-        own, digest = _numbered(texts)
-        number = np.searchsorted(self.vocabulary, digest)
-        number[number == len(self.vocabulary)] = 0
-        known = self.vocabulary[number] == digest if len(self.vocabulary) else np.zeros(len(digest), bool)
-        number = np.where(known, number, -1)
-        for numbers in own:
-            found = number[numbers]
-            yield np.unique(found[found >= 0], return_counts=True)
+        for low, high in _chunks(texts):
+            own, digest = _numbered(texts[low:high])
+            number = np.searchsorted(self.vocabulary, digest)
+            number[number == len(self.vocabulary)] = 0
+            known = self.vocabulary[number] == digest if len(self.vocabulary) else np.zeros(len(digest), bool)
+            number = np.where(known, number, -1)
+            for numbers in own:
+                found = number[numbers]
+                yield np.unique(found[found >= 0], return_counts=True)
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Calibrated vote of each text, and its three nearest examples with their cosines."""
