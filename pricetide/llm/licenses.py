@@ -206,7 +206,9 @@ def scan_licenses(
     license), is broadcast if Spark finds it small, and has no paragraphs; the built-in tables have a fixed size.
     """
     spark, builtin = docs.sparkSession, known is None
-    units_of = F.broadcast(known_digests(spark)) if builtin else known
+    whole_or_line = (known_digests(spark) if builtin else known).select("digest", "license", F.lit(False).alias("in_run"), F.lit(0).alias("part"), F.lit(0).alias("parts"))
+    in_runs = known_paragraphs(spark).select("digest", "license", F.lit(True).alias("in_run"), "part", "parts")
+    table = F.broadcast(whole_or_line.unionByName(in_runs)) if builtin else whole_or_line
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A number per row keeps rows with the same id apart.
     rows = docs.select(
@@ -222,20 +224,18 @@ def scan_licenses(
     runs = F.when(F.size("paragraphs") > 1, F.transform("paragraphs", unit(RUN))).otherwise(F.array().cast("array<struct<kind:int,place:int,digest:string>>"))
     size = F.size("lines").cast("long").alias("n_lines")
     units = rows.select("row", "doc_id", size, F.explode(F.concat(whole, lines, runs)).alias("unit"))
-    units = units.select("row", "doc_id", "n_lines", "unit.*")
-    texts = units.where(F.col("kind") != RUN).join(units_of, "digest", "left")
-    texts = texts.select("row", "doc_id", "n_lines", "kind", "license")
-    if builtin:
-        paragraphs = units.where(F.col("kind") == RUN).join(F.broadcast(known_paragraphs(spark)), "digest")
-        met = paragraphs.groupBy("row", "doc_id", "n_lines", "license", "parts", (F.col("place") - F.col("part")).alias("start"))
-        met = met.agg(F.count("*").alias("found")).where("found = parts")
-        texts = texts.unionByName(met.select("row", "doc_id", "n_lines", F.lit(RUN).alias("kind"), "license"))
-    is_whole = F.col("kind") == WHOLE
-    found = texts.groupBy("row", "doc_id", "n_lines").agg(
-        F.min(F.when(is_whole, F.col("license"))).alias("text_license"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.count(F.when((F.col("kind") == LINE) & F.col("license").isNotNull(), 1)).alias("in_lines"),
-        F.count(F.when(F.col("kind") == RUN, 1)).alias("in_runs"),
+    units = units.select("row", "doc_id", "n_lines", "unit.*", (F.col("unit.kind") == RUN).alias("in_run"))
+    # Texts are read once: a unit that meets nothing stays, and paragraphs are counted by where their license would begin.
+    start = F.when(F.col("in_run"), F.col("place") - F.col("part"))
+    met = units.join(table, ["digest", "in_run"], "left").groupBy("row", "doc_id", "n_lines", "kind", "license", "parts", start.alias("start"))
+    met = met.agg(F.count("*").alias("n"))
+    is_run = F.col("kind") == RUN
+    complete = F.col("license").isNotNull() & (~is_run | (F.col("n") == F.col("parts")))
+    found = met.groupBy("row", "doc_id", "n_lines").agg(
+        F.min(F.when(F.col("kind") == WHOLE, F.col("license"))).alias("text_license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(complete, F.col("license")))), ",").alias("licenses"),
+        F.coalesce(F.sum(F.when(complete & (F.col("kind") == LINE), F.col("n"))), F.lit(0)).alias("in_lines"),
+        F.count(F.when(complete & is_run, 1)).alias("in_runs"),
     )
     # Of a text that is a license as a whole, the run is no other one.
     more = F.when(F.col("text_license").isNull(), F.col("in_runs")).otherwise((F.col("n_lines") > 1).cast("long"))
