@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ MOST_SHARED = 16
 COST_STEP = 256
 #: Members from which a class is first looked at as a whole.
 LARGE_CLASS = 8
-#: Bits of the filter that keeps rows without a candidate out of shuffles.
-FILTER_BITS = 1 << 25
+#: Bits per id of the filter that keeps rows without a candidate out of shuffles, and its bits at most (16 MB).
+FILTER_SHARE, MOST_BITS = 32, 1 << 27
 
 SET_SCHEMA = "id long, n long, d1 long, d2 long, low array<long>"
 
@@ -89,39 +88,22 @@ def _similar(width: int, percent: int):
     return run
 
 
-def _marked(ids: DataFrame) -> list[tuple[int, bytes]]:
-    """A bitmap of the ids' hashes: at most FILTER_BITS bits, whatever the number of ids."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # bucket numbers and bit positions count from 1
-    rows = (
-        ids.select(at.alias("at"))
-        .groupBy(F.bitmap_bucket_number("at").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    )
-    return [(row.part, bytes(row.bits)) for row in rows.collect()]
-
-
 def _among(rows: DataFrame, ids: DataFrame, key: str = "id", inside: bool = True) -> DataFrame:
     """The rows whose key may be among `ids`: all that are, and few others; or else all other rows.
 
-    The bitmap has a fixed size and only saves shuffling rows that the join behind it drops. NULL is not among
-    the ids.
+    A bitmap of the ids' hashes only saves shuffling rows that the join behind it drops. It has FILTER_SHARE bits for
+    each id and MOST_BITS at most, and is broadcast as words of 64 bits. NULL is not among the ids.
     """
-    bits = bytearray(FILTER_BITS // 8)
-    for part, piece in _marked(ids):
-        start = (part - 1) * len(piece)
-        bits[start : start + len(piece)] = piece
-    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
-    columns = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = batch.column("_bitmap_at").to_numpy()
-            found = (at >= 0) & ((flags[at >> 3] >> (at & 7) & 1) == 1)
-            yield batch.filter(pa.array(found == inside)).select(columns)
-
-    place = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)))
-    return rows.withColumn("_bitmap_at", F.coalesce(place, F.lit(-1))).mapInArrow(run, rows.schema)
+    ids = written(ids.select(F.col("id").cast("long")), "filter-ids")
+    wanted = FILTER_SHARE * max(1, ids.count())  # from the footers of a written table
+    bits = F.lit(min(MOST_BITS, max(64, 1 << (wanted - 1).bit_length())))
+    marks = ids.select(F.pmod(F.xxhash64("id"), bits).alias("at")).selectExpr("at DIV 64 AS _filter_word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+    words = marks.groupBy("_filter_word").agg(F.bit_or("bit").alias("_filter_bits"))  # MOST_BITS / 64 rows at most
+    number = F.col(key).cast("long")
+    at = F.when(number.isNotNull(), F.pmod(F.xxhash64(number), bits)).otherwise(-64)
+    met = rows.withColumn("_filter_at", at).join(F.broadcast(words), F.expr("_filter_at DIV 64 = _filter_word"), "inner" if inside else "left")
+    found = F.expr("coalesce(shiftright(_filter_bits, cast(_filter_at % 64 AS int)) & 1, 0) = 1")
+    return met.where(found if inside else ~found).drop("_filter_at", "_filter_word", "_filter_bits")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
