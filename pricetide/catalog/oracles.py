@@ -59,6 +59,9 @@ PARTS: dict[str, str] = {
     "stations": standins.STATIONS.format(customer="customer"),
     "scores": standins.SCORES.format(labels="labels", documents="documents"),
     "oil_daily": standins.OIL_DAILY_CHECK.format(events="events"),
+    "oil_ticks": standins.OIL_TICKS.format(events="events"),
+    "market_ticks": "SELECT date, max(close) AS close FROM oil_ticks GROUP BY date",
+    "station_ticks": "SELECT uuid, date, max(close) AS own_close FROM oil_ticks GROUP BY uuid, date",
     "copy_lines": standins.COPY_LINES_CHECK.format(prices_raw="prices_raw"),
     "dump_lines": standins.DUMP_LINES.format(stations="stations", copy_lines="copy_lines"),
     "brands": "SELECT id, upper(trim(replace(brand, chr(9), ' '))) AS brand FROM stations",
@@ -277,6 +280,10 @@ _MAIN: dict[str, str] = {
     "q_join_oil": f"""
         SELECT p.id, {MOMENT.format("p.date")} AS date, {_r("o.close", "close")}
         FROM prices_raw p LEFT JOIN oil_daily o ON cast(p.date AS date) = o.date""",
+    "q_oil_asof": f"""
+        SELECT p.id, p.uuid, {MOMENT.format("p.date")} AS date, {_rs("close", table="m.")}, {_rs("own_close", table="s.")}
+        FROM prices_raw p ASOF LEFT JOIN market_ticks m ON p.date >= m.date
+        ASOF LEFT JOIN station_ticks s ON p.uuid = s.uuid AND p.date >= s.date""",
     "q_lag_features": f"""
         SELECT uuid, {DAY.format("day")} AS day, {_rs(*LAGGED)} FROM lagged LEFT JOIN oil ON lagged.day = oil.date""",
     "q_live_features": f"""

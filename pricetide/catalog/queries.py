@@ -24,6 +24,7 @@ from pricetide.operators import patterns as pt
 from pricetide.operators import prices as pr
 from pricetide.operators import split as sp
 from pricetide.operators import trees as tr
+from pricetide.operators.asof import attach_last
 from pricetide.operators.frames import drop_incomplete, with_global_index, written
 from pricetide.schemas import FUELS, PRICE_SECTION, STATION_FILE_COLUMNS, STATION_SECTION
 from pricetide.session import scratch_path
@@ -281,6 +282,15 @@ def q_join_oil(t: StandIns) -> DataFrame:
     return joined.select("id", _moment("date").alias("date"), rounded("close").alias("close"))
 
 
+@query
+def q_oil_asof(t: StandIns) -> DataFrame:
+    """Last quote of an intraday series before each record: of the whole market, and of the record's station."""
+    market = t.oil_ticks.select("date", "close")
+    own = t.oil_ticks.select("uuid", "date", F.col("close").alias("own_close"))
+    joined = attach_last(attach_last(t.prices_raw, market, ["close"]), own, ["own_close"], by=["uuid"])
+    return joined.select("id", "uuid", _moment("date").alias("date"), *_rounded("close", "own_close"))
+
+
 @query
 def q_lag_features(t: StandIns) -> DataFrame:
     lagged = mn.attach_oil(mn.lag_features(_daily(t)), mn.oil_features(t.oil_daily), F.col("day_key"))

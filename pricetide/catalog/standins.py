@@ -36,6 +36,10 @@ OIL_DAILY_CHECK = """
 SELECT cast(ts AS date) AS date, round(avg(value), 4) AS close FROM {events} WHERE event_type = 'purchase' AND isodow(ts) <= 5 GROUP BY cast(ts AS date)
 """
 
+OIL_TICKS = """
+SELECT concat('st-', lpad(cast(user_id AS string), 6, '0')) AS uuid, ts AS date, value AS close FROM {events} WHERE event_type = 'purchase'
+"""
+
 COPY_LINES = """
 SELECT id, concat_ws(chr(9), cast(id AS string), uuid, cast(e5 AS string), cast(e10 AS string), cast(diesel AS string),
  CASE WHEN id % 50 = 0 THEN 'bad' ELSE concat(date_format(date, 'yyyy-MM-dd HH:mm:ss'), CASE WHEN id % 2 = 1 THEN '+01' ELSE '+00' END) END, cast(change AS string)) AS line FROM {prices_raw}
@@ -92,6 +96,10 @@ class StandIns:
     def oil_daily(self) -> DataFrame:
         return self._view(OIL_DAILY, events=self.table("events"))
 
+    @property
+    def oil_ticks(self) -> DataFrame:
+        return self._view(OIL_TICKS, events=self.table("events"))
+
     @property
     def copy_lines(self) -> DataFrame:
         return self._view(COPY_LINES, prices_raw=self.prices_raw)
