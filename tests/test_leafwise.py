@@ -165,3 +165,31 @@ def test_other_models_are_refused():
         tr.from_text(text.replace("end of trees", leaf))
     only = tr.from_text(text.replace("end of trees", leaf.replace("num_cat=1", "num_cat=0")))
     assert only.trees[0].value.tolist() == [0.5] and only.trees[0].depth() == 0
+
+
+def test_a_search_bins_rows_once_into_blocks(spark, rows, monkeypatch):
+    """The search, its refit and a training on its data share one binned table, whose rows are blocks of rows."""
+    calls, cut = [], lw.cut_points
+    monkeypatch.setattr(lw, "cut_points", lambda *a: calls.append(a) or cut(*a))
+    monkeypatch.setattr(lw, "BLOCK_ROWS", 100)
+    found = lw.search_leafwise(rows, FEATURES, "y", "w", "fold", 3, 2, 5, 1, {"leaves": [2, 3], "min_rows": [30]})
+    lw.grow(rows, FEATURES, [(lw.LeafwiseParams(rounds=1, leaves=2), 0)], "y", "w", "fold", data=found.data)
+    sizes = [r.size for r in found.data.state.select("size").collect()]
+    assert len(calls) == 1 and sum(sizes) == rows.count() and max(sizes) <= 100 and len(sizes) < rows.count() / 10
+
+
+def test_scores_of_rows_that_leave_early(spark):
+    """A chain of splits: most rows end at its top; missing values go each node's way; a tree may be one leaf."""
+    n = 40
+    steps = np.arange(n)
+    right = np.where(steps < n - 1, steps + 1, ~n)
+    kind = np.full(n, tr.DEFAULT_LEFT | tr.NAN_MISSING << tr.MISSING_SHIFT)
+    kind[0] = tr.NAN_MISSING << tr.MISSING_SHIFT
+    chain = tr.Tree(steps * 0, steps + 0.5, ~steps, right, kind, steps * 1.0, steps, np.arange(n + 1.0), np.arange(n + 1))
+    none = np.zeros(0, np.int64)
+    leaf = tr.Tree(none, none * 1.0, none, none, none, none * 1.0, none, np.array([0.25]), np.array([1]))
+    data = spark.createDataFrame([(float(i),) for i in range(60)] + [(None,), (float("nan"),)], "a double")
+    plan = tr.raw_scores(tr.TreeModel(["a"], [chain, leaf]), data)
+    got = {repr(r.a): r.raw for r in plan.collect()}
+    assert all(got[repr(float(i))] == min(i, n) + 0.25 for i in range(60))
+    assert got["None"] == got["nan"] == 1.25
