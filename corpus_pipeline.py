@@ -21,8 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies; rows without an id stay."""
     classes = jaccard_join(docs)
-    dropped = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return without_ids(docs, dropped)
+    return without_ids(docs, classes.where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

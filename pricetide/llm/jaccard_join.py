@@ -89,13 +89,12 @@ def _similar(width: int, percent: int):
 
 
 def _among(rows: DataFrame, ids: DataFrame, key: str = "id", inside: bool = True) -> DataFrame:
-    """The rows whose key may be among `ids`: all that are, and few others; or else all other rows.
+    """The rows whose key may be among `ids` (long), a written table: all that are, and few others; or else all other rows.
 
     A bitmap of the ids' hashes only saves shuffling rows that the join behind it drops. It has FILTER_SHARE bits for
     each id and MOST_BITS at most, and is broadcast as words of 64 bits. NULL is not among the ids.
     """
-    ids = written(ids.select(F.col("id").cast("long")), "filter-ids")
-    wanted = FILTER_SHARE * max(1, ids.count())  # from the footers of a written table
+    wanted = FILTER_SHARE * max(1, ids.count())  # from the footers
     bits = F.lit(min(MOST_BITS, max(64, 1 << (wanted - 1).bit_length())))
     marks = ids.select(F.pmod(F.xxhash64("id"), bits).alias("at")).selectExpr("at DIV 64 AS _filter_word", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
     words = marks.groupBy("_filter_word").agg(F.bit_or("bit").alias("_filter_bits"))  # MOST_BITS / 64 rows at most
@@ -111,14 +110,15 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
 
     Only rows that the bitmap cannot tell apart from dropped ones are shuffled.
     """
-    named = ids.select(F.col(id_col).alias("id"))
-    maybe = _among(docs, named, id_col).join(ids.select(id_col), id_col, "left_anti").select(*docs.columns)
+    named = written(ids.select(F.col(id_col).cast("long").alias("id")), "filter-ids")
+    dropped = named.select(F.col("id").alias(id_col))
+    maybe = _among(docs, named, id_col).join(dropped, id_col, "left_anti").select(*docs.columns)
     return _among(docs, named, id_col, inside=False).unionByName(maybe)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
-    texts = _among(docs, pairs.selectExpr("explode(array(a, b)) AS id").distinct())
+    texts = _among(docs, written(pairs.selectExpr("explode(array(a, b)) AS id").distinct(), "filter-ids"))
     full = pairs.join(texts.selectExpr("id AS b", "text AS text_b"), "b").join(
         texts.selectExpr("id AS a", "text AS text_a"), "a"
     )
@@ -330,11 +330,10 @@ def jaccard_join(
     open_ids = written(unsure.unionByName(pivots).distinct(), "open")
     whole = _among(docs, open_ids).mapInPandas(_whole_sets(width), "id long, tokens array<long>")
     whole = whole.dropDuplicates(["id"]).join(open_ids, "id").join(in_class.select("id", "n", "class"), "id")
-    cross = written(_cross_pairs(written(whole, "whole"), percent), "cross")
-    cross_links = written(_verified(docs, cross.join(stars, ["a", "b"], "left_anti"), width, percent), "cross-links")
-
-    links = star_links.unionByName(cross_links)
-    same = copies.selectExpr("rep AS a", "id AS b").where("a <> b").distinct()
-    final = components(links.unionByName(same), "all")
-    info = copies.groupBy("id").agg(F.min("rep").alias("rep_id")).join(final, "id", "left")
-    return _with_rows(sets, info.withColumnRenamed("component", "component_id"))
+    cross = _cross_pairs(written(whole, "whole"), percent).join(stars, ["a", "b"], "left_anti")
+    cross_links = written(_verified(docs, written(cross, "cross"), width, percent), "cross-links")
+
+    # Links are between representatives, the smallest ids of their copies, so the copies follow them.
+    found = components(star_links.unionByName(cross_links), "all").withColumnRenamed("id", "rep_id")
+    info = copies.groupBy("id").agg(F.min("rep").alias("rep_id")).join(found, "rep_id", "left")
+    return _with_rows(sets, info.withColumn("component_id", F.coalesce("component", "rep_id")))

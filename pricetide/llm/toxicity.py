@@ -385,6 +385,8 @@ def fit(
     votes = vectors.mapInPandas(vote, "vote double, label long, n long").collect()  # two for each vector at most
     index.bounds, index.rates = _calibration([(r.vote, r.label) for r in votes for _ in range(r.n)])
     sent.destroy()
+    del sent, vocabulary, sums, rows, votes
+    pa.default_memory_pool().release_unused()  # Arrow would keep what it has freed, beside the JVM's memory
     return index
 
 

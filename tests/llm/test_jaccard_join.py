@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from pricetide.llm.common import components, tokens
+import pricetide.llm.jaccard_join as jaccard_join_module
+from pricetide.llm import common
+from pricetide.llm.common import components, tokens, written
 from pricetide.llm.jaccard_join import jaccard_join, without_ids
 
 
@@ -141,3 +143,30 @@ def test_rows_are_dropped_by_id(spark):
     assert left.schema == docs.schema
     assert sorted(map(repr, left.collect())) == sorted(map(repr, docs.where("doc_id IS NULL OR doc_id % 5 <> 0").collect()))
     assert without_ids(docs, ids.limit(0)).count() == len(rows)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """What the driver holds grows with its jobs: edges that are stars are written once and looked at once."""
+    names = []
+    monkeypatch.setattr(common, "written", lambda df, name: names.append(name) or written(df, name))
+    stars = [(1, 5), (7, 1), (9, 1), (2, 3), (3, 2), (4, 4)]
+    found = components(spark.createDataFrame(stars, "a long, b long"), "stars").collect()
+    assert sorted((r.id, r.component) for r in found) == [(1, 1), (2, 2), (3, 2), (5, 1), (7, 1), (9, 1)]
+    assert names == ["stars-edges"]
+
+
+def test_ids_are_written_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(jaccard_join_module, "written", lambda df, name: names.append(name) or written(df, name))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "doc_id long, text string")
+    assert without_ids(docs, docs.where("doc_id < 4").select("doc_id")).count() == 5
+    assert len(names) == 1
+
+
+def test_a_written_table_takes_one_job(spark):
+    spark.sparkContext.setJobGroup("written-once", "")
+    try:
+        assert written(spark.range(5).toDF("a"), "test").schema.simpleString() == "struct<a:bigint>"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("written-once")) == 1
