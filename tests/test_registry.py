@@ -66,3 +66,13 @@ def test_entry(spark):
 
 def test_oracles_are_for_registered_queries():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_slice_of_models_has_only_what_they_need(spark, monkeypatch):
+    from pricetide.catalog import queries
+    from pricetide.catalog.standins import StandIns
+
+    kept, write = {}, queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name: kept.setdefault(name, df.columns) and write(df, name))
+    rows = queries._model_rows(StandIns(spark, SF_DIR))
+    assert kept["slice"] == kept["encoded"] == rows.columns

@@ -92,3 +92,11 @@ def test_codes(spark):
     encoded = en.encode(more, codes, "brand", "code")
     assert {(r.brand or "").strip().upper(): r.code for r in encoded.collect()} == {"ESSO": 1, "ARAL": 0, "": 3, "SHELL": 2, "JET": 3}
     assert en.encode(more, codes, "brand").columns == ["brand"]
+
+
+def test_codes_read_their_rows_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    values = spark.sparkContext.parallelize(["esso", " Aral", "shell ", "ARAL"], 2).map(lambda value: (reads.add(1), (value,))[1])
+    codes = en.category_codes(spark.createDataFrame(values, "brand string"), "brand")
+    assert {r.value: r.code for r in codes.collect()} == {"ARAL": 0, "ESSO": 1, "SHELL": 2}
+    assert reads.value == 4  # counting, sampling and numbering see the written dictionary
