@@ -144,3 +144,53 @@ def test_no_neighbour_is_left_out(spark, monkeypatch):
             want[row.get(a, near + 1), row.get(b, near + 1)] += 1
     assert (pairs == want).all() and want[near + 1].any() and want[:, near + 1].any()
     assert all(model.of[i] < lm.CLASSES for i in range(near))
+
+
+@pytest.mark.parametrize("sizes", [(64, 32, 16), (24, 24, 16)])
+def test_every_word_has_a_class(spark, monkeypatch, sizes):
+    """Words outside the tables are in the class that fits all their neighbours best, and trigrams count them there."""
+    for name, size in zip(("COUNTED", "CLASSED", "EXCHANGED"), sizes):
+        monkeypatch.setattr(lm, name, size)
+    monkeypatch.setattr(lm, "CLASSES", 6)
+    monkeypatch.setattr(lm, "TASK_CHARS", 3000)
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    model, _ = lm.fit(docs)
+    texts = [[*tokens(r.text), lm.END] for r in docs.collect() if not is_held_out(r.doc_id)]
+    seen = Counter(w for words in texts for w in words)
+    assert {w: model.counts[i] for w, i in model.ids.items()} == {w: n for w, n in seen.items() if w != lm.END}
+    assert len(seen) > 10 * sizes[0] and len(model.ids) == len(model.of) == model.v - 1 and (model.of < lm.CLASSES).all()
+
+    size, near = lm.CLASSES + 2, sizes[2] - 1
+    kind = {w: int(model.of[i]) if i < near else size - 1 for w, i in model.ids.items()} | {lm.END: size - 2}
+    grid, found = np.full((size, size), 0.1), {w: np.zeros((2, size)) for w in seen}
+    for words in texts:
+        for before, word, after in zip([lm.END, *words], words, [*words[1:], lm.END]):
+            grid[kind[before], kind[word]] += 1
+            if word != lm.END:
+                found[word][0, kind[before]] += 1
+                found[word][1, kind[after]] += 1
+    inward = np.log(grid[:, :-2] / grid[:, :-2].sum(axis=0))
+    onward = np.log(grid[:-2] / grid[:-2].sum(axis=1, keepdims=True)).T
+    for word, i in model.ids.items():
+        if i >= near:
+            fits = found[word][0] @ inward + found[word][1] @ onward + np.log(grid[:, :-2].sum(axis=0))
+            assert fits[model.of[i]] == pytest.approx(fits.max(), abs=1e-6)
+
+    of = {w: int(model.of[i]) for w, i in model.ids.items()} | {lm.END: size - 2}
+    cube = np.zeros((size, size, size))
+    for words in texts:
+        for share, once in ((1 - model.discount, None), (model.discount, size - 1)):
+            kinds = [lm.CLASSES] * 2 + [once if once and seen[w] == 1 and w != lm.END else of[w] for w in words]
+            for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+                cube[a, b, c] += share
+    assert np.allclose(lm._log_steps(cube), model.steps)
+
+
+def test_fit_and_score_at_once(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    model, counts = lm.fit(docs)
+    apart = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
+    for row in lm.fit_score(docs).collect():
+        want = apart.pop(row.doc_id)
+        assert row[:5] == want[:5] and np.allclose(row[5:], want[5:])
+    assert not apart
