@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
 
 from pricetide.operators import boosting
 from pricetide.operators import model as md
@@ -68,15 +69,19 @@ def test_saved_and_loaded(spark, tmp_path):
 
 
 def test_rows_are_not_cached(spark):
-    """Spark's learner keeps every row as an object in memory, several times over."""
+    """Spark's learner, which weights still take, keeps every row as an object in memory, several times over."""
     jobs = spark.sparkContext.statusTracker()
-    rows = rows_of(spark, 2000)
-    spark.sparkContext.setJobGroup("boosting", "training")
-    md.train_classifier(rows, ["a", "b", "c"], WHOLE, "y")
-    ids = jobs.getJobIdsForGroup("boosting")
-    names = {jobs.getStageInfo(s).name for j in ids for s in jobs.getJobInfo(j).stageIds if jobs.getStageInfo(s)}
+    rows = rows_of(spark, 2000).withColumn("w", F.lit(1.0))
+    names = {}
+    for weight in (None, "w"):
+        spark.sparkContext.setJobGroup(f"boosting-{weight}", "training")
+        md.train_classifier(rows, ["a", "b", "c"], WHOLE, "y", weight)
+        found = [jobs.getJobInfo(j) for j in jobs.getJobIdsForGroup(f"boosting-{weight}")]
+        stages = [jobs.getStageInfo(s) for job in found if job for s in job.stageIds]
+        names[weight] = {stage.name for stage in stages if stage}
     spark.sparkContext.setJobGroup("", "")
-    assert not any("RandomForest" in name or "DecisionTree" in name for name in names)
+    assert any("RandomForest" in name for name in names["w"])
+    assert names[None] and not any("RandomForest" in name or "DecisionTree" in name for name in names[None])
 
 
 @pytest.mark.parametrize("rows", ["(1, 2, CAST(NULL AS INT))", "(1, NULL, 1)", "(1, 2, 3)"])
